@@ -22,16 +22,20 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; where
+    that is unset (tests), a folder of this machine."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if (named := spark.conf.get("spark.checkpoint.dir", None)) and held.isEmpty():
+        spark.sparkContext.setCheckpointDir(named)
+    elif not named and held.isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder all executors share.
-
-    ``spark.checkpoint.dir`` is the cluster's; only where it is unset (tests) is a
-    folder of this machine used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, packing, token_counts
+from . import ann, bpe, chat, fingerprints, langid, line_dedup, ngram_join, packing, suffix_dedup, token_counts
 from ._common import table
 
 
@@ -21,6 +22,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), *_bytes_vocabulary())
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, similarity=Fraction(9, 10)).drop("n_links")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,10 +66,61 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_nearest_neighbours, op3_ngram_jaccard, op4_language_id, op5_suffix_dedup, op6_line_dedup, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), g AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+""",
+    "op5_suffix_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), p AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM w WHERE len(w) >= 50),
+r AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 50], ' ')) AS run FROM p),
+f AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY run) AS n,
+    first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, pos) AS d0, first_value(pos) OVER (PARTITION BY run ORDER BY doc_id, pos) AS p0 FROM r
+), j AS (SELECT doc_id, pos, doc_id = d0 AND pos < p0 + 50 AS is_first FROM f WHERE n > 1),
+k AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id, is_first ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM j),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, is_first ORDER BY pos) AS island FROM k)
+SELECT doc_id, CAST(min(pos) AS BIGINT) AS start, CAST(max(pos) + 50 AS BIGINT) AS stop, is_first FROM i GROUP BY doc_id, is_first, island
+""",
+    "op6_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents
+), t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos FROM t WHERE bare <> ''),
+r AS (
+  SELECT doc_id, pos, bare || chr(10) || lead(bare, 1) OVER o || chr(10) || lead(bare, 2) OVER o AS run FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), f AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER w AS d0, first_value(pos) OVER w AS p0 FROM r WHERE run IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY doc_id, pos)
+), dead AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM f WHERE NOT (doc_id = d0 AND pos < p0 + 3)),
+k AS (
+  SELECT t.doc_id, t.no, t.line, u.pos, dead.pos IS NOT NULL AS gone FROM t LEFT JOIN u ON t.doc_id = u.doc_id AND t.no = u.no
+  LEFT JOIN dead ON dead.doc_id = t.doc_id AND dead.pos = u.pos
+)
+SELECT doc_id, count(pos) AS n_lines, count(*) FILTER (gone) AS deleted_lines,
+  length(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+""",
     "op8_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
