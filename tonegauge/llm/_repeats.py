@@ -79,7 +79,8 @@ def _anchor_rows(units: Units, least: int, gram: int):
     return run
 
 
-_RUNS = pa.schema([("known", pa.bool_()), ("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("many", pa.bool_())])
+#: size: units of a stretch known to be later (key: of its place); 0: a run to compare; -1: one that is known to be repeated.
+_RUNS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
 
 def _run_rows(units: Units, least: int, gram: int):
@@ -108,9 +109,10 @@ def _run_rows(units: Units, least: int, gram: int):
                 later = (doc != doc[group]) | (pos >= pos[group] + least)
                 many = np.bincount(group, minlength=len(key))[group] > 1
                 out = ~later
-                yield record_batch(_RUNS, [np.zeros(out.sum(), bool), key[out].view(np.int64), doc[out], pos[out], pos[out] + least, many[out]])
+                yield record_batch(_RUNS, [key[out].view(np.int64), doc[out], pos[out].astype(np.int32), -many[out].astype(np.int32)])
                 d, s, e = islands(doc[later], pos[later], pos[later] + least)
-                yield record_batch(_RUNS, [np.ones(len(d), bool), np.zeros(len(d), np.int64), d, s, e, np.ones(len(d), bool)])
+                place = mix(mix(d.astype(np.int64).view(U64)) + s.astype(U64)).view(np.int64)
+                yield record_batch(_RUNS, [place, d, s.astype(np.int32), (e - s).astype(np.int32)])
 
     return run
 
@@ -169,15 +171,15 @@ def repeats(docs: DataFrame, units: Units, least: int, gram: int) -> DataFrame:
     repeated = dealt.selectExpr("known", "doc_id", "pos", "if(known, 2, count(*) OVER (PARTITION BY deal, known, if(known, doc_id, key))) AS members").where("members > 1 AND doc_id IS NOT NULL")
     places = repeated.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     marked = docs.join(places, "doc_id").select("doc_id", "text", "places")
-    runs = marked.mapInArrow(_run_rows(units, least, gram), "known boolean, key long, doc_id long, start long, stop long, many boolean")
-    dealt = runs.withColumn("deal", F.when(F.col("known"), F.xxhash64("doc_id", "start")).otherwise(F.col("key")))
-    over = "OVER (PARTITION BY deal, known, key)"
-    judged = dealt.selectExpr(
-        "known", "doc_id", "start", "stop",
-        f"count(*) {over} AS members", f"max(many) {over} AS many", f"min(struct(doc_id, start)) {over} AS first",
-    ).where("known OR many OR members > 1")
-    spans = judged.selectExpr("doc_id", "start", "stop", f"NOT known AND doc_id = first.doc_id AND start < first.start + {least} AS is_first")
-    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "is_first", "start").mapInArrow(_merge, "doc_id long, start long, stop long, is_first boolean")
+    runs = marked.mapInArrow(_run_rows(units, least, gram), "key long, doc_id long, start int, size int")
+    over = "OVER (PARTITION BY key, size > 0)"
+    judged = runs.selectExpr(
+        "doc_id", "start", "size", f"count(*) {over} AS members", f"min(size) {over} AS least", f"min(struct(doc_id, start)) {over} AS first"
+    ).where("size > 0 OR least < 0 OR members > 1")
+    spans = judged.selectExpr(
+        "doc_id", "start", f"if(size > 0, start + size, start + {least}) AS stop", f"size <= 0 AND doc_id = first.doc_id AND start < first.start + {least} AS is_first"
+    )
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "is_first", "start").selectExpr("doc_id", "cast(start AS long) AS start", "cast(stop AS long) AS stop", "is_first").mapInArrow(_merge, "doc_id long, start long, stop long, is_first boolean")
 
 
 def later_spans(spans: DataFrame) -> DataFrame:
