@@ -28,6 +28,8 @@ from ._common import id_text, no_cycles, record_batch
 
 #: Distinct pieces in each of the two generations a worker keeps; when the younger is full, the older goes.
 MEMO_PIECES = 400_000
+#: Pairs of tokens whose compatibility a worker keeps.
+MEMO_PAIRS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +49,7 @@ class PrefixEncoder:
         self.older: dict[str, bytes] = {}
         self._merged: dict[tuple[int, int], int] = {}
         self._halves: dict[int, tuple[int, int]] = {}
+        self._pairs: dict[int, bool] = {}
         self._learn_merges()
 
     def _learn_merges(self) -> None:
@@ -90,14 +93,26 @@ class PrefixEncoder:
     def _table(self, piece: bytes, below: int | None = None, last: list | None = None) -> list:
         """last[n]: the last token of the encoding of piece[:n]; extends the table given."""
         last = [None] if last is None else last
-        ranks, longest = self.ranks, self.longest
+        rank, longest, pairs = self.ranks.get, self.longest, self._pairs
         for end in range(len(last), len(piece) + 1):
             found = None
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
+            for start in range(end - longest if end > longest else 0, end):
+                token = rank(piece[start:end])
                 if token is None or below is not None and token >= below:
                     continue
-                if start == 0 or (before := last[start]) is not None and self.compatible(before, token):
+                if start == 0:
+                    found = token
+                    break
+                if (before := last[start]) is None:
+                    continue
+                pair = before << 32 | token
+                if (fits := pairs.get(pair)) is None:
+                    fits = self.compatible(before, token)
+                    if below is None:
+                        if len(pairs) >= MEMO_PAIRS:
+                            pairs.clear()
+                        pairs[pair] = fits
+                if fits:
                     found = token
                     break
             last.append(found)
