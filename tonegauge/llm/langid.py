@@ -28,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import no_cycles, slices
+from ._common import no_cycles
 from ._text import U64, mix
 
 #: The most training rows of a label, labels, hashed features, words of a training piece, and occurrences that put a word into the lexicon.
 PER_LABEL, LABELS, FEATURES, PIECE, LEXICON = 250, 64, 1 << 16, 32, 3
+#: Bytes of texts that are labelled together, or one text.
+AT_ONCE = 1_500_000
 #: Distinct words whose label scores a worker keeps.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -253,26 +256,30 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
     return model.fit([(r.text, labels.index(r.lang)) for r in sample])
 
 
-def labelled(docs: DataFrame, model: Crf) -> DataFrame:
-    """docs with lang_pred and score (columns of these names are replaced); one pass, no shuffle."""
+def labelled(docs: DataFrame, model: Crf, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) with lang_pred and score (columns of these names are replaced); one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index("text")
-    out = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    at, kept = docs.columns.index("text"), [docs.columns.index(c) for c in keep or docs.columns]
+    out = StructType([*(docs.schema.fields[i] for i in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         with no_cycles():
             for batch in batches:
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                labels, scores = [], []
-                for a, b in slices(texts, 6_000_000):
-                    x, y = crf.label(texts[a:b])
-                    labels += x
-                    scores += y
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*batch.schema, ("lang_pred", pa.string()), ("score", pa.float64())])
-                )
+                column = batch.column(at)
+                # texts of like length together: a step of the chain then serves many of them
+                order = np.argsort(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), kind="stable")
+                labels, scores = np.empty(len(order), object), np.empty(len(order))
+                size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)[order].astype(np.int64))
+                a = 0
+                while a < len(order):
+                    b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AT_ONCE, side="right")))
+                    mine = order[a:b]
+                    labels[mine], scores[mine] = crf.label([t or "" for t in column.take(pa.array(mine)).to_pylist()])
+                    a = b
+                columns = [batch.column(i) for i in kept] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*(batch.schema.field(i) for i in kept), ("lang_pred", pa.string()), ("score", pa.float64())]))
 
     return docs.mapInArrow(run, out)
 
@@ -280,7 +287,7 @@ def labelled(docs: DataFrame, model: Crf) -> DataFrame:
 def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = labelled(only, train(docs))
+    found = labelled(only, train(docs), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
