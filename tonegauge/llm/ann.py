@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._common import record_batch
 
 #: Rows the codebook is fitted on at most; rows of a block; rows of a block that are scored exactly; queries scanned at a time.
-FIT_ROWS, BLOCK, KEEP, AT_ONCE = 8192, 2048, 64, 128
+FIT_ROWS, BLOCK, KEEP, AT_ONCE = 8192, 8192, 160, 64
 #: The share of the norm above which inner products matter; gives the weight of parallel error.
 THRESHOLD = 0.2
 
