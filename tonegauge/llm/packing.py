@@ -38,7 +38,7 @@ CAPACITY = 4096
 #: Share of a bin that a class may waste before a piece is cut instead.
 WASTE = 0.02
 #: Words, and words without case and mark, in each of the two generations a worker remembers.
-MEMO_WORDS, MEMO_STEMS = 250_000, 600_000
+MEMO_WORDS, MEMO_STEMS = 150_000, 300_000
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 PIECES_DDL = ", ".join(f"{n} long" for n in PIECES.names)
 #: str.split() also cuts at these, which the tokenizer takes for text.
@@ -81,8 +81,8 @@ class WordTokenizer:
         for at in range(0, len(fresh), 4096):
             self.stems.update(zip(fresh[at : at + 4096], self._encode(fresh[at : at + 4096]), strict=True))
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't in memory; they are remembered from now on."""
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of words that aren't in memory."""
         older = self.older
         found = {w: older[w] for w in new if w in older}
         plain: dict[str, list[tuple[str, str]]] = {}
@@ -101,24 +101,20 @@ class WordTokenizer:
             packed = self.stems[stem]
             for w, mark in forms:
                 found[w] = packed + self.marks[mark]
-        if len(self.memo) + len(found) > MEMO_WORDS:
-            self.memo, self.older = {}, self.memo
         self.memo.update(found)
-        return found
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if any(c in t for c in _ODD_SPACE) else t.split() for t in texts]
-        words = list(chain.from_iterable(x for x in split if x))
-        packed = list(map(self.memo.get, words))
-        if missing := {w for w, p in zip(words, packed, strict=True) if p is None}:
-            learnt = self._learn(missing)
-            packed = [learnt[w] if p is None else p for w, p in zip(words, packed, strict=True)]
-        out, at = [], 0
-        for t, x in zip(texts, split, strict=True):
-            out.append(self._encode([t])[0] if x is None else b"".join(packed[at : at + len(x)]))
-            at += len(x or ())
-        return out
+        words = set(chain.from_iterable(x for x in split if x))
+        missing = words - self.memo.keys()
+        if len(self.memo) + len(missing) > MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
+            missing = words
+        if missing:
+            self._learn(missing)
+        ids = self.memo.__getitem__
+        return [self._encode([t])[0] if x is None else b"".join(map(ids, x)) for t, x in zip(texts, split, strict=True)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
