@@ -105,7 +105,12 @@ class Crf:
             pieces += [(numbers[i : i + PIECE], label) for i in range(0, len(numbers), PIECE)]
         if not pieces or len(self.labels) < 2:
             return self
-        flat, bounds = features(list(vocabulary), self.lexicon)
+        names, parts, starts = list(vocabulary), [], [np.zeros(1, np.int64)]
+        for at in range(0, len(names), 10_000):
+            found, own = features(names[at : at + 10_000], self.lexicon)
+            parts.append(found.astype(np.int32))
+            starts.append(own[1:] + starts[-1][-1])
+        flat, bounds = np.concatenate(parts), np.concatenate(starts)
         rng = np.random.default_rng(seed)
         n = len(self.labels)
         sum_w, sum_t, sum_f = np.full((FEATURES, n), 1e-6, np.float32), np.full((n, n), 1e-6), np.full(n, 1e-6)
