@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -12,13 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Name this package's folder to Python workers, for where it is installed there by path only."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, by Spark's own reader."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), null texts empty: extra columns, whatever their names, go no further."""
+    importable(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -39,7 +50,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(texts: list, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A materialized table in no more partitions than its rows need, so that small ones don't cost many small tasks and files."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
+def slices(texts: list, most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about so many characters; a longer text is a run of its own."""
     at = size = 0
     for i, text in enumerate(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import compact, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,10 +32,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     of the longest path.
     """
     edges = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct()
-    edges = materialize(edges)
+    edges = compact(materialize(edges))
     mark = _mark(edges)
     for _ in range(most_rounds):
-        edges = materialize(_star(_star(edges, large=True), large=False))
+        edges = compact(materialize(_star(_star(edges, large=True), large=False)))
         if mark == (mark := _mark(edges)):  # a step that changes nothing leaves stars only
             break
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

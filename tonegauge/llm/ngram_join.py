@@ -1,6 +1,6 @@
 """Similarity join of documents by the Jaccard coefficient of word n-gram sets.
 
-Vertical partitioning. One global order of n-grams (rising frequency class, then
+Vertical partitioning. One global order of n-grams (rising frequency rank, then
 hash) is cut into fragments by hash bounds; a document's set falls into one
 segment per fragment. A pair's overlap is counted fragment by fragment, each count
 on its own, and summed per pair.
@@ -9,11 +9,14 @@ Which pairs are counted: in the global order, two sets that are similar enough
 share one of their first |x| - ceil(t |x|) + 1 n-grams, so an index of these
 prefixes names every possible partner. Frequencies, which only order the n-grams,
 come from a count-min sketch over all documents, whose size is a parameter and not
-the data's. Instead of all pairs of an index entry:
-
-1. every document is counted against one leader of the entry, and components of
-   the links found are formed, for a few rounds with other leaders;
-2. what is left are pairs of an entry whose documents still lie in different
+the data's. Pairs whose parity sketches differ in more bits than similar sets can
+differ in elements are dismissed unseen, which is exact. Instead of all pairs of an
+index entry:
+
+1. documents with an equal min-hash (of a few, each of which two similar sets share
+   as often as they are alike) are counted against a few leaders of their group,
+   and components of the links found are formed;
+2. what is left are pairs of an index entry whose documents lie in different
    components: these are all counted.
 
 Every pair of different texts that the index names is thus either counted or
@@ -29,6 +32,7 @@ with a null doc_id have no result row.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -37,16 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, materialize, record_batch, slices
+from ._common import compact, id_text, materialize, record_batch, slices
 from ._graph import components
 from ._text import U64, mix, shingle_sets
 
 #: Counters of the sketch (4 bytes each), and how many travel in a row.
-SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
+SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: Fragments that the n-gram order is cut into.
 FRAGMENTS = 4
-#: Rounds of leaders before the pairs that are left are listed, unless these are few (per document).
-ROUNDS, FEW = 3, 4
+#: Documents to compare (16 bytes each) up to which their ids are broadcast to the readers of their texts.
+BROADCAST_IDS = 200_000
+#: Min-hashes that documents are first brought together by.
+MINHASHES = 4
+#: Documents of a min-hash's group that all of the group are counted against in a round, and rounds (other leaders in each).
+LEADERS, ROUNDS = 6, 3
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -60,7 +68,8 @@ def _sketch_rows(k: int, width: int):
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             for a, b in slices(texts):
                 hashes, _ = shingle_sets(texts[a:b], k)
-                total += np.bincount((hashes & U64(width - 1)).view(np.int64), minlength=width).astype(np.uint32)
+                at, times = np.unique((hashes & U64(width - 1)).astype(np.uint32), return_counts=True)
+                total[at] += times.astype(np.uint32)
         schema = pa.schema([("row", pa.int32()), ("counts", pa.binary())])
         rows = [(i // SKETCH_ROW, _squeeze(total[i : i + SKETCH_ROW])) for i in range(0, width, SKETCH_ROW) if total[i : i + SKETCH_ROW].any()]
         yield record_batch(schema, [[r[0] for r in rows], [r[1] for r in rows]])
@@ -69,19 +78,13 @@ def _sketch_rows(k: int, width: int):
 
 
 def _squeeze(counts: np.ndarray) -> bytes:
-    """Counters as bytes where they fit, else as 4 bytes; the few used ones alone if that is less."""
-    used = np.flatnonzero(counts)
-    if len(used) * 6 < len(counts):
-        return b"s" + used.astype("<u2").tobytes() + counts[used].astype("<u4").tobytes()
-    return b"b" + counts.astype("u1").tobytes() if counts.max() < 256 else b"w" + counts.astype("<u4").tobytes()
+    """Compressed: counters as bytes where they fit, else as 4 bytes."""
+    small = counts.max() < 256
+    return (b"b" if small else b"w") + zlib.compress(counts.astype("u1" if small else "<u4").tobytes(), 1)
 
 
 def _unsqueeze(data: bytes, out: np.ndarray) -> None:
-    if data[:1] == b"s":
-        n = (len(data) - 1) // 6
-        out[np.frombuffer(data, "<u2", n, 1)] += np.frombuffer(data, "<u4", n, 1 + 2 * n)
-    else:
-        out += np.frombuffer(data, "u1" if data[:1] == b"b" else "<u4", offset=1)
+    out += np.frombuffer(zlib.decompress(data[1:]), "u1" if data[:1] == b"b" else "<u4")
 
 
 def _add_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,23 +92,30 @@ def _add_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             _unsqueeze(data, sums.setdefault(row, np.zeros(SKETCH_ROW, np.uint64)))
-    schema = pa.schema([("row", pa.int32()), ("classes", pa.binary())])
-    # only the class of a frequency is used: its binary logarithm
-    yield record_batch(schema, [list(sums), [np.frexp(s.astype(float))[1].astype("u1").tobytes() for s in sums.values()]])
+    schema = pa.schema([("row", pa.int32()), ("counts", pa.binary())])
+    yield record_batch(schema, [list(sums), [np.minimum(s, 0xFFFFFFFF).astype("<u4").tobytes() for s in sums.values()]])
 
 
 def frequency_classes(texts: DataFrame, k: int, width: int = SKETCH) -> np.ndarray:
-    """The binary logarithm of each counter of the sketch, relative to the usual fill: ``width`` bytes on the driver."""
+    """A rank from 0 to 255 for each counter of the sketch: in proportion up to twice the usual fill, so that
+    what a few documents share already stands behind what one has, and logarithmic beyond. The driver gets
+    4 bytes a counter."""
     parts = texts.mapInArrow(_sketch_rows(k, width), "row int, counts binary")
-    summed = parts.repartition("row").mapInArrow(_add_sketch, "row int, classes binary").collect()
-    out = np.zeros(width, np.uint8)
-    for row, classes in summed:
-        out[row * SKETCH_ROW : (row + 1) * SKETCH_ROW] = np.frombuffer(classes, "u1")
-    usual = int(np.median(out))
-    return np.maximum(out, usual + 1) - (usual + 1)
+    summed = parts.repartition("row").mapInArrow(_add_sketch, "row int, counts binary").collect()
+    total = np.zeros(width, np.float32)
+    for row, counts in summed:
+        part = np.frombuffer(counts, "<u4")
+        total[row * SKETCH_ROW : row * SKETCH_ROW + len(part)] = part
+    used = total[total > 0]
+    usual = max(1.0, float(np.median(used))) if len(used) else 1.0
+    ranks = np.where(total <= 2 * usual, total * (96 / usual), 192 + 4 * np.log2(np.maximum(total, 1e-9) / (2 * usual)))
+    return np.clip(ranks, 0, 255).astype(np.uint8)
 
 
-_INDEX = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("aux", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+#: Bits of the parity sketch of sets up to 3,000 elements, 12,000 and more. A set's bit is odd if an odd number of its hashes falls on it, so two sets
+#: differ in at least as many elements as their sketches do in bits: a bound that dismisses pairs exactly.
+PARITY = (1 << 10, 1 << 12, 1 << 14)
+_INDEX = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("aux", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
 
 
 def _index(k: int, sim: Fraction, classes) -> object:
@@ -122,18 +132,25 @@ def _index(k: int, sim: Fraction, classes) -> object:
                 cls = table[(hashes & U64(len(table) - 1)).view(np.int64)]
                 one = mix(hashes)
                 sums = np.concatenate([np.zeros((1, 2), U64), np.cumsum(np.stack([one, mix(one)], 1), axis=0)])
+                bit = (one >> U64(20) & U64(PARITY[-1] - 1)).view(np.int64)
+                solid = bounds[:-1][np.diff(bounds) > 0]
+                low = [np.minimum.reduceat(mix(one ^ U64(0xA5A5 * (r + 1))), solid) if len(solid) else one for r in range(MINHASHES)]
+                lows, place = np.stack(low).view(np.int64), -1
                 heads, keys, docs, sizes = [], [], [], []
                 for doc, lo, hi in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     n = hi - lo
                     digest = tuple((sums[hi] - sums[lo]).tolist())
                     if n == 0:
-                        heads.append((3, doc, 0, doc, 0))
+                        heads.append((3, doc, 0, doc, 0, None, None))
                         continue
+                    place += 1
                     if (first := seen.get(digest)) is not None:
-                        heads.append((2, first, 0, doc, n))
+                        heads.append((2, first, 0, doc, n, None, None))
                         continue
                     seen[digest] = doc
-                    heads.append((0, *(x - (1 << 64) if x >> 63 else x for x in digest), doc, n))
+                    width = PARITY[0 if n < 3000 else 1 if n < 12000 else 2]
+                    odd = np.packbits((np.bincount(bit[lo:hi] & (width - 1), minlength=width) & 1).astype(bool)).view(np.int64).tolist()
+                    heads.append((0, *(x - (1 << 64) if x >> 63 else x for x in digest), doc, n, odd, lows[:, place].tolist()))
                     least = -(-n * sim.numerator // sim.denominator)
                     take = n - least + 1
                     if take == n:
@@ -149,11 +166,16 @@ def _index(k: int, sim: Fraction, classes) -> object:
                 if keys:
                     times = [len(x) for x in keys]
                     flat = _long(np.concatenate(keys))
-                    yield record_batch(_INDEX, [np.full(len(flat), 1, np.int32), flat, np.zeros(len(flat), np.int64), np.repeat(np.array(docs, np.int64), times), np.repeat(np.array(sizes, np.int64), times)])
+                    yield record_batch(_INDEX, [np.full(len(flat), 1, np.int32), flat, np.zeros(len(flat), np.int64), np.repeat(np.array(docs, np.int64), times), np.repeat(np.array(sizes, np.int64), times), *[pa.nulls(len(flat), pa.list_(pa.int64()))] * 2])
 
     return run
 
 
+def _folded(parity: str, words: str) -> str:
+    """SQL of a sketch whose parts are laid onto each other: it has fewer bits and keeps the bound."""
+    return f"transform(sequence(0, {words} - 1), i -> aggregate(sequence(i, size({parity}) - 1, {words}), 0L, (s, j) -> s ^ {parity}[j]))"
+
+
 _SEGMENTS = pa.schema([("doc_id", pa.int64()), ("fragment", pa.int32()), ("segment", pa.binary())])
 
 
@@ -176,41 +198,42 @@ def _segments(k: int, fragments: int):
     return run
 
 
-_PARTIAL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64())])
+_PARTIAL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fragment", pa.int32()), ("common", pa.int64())])
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlap of two documents in one fragment."""
     for batch in batches:
         common = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        for x, y in zip(batch.column(3), batch.column(4), strict=True):
             p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
             if len(p) > len(q):
                 p, q = q, p
             at = np.searchsorted(q, p)
             at[at == len(q)] = 0
             common.append(int((q[at] == p).sum()))
-        yield record_batch(_PARTIAL, [batch.column(0), batch.column(1), common])
+        yield record_batch(_PARTIAL, [*batch.columns[:3], common])
 
 
 def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """a, b, common: partial overlaps per fragment, summed per pair. A pair without overlap has no row."""
     left = pairs.join(segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("x")), "a")
     both = left.join(segments.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("y")), ["b", "fragment"])
-    return both.select("a", "b", "x", "y").mapInArrow(_partial, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    partial = both.select("a", "b", "fragment", "x", "y").mapInArrow(_partial, "a long, b long, fragment int, common long")
+    each = partial.groupBy("a", "b", "fragment").agg(F.max("common").alias("common"))  # rows may repeat a document
+    return each.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (links counted
-    between the document's class and other classes; 0 for copies alone)."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     d = id_text(docs).where("doc_id IS NOT NULL")
     sc = d.sparkSession.sparkContext
     classes = sc.broadcast(frequency_classes(d.select("text"), k))
-    raw = d.mapInArrow(_index(k, similarity, classes), "kind int, key long, aux long, doc_id long, n long")
+    raw = d.mapInArrow(_index(k, similarity, classes), "kind int, key long, aux long, doc_id long, n long, parity array<long>, near array<long>")
     # copies within a partition and empty sets meet nothing here: dealt out by their own id
     dealt = raw.withColumn("deal", F.when(F.col("kind") >= 2, F.xxhash64("doc_id")).otherwise(F.col("key")))
     grouped = dealt.selectExpr(
-        "kind", "key", "aux", "doc_id", "n",
+        "kind", "key", "aux", "doc_id", "n", "parity", "near",
         "if(kind >= 2, doc_id, min(doc_id) OVER (PARTITION BY deal, kind, aux)) AS first",
         "if(kind >= 2, 1, count(*) OVER (PARTITION BY deal, kind, aux)) AS members",
     )
@@ -218,65 +241,74 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fract
 
     heads = index.where("kind = 0").select("doc_id", F.col("first").alias("rep")).distinct()
     moved = heads.where("doc_id <> rep")
-    sizes = index.where("kind = 0 AND doc_id = first").select(F.col("doc_id").alias("id"), "n")
-    entries = index.where("kind = 1").join(moved, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("id"), "n")
-    entries = materialize(entries.distinct())
-    nodes = entries.select("id").distinct()
-    texts = d.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    # equal rows of one doc_id would count twice: one of them stays
-    segments = texts.mapInArrow(_segments(k, fragments), "doc_id long, fragment int, segment binary")
-    segments = materialize(segments.groupBy("doc_id", "fragment").agg(F.max("segment").alias("segment")))
+    entries = index.where("kind = 1").select("key", F.col("doc_id").alias("id"), "n")
+    sketches = index.where("kind = 0").select(F.col("doc_id").alias("id"), "parity").dropDuplicates(["id"])
+    fold = f"{_folded('parity', '4')} AS fold"
+    folds = sketches.selectExpr("id", fold)
 
     num, den = similarity.numerator, similarity.denominator
 
+    def apart(x: str, y: str, total: str) -> str:
+        """Sketches don't rule the pair out: similar sets differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
+        return f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c) * {num + den} <= ({total}) * {den - num}"
+
+    def both(x: str, y: str) -> str:
+        """The longer of two sketches folded to the shorter's size."""
+        return f"if(size({x}) > size({y}), {_folded(x, f'size({y})')}, {x})"
+
+    def alike(a: str, b: str) -> str:
+        """What sizes and folded sketches say of a pair."""
+        return f"{num} * greatest({a}.n, {b}.n) <= {den} * least({a}.n, {b}.n) AND {apart(f'{a}.fold', f'{b}.fold', f'{a}.n + {b}.n')}"
+
+    def segments_of(pairs: DataFrame) -> DataFrame:
+        """Segments of the documents in pairs: their texts are read again."""
+        ids = compact(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)  # else the join shuffles
+        return d.join(ids, "doc_id", "left_semi").mapInArrow(_segments(k, fragments), "doc_id long, fragment int, segment binary")
+
     def links_of(pairs: DataFrame) -> DataFrame:
         """pairs: a, na, b, nb"""
         near = pairs.where(f"a <> b AND {num} * greatest(na, nb) <= {den} * least(na, nb)").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total")
         ).distinct()
-        near = near.repartition("a", "b")
-        counted = count_overlaps(near.select("a", "b"), segments)
+        x, y = sketches.toDF("a", "pa"), sketches.toDF("b", "pb")
+        near = near.join(x, "a").join(y, "b").where(apart(both("pa", "pb"), both("pb", "pa"), "total")).select("a", "b", "total")
+        near = compact(materialize(near))
+        counted = count_overlaps(near.select("a", "b"), segments_of(near))
         return near.join(counted, ["a", "b"]).where(f"{den} * common >= {num} * (total - common)").select("a", "b")
 
-    def labelled(comps: DataFrame | None) -> DataFrame:
-        if comps is None:
-            return entries.withColumn("comp", F.col("id"))
-        return entries.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-
-    links, comps = None, None
-    for turn in range(ROUNDS + 1):
-        now = labelled(comps)
-        per = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps")).where("comps > 1")
-        mixed = materialize(mixed)
-        rows, left = mixed.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        if not rows:
-            break
-        open_ = now.join(mixed.select("key"), "key", "left_semi")
-        if turn == ROUNDS or left <= FEW * rows:
-            x, y = open_.toDF("key", "a", "na", "ca"), open_.toDF("key", "b", "nb", "cb")
-            pairs = x.join(y, "key").where("ca < cb").select("a", "na", "b", "nb")
-        else:
-            lead = open_.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(turn))).alias("l"))
-            pairs = open_.join(lead, "key").where("comp <> l.comp").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("l.id").alias("b"), F.col("l.n").alias("nb"))
-        found = materialize(links_of(pairs))
-        links = found if links is None else materialize(links.unionByName(found).distinct())
-        comps = materialize(components(links))
-        if turn == ROUNDS or left <= FEW * rows:
-            break
+    def listed(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    # 1. a few leaders of each min-hash's group
+    own = index.where("kind = 0 AND doc_id = first").selectExpr("doc_id AS id", "n", fold, "near").select("id", "n", "fold", F.posexplode("near").alias("r", "low"))
+    links, comps = moved.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
+    for turn in range(ROUNDS):
+        now = own.withColumn("comp", F.col("id")) if comps is None else own.join(listed(comps), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        order = F.xxhash64("id", F.lit(turn))
+        lead = now.groupBy("r", "low", F.pmod(order, F.lit(LEADERS)).alias("j")).agg(F.min_by(F.struct("id", "n", "fold", "comp"), order).alias("l")).select("r", "low", "l.*")
+        met = now.alias("x").join(lead.alias("y"), F.expr(f"x.r = y.r AND x.low = y.low AND x.comp <> y.comp AND {alike('x', 'y')}"))
+        pairs = met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb")
+        links = compact(materialize(links_of(pairs).unionByName(links)))
+        comps = compact(materialize(components(links)))
+
+    # 2. the pairs of an entry that lie in different components
+    known = entries.join(listed(comps), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    over = "OVER (PARTITION BY key)"
+    open_ = known.selectExpr("*", f"min(comp) {over} AS lo", f"max(comp) {over} AS hi").where("lo < hi").drop("lo", "hi").join(folds, "id")
+    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.comp < y.comp AND {alike('x', 'y')}"))
+    rest = links_of(met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb"))
+    links = compact(materialize(links.unionByName(rest)))
+    comps = compact(materialize(components(links)))
 
     members = index.where("kind = 0").select("doc_id", "n", F.col("first").alias("rep")).unionByName(
         index.where("kind = 2").select("doc_id", "n", "key").join(heads.select(F.col("doc_id").alias("key"), "rep"), "key").select("doc_id", "n", "rep")
     ).unionByName(index.where("kind = 3").select("doc_id", "n", F.col("doc_id").alias("rep")))
-    if links is None:
-        full = members.select("doc_id", "n", F.col("rep").alias("component"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("n_links"))
-        about = comps.withColumnRenamed("id", "rep").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-        full = members.join(about, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    full = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component"))
     # classes are named by the first document met of them; the component's name is its least document
     names = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return full.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return full.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:

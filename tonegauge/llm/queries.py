@@ -27,7 +27,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, similarity=Fraction(9, 10)).drop("n_links")
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, similarity=Fraction(9, 10))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
