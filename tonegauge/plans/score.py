@@ -20,6 +20,12 @@ from ..operators import escalation, force, head_act, surface
 MESSAGES = "thread_id string, ord long, msg_id string, sender_id string, recipient_ids array<string>, ts string, text string"
 
 
+def _settled(value: Column) -> Column:
+    """The value itself, in a form that filters aren't pushed below: the optimizer would put a copy of all the
+    expressions it is made of into the filter, and again for each step they go through."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def prepared(messages: DataFrame) -> DataFrame:
     """The columns the plan reads, nulls defined: a null text is empty, null recipients are nobody."""
     text = F.coalesce("text", F.lit(""))
@@ -33,7 +39,7 @@ def with_head_act(messages: DataFrame) -> DataFrame:
     """Adds sentences, head (struct or null) and suppressed (why a message has no scores)."""
     found = messages.withColumn("sentences", T.sentences(F.col("stable"))).withColumn("clauses", head_act.clauses(F.col("stable"), F.col("sentences")))
     found = found.withColumn("matches", head_act.matches("clauses"))
-    found = found.withColumn("head", head_act.head_act(F.col("sentences"), F.col("clauses"), F.col("matches"))).drop("matches")
+    found = found.withColumn("head", _settled(head_act.head_act(F.col("sentences"), F.col("clauses"), F.col("matches")))).drop("matches")
     reason = F.when(F.col("head").isNull(), "no_head_act").when(F.size("recipient_ids") == 0, "unresolved_addressee")
     return found.withColumn("suppressed", reason)
 
@@ -53,7 +59,7 @@ def with_surface(found: DataFrame) -> DataFrame:
     d = d.withColumn("contributions", F.when(scored, F.concat(near, beyond))).drop("_clause", "_next", "_mods", "_next_mods")
     d = d.withColumn("_surface", F.when(scored, surface.surface_score(F.col("base"), F.col("contributions"))))
     rows = surface.surface_evidence(F.col("msg_id"), F.col("text"), stable, head, F.col("base"), F.col("contributions"), F.col("_surface"))
-    d = d.withColumn("surface_evidence", F.when(scored, rows).otherwise(F.array().cast(surface.EVIDENCE)))
+    d = d.withColumn("surface_evidence", _settled(F.when(scored, rows).otherwise(F.array().cast(surface.EVIDENCE))))
     return d.withColumn("surface", F.col("_surface")["surface"]).drop("_surface")
 
 
@@ -93,7 +99,7 @@ def with_force(masked: DataFrame, business_day_end: str | None) -> DataFrame:
     ]
     d = d.withColumn("_parts", F.when(scored, F.concat(*parts))).withColumn("_force", F.when(scored, force.force_score(F.col("_parts"))))
     rows = F.coalesce(F.col("_force")["evidence"], F.array().cast(surface.EVIDENCE))
-    return d.withColumn("force", F.col("_force")["force"]).withColumn("force_evidence", rows).drop("_parts", "_force")
+    return d.withColumn("force", F.col("_force")["force"]).withColumn("force_evidence", _settled(rows)).drop("_parts", "_force")
 
 
 def stages(messages: DataFrame, business_day_end: str | None = None) -> DataFrame:
