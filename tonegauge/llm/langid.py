@@ -285,6 +285,7 @@ def labelled(docs: DataFrame, model: Crf, keep: list[str] | None = None) -> Data
                     a = b
                 columns = [batch.column(i) for i in kept] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*(batch.schema.field(i) for i in kept), ("lang_pred", pa.string()), ("score", pa.float64())]))
+            crf._forget()  # the worker lives on, and with it every model it has seen
 
     return docs.mapInArrow(run, out)
 

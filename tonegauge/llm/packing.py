@@ -210,5 +210,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                     yield packer.take()
             packer.close()
             yield packer.take()
+            tokenizer.older, tokenizer.older_stems = {}, {}  # half of what is remembered, for the worker's next task
 
     return id_text(docs).mapInArrow(run, PIECES_DDL)
