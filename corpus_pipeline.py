@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later runs of three or more lines go; documents of which nothing is left go."""
+    """Later runs of three or more lines, or of fifty or more words, and later copies of shorter texts go; documents of which nothing is left go."""
     return line_dedup.clean(docs)
 
 

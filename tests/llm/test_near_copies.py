@@ -122,6 +122,25 @@ def test_cutting_keeps_first_occurrences_and_columns(docs):
     assert lines[5012] == "a\nb\nc\n\nd\n" and lines[5013] == "zz\n" and lines[5014] == "u\nu\nu\n"
 
 
+def test_short_texts_and_wordy_lines_repeat(spark):
+    long, half = " ".join(W[:50]), " ".join(W[:30])
+    texts = {
+        1: "short", 2: " short\n\n", 3: "short\nlines", 4: "short\nlines", 5: "short\nother\nthird", 6: f"p\n{long}\nq", 7: f"{long}\nr", 8: long + "\n" + long,
+        9: f"s\n{half}\n{half} x\nt", 10: f"{half}\n{half} x", 11: " ".join(W[:49]) + "\nu\nv", 12: " ".join(W[:49]) + "\nw\ny", 13: None, 14: "", 15: f"{half}\nz\n{half} x",
+        16: "a\nb\nc", 17: f"a\nb\nc\n{long}",
+    }
+    d = spark.createDataFrame([*texts.items(), (1, "short"), (None, "short")], "doc_id long, text string")
+    kept = {**texts, 7: "r"}
+    for gone in (2, 4, 8, 10, 17):
+        del kept[gone]
+    for parts in (1, 7):
+        left = line_dedup.clean(d.repartition(parts)).collect()
+        assert {r.doc_id: r.text for r in left if r.doc_id} == kept and sum(r.doc_id is None for r in left) == 1
+    got = {r.doc_id: r.deleted_lines for r in line_dedup.digests(d, words=50).collect()}
+    assert {i: n for i, n in got.items() if n} == {2: 1, 4: 2, 7: 1, 8: 2, 10: 2, 17: 4}
+    assert line_dedup.clean(d.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op5_suffix_dedup", "op6_line_dedup"])
 def test_queries_equal_their_sql(spark, sf, name):
     assert_same(QUERIES[name](spark, sf), sf, ORACLE_SQL[name])

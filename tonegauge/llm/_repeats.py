@@ -158,6 +158,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_SPANS, [[k] for k in kept])
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """Spans (doc_id, start, stop, is_first) of a document that touch or overlap become one."""
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "is_first", "start").selectExpr("doc_id", "cast(start AS long) AS start", "cast(stop AS long) AS stop", "is_first").mapInArrow(_merge, "doc_id long, start long, stop long, is_first boolean")
+
+
 def repeats(docs: DataFrame, units: Units, least: int, gram: int) -> DataFrame:
     """doc_id, start, stop (units), is_first of every maximal stretch of runs that occur more than once.
 
@@ -179,7 +184,7 @@ def repeats(docs: DataFrame, units: Units, least: int, gram: int) -> DataFrame:
     spans = judged.selectExpr(
         "doc_id", "start", f"if(size > 0, start + size, start + {least}) AS stop", f"size <= 0 AND doc_id = first.doc_id AND start < first.start + {least} AS is_first"
     )
-    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "is_first", "start").selectExpr("doc_id", "cast(start AS long) AS start", "cast(stop AS long) AS stop", "is_first").mapInArrow(_merge, "doc_id long, start long, stop long, is_first boolean")
+    return merged(spans)
 
 
 def later_spans(spans: DataFrame) -> DataFrame:

@@ -7,8 +7,13 @@ of equal fingerprints are joined, matches extended both ways line by line, and a
 but the first occurrence deleted (see ``_repeats`` for the order of occurrences
 and for skew).
 
+Runs of fewer lines are too many to take part for their length alone. With
+``words``, those that hold so many words do, each length on its own, and so do
+whole texts of fewer than ``least`` lines, which only equal whole texts: single
+lines that are short stay where they stand among others.
+
 Defined results: null and empty texts have no lines and stay; equal texts repeat
-whole; a document of which no line is left has the empty text (``clean`` drops
+whole (without ``words``, those of ``least`` lines and more); a document of which no line is left has the empty text (``clean`` drops
 it); repeated rows of one doc_id count as that document; a null doc_id takes no
 part; an empty table gives an empty table; further columns are kept by ``clean``.
 """
@@ -24,12 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, record_batch
-from ._repeats import later_spans, repeats
+from ._common import id_text, record_batch, slices
+from ._repeats import islands, later_spans, merged, repeats
+from ._text import U64, mix
 from .suffix_dedup import rewritten
 
 #: A run of at least so many lines is deleted where it repeats; lines of a fingerprint.
 LEAST, GRAM = 3, 2
+#: A shorter run is deleted where it repeats if it holds so many words.
+WORDS = 50
 _BLANKS = b" \t\r\x0b\x0c"
 
 
@@ -55,23 +63,78 @@ def cut(text: bytes, spans: list[dict]) -> bytes:
     return b"\n".join(line for j, line in enumerate(rows) if j not in dead)
 
 
-def repeated_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, stop (numbers of lines that aren't blank), is_first."""
-    return repeats(id_text(docs).where("doc_id IS NOT NULL"), lines, least, gram)
+#: known: +1 later than an equal run of this slice (key: of its place), 0 a run to compare, -1 one that is known to be repeated.
+_SHORT = pa.schema([("known", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
+
+
+def _short_runs(text: bytes, least: int, words: int) -> Iterator[tuple[int, int, int]]:
+    """Hash, start and size of the text's runs of fewer lines that hold enough words, and of a short text as a whole."""
+    solid = [bare for line in text.split(b"\n") if (bare := line.strip(_BLANKS))]
+    counts = [len(line.split()) for line in solid]
+    for size in range(1, min(least - 1, len(solid)) + 1):
+        for start in range(len(solid) - size + 1):
+            if sum(counts[start : start + size]) >= words:
+                yield xxhash.xxh3_64_intdigest(b"\n".join(solid[start : start + size])), start, size
+    if 0 < len(solid) < least and sum(counts) < words:
+        yield xxhash.xxh3_64_intdigest(b"\n".join(solid), seed=1), 0, len(solid)  # whole texts equal no part of another
 
 
-def clean(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def _short_rows(least: int, words: int):
+    """Short runs; those that are later than an equal run of this slice are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in slices(texts):
+                found = [(key, i, start, size) for i in range(a, b) for key, start, size in _short_runs(texts[i], least, words)]
+                if not found:
+                    continue
+                keys, at, starts, sizes = zip(*found, strict=True)
+                key, doc = np.array(keys, np.uint64), ids[np.array(at)]
+                start, size = np.array(starts, np.int64), np.array(sizes, np.int64)
+                order = np.lexsort((start, doc, key))
+                key, doc, start, size = key[order], doc[order], start[order], size[order]
+                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                group = np.repeat(head, np.diff(np.concatenate([head, [len(key)]])))
+                later = (doc != doc[group]) | (start >= start[group] + size)
+                many = np.bincount(group, minlength=len(key))[group] > 1
+                out = ~later
+                yield record_batch(_SHORT, [-many[out].astype(np.int32), key[out].view(np.int64), doc[out], start[out].astype(np.int32), size[out].astype(np.int32)])
+                d, s, e = islands(doc[later], start[later], start[later] + size[later])
+                place = mix(mix(d.astype(np.int64).view(U64)) + s.astype(U64)).view(np.int64)
+                yield record_batch(_SHORT, [np.ones(len(d), np.int32), place, d, s.astype(np.int32), (e - s).astype(np.int32)])
+
+    return run
+
+
+def _short_repeats(docs: DataFrame, least: int, words: int) -> DataFrame:
+    """doc_id, start, stop, is_first of short runs that occur more than once; spans may overlap."""
+    runs = docs.mapInArrow(_short_rows(least, words), "known int, key long, doc_id long, start int, size int")
+    over = "OVER (PARTITION BY key, known > 0)"
+    judged = runs.selectExpr("*", f"count(*) {over} AS members", f"min(known) {over} AS least", f"min(struct(doc_id, start)) {over} AS first").where("known > 0 OR least < 0 OR members > 1")
+    is_first = "known <= 0 AND doc_id = first.doc_id AND start < first.start + size AS is_first"
+    return judged.selectExpr("doc_id", "cast(start AS long) AS start", "cast(start + size AS long) AS stop", is_first)
+
+
+def repeated_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """doc_id, start, stop (numbers of lines that aren't blank), is_first. words: of shorter runs that count as well."""
+    d = id_text(docs).where("doc_id IS NOT NULL")
+    long = repeats(d, lines, least, gram)
+    return long if words is None else merged(long.unionByName(_short_repeats(d, least, words)))
+
+
+def clean(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = WORDS) -> DataFrame:
     """docs without later repeated runs; documents of which nothing is left go."""
-    gone = later_spans(repeated_runs(docs, least, gram)).withColumnRenamed("doc_id", "_id")
+    gone = later_spans(repeated_runs(docs, least, gram, words)).withColumnRenamed("doc_id", "_id")
     return rewritten(docs, gone, cut)
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("deleted_lines", pa.int64()), ("kept_chars", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """doc_id, n_lines (blank ones not), deleted_lines, kept_chars, kept_sha256 of the text that is left, of every row."""
-    gone = later_spans(repeated_runs(docs, least, gram)).withColumnRenamed("doc_id", "_id")
+    gone = later_spans(repeated_runs(docs, least, gram, words)).withColumnRenamed("doc_id", "_id")
     d = id_text(docs)
     joined = d.join(gone, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
 

@@ -42,6 +42,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 with short texts and wordy runs of one or two lines, as the pipeline's stage has it."""
+    return line_dedup.digests(table(spark, sf_dir, "documents"), words=line_dedup.WORDS)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_nearest_neighbours, op3_ngram_jaccard, op4_language_id, op5_suffix_dedup, op6_line_dedup, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe,
+        op1_token_counts, op2_nearest_neighbours, op3_ngram_jaccard, op4_language_id, op5_suffix_dedup, op6_line_dedup, op6_line_dedup_short, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe,
     )
 }
 
