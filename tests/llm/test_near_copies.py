@@ -68,6 +68,24 @@ def test_components_equal_the_plain_version(docs, rows, k, t):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows, k, t)
 
 
+@pytest.mark.parametrize(("k", "t"), [(3, Fraction(9, 10)), (5, Fraction(4, 5)), (2, Fraction(1, 2))])
+def test_links_equal_the_plain_version(docs, rows, k, t):
+    sets = {}
+    for i, x in rows:
+        w = words(x)
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+    n_links = Counter()
+    for a, s in sets.items():
+        n_links[a] = sum(a != b and bool(s) and t.numerator * max(len(s), len(z)) <= t.denominator * min(len(s), len(z)) and t.denominator * len(s & z) >= t.numerator * len(s | z) for b, z in sets.items())
+    got = ngram_join.link_counts(docs, k, t).collect()
+    assert len(got) == len(sets) and {r.doc_id: (r.n_shingles, r.n_links) for r in got} == {i: (len(s), n_links[i]) for i, s in sets.items()}
+    assert max(n_links.values()) > 40
+
+
+def test_links_query_equals_its_sql(spark, sf):
+    assert_same(QUERIES["op3_ngram_links"](spark, sf), sf, ORACLE_SQL["op3_ngram_links"])
+
+
 def test_one_of_each_and_empty(docs, spark):
     kept = {r.doc_id for r in ngram_join.one_of_each(docs).collect()}
     assert {None, 5000, 5001, 5002, 5005, 6000} <= kept and not any(6100 <= (i or 0) < 6140 for i in kept)

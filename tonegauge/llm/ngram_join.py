@@ -20,7 +20,9 @@ index entry:
    components: these are all counted.
 
 Every pair of different texts that the index names is thus either counted or
-already in one component, so components are exact. Equal sets (copies) are one
+already in one component, so components are exact. ``class_links`` and
+``link_counts`` take no such way round: they count every pair of classes that the
+index names, so links are exact too. Equal sets (copies) are one
 class from the start and take part once per input partition.
 
 Defined results: a null text, and a text without words, has the empty set, links
@@ -224,93 +226,133 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    d = id_text(docs).where("doc_id IS NOT NULL")
-    sc = d.sparkSession.sparkContext
-    classes = sc.broadcast(frequency_classes(d.select("text"), k))
-    raw = d.mapInArrow(_index(k, similarity, classes), "kind int, key long, aux long, doc_id long, n long, parity array<long>, near array<long>")
-    # copies within a partition and empty sets meet nothing here: dealt out by their own id
-    dealt = raw.withColumn("deal", F.when(F.col("kind") >= 2, F.xxhash64("doc_id")).otherwise(F.col("key")))
-    grouped = dealt.selectExpr(
-        "kind", "key", "aux", "doc_id", "n", "parity", "near",
-        "if(kind >= 2, doc_id, min(doc_id) OVER (PARTITION BY deal, kind, aux)) AS first",
-        "if(kind >= 2, 1, count(*) OVER (PARTITION BY deal, kind, aux)) AS members",
-    )
-    index = materialize(grouped.where("kind <> 1 OR members > 1").drop("members", "aux"))
-
-    heads = index.where("kind = 0").select("doc_id", F.col("first").alias("rep")).distinct()
-    moved = heads.where("doc_id <> rep")
-    entries = index.where("kind = 1").select("key", F.col("doc_id").alias("id"), "n")
-    sketches = index.where("kind = 0").select(F.col("doc_id").alias("id"), "parity").dropDuplicates(["id"])
-    fold = f"{_folded('parity', '4')} AS fold"
-    folds = sketches.selectExpr("id", fold)
-
-    num, den = similarity.numerator, similarity.denominator
-
-    def apart(x: str, y: str, total: str) -> str:
+class _Classes:
+    """Classes of equal sets, the index of their prefixes, and how pairs of them are dismissed or counted."""
+
+    def __init__(self, docs: DataFrame, k: int, similarity: Fraction, fragments: int):
+        self.k, self.similarity, self.fragments = k, similarity, fragments
+        self.docs = d = id_text(docs).where("doc_id IS NOT NULL")
+        sc = d.sparkSession.sparkContext
+        classes = sc.broadcast(frequency_classes(d.select("text"), k))
+        raw = d.mapInArrow(_index(k, similarity, classes), "kind int, key long, aux long, doc_id long, n long, parity array<long>, near array<long>")
+        # copies within a partition and empty sets meet nothing here: dealt out by their own id
+        dealt = raw.withColumn("deal", F.when(F.col("kind") >= 2, F.xxhash64("doc_id")).otherwise(F.col("key")))
+        grouped = dealt.selectExpr(
+            "kind", "key", "aux", "doc_id", "n", "parity", "near",
+            "if(kind >= 2, doc_id, min(doc_id) OVER (PARTITION BY deal, kind, aux)) AS first",
+            "if(kind >= 2, 1, count(*) OVER (PARTITION BY deal, kind, aux)) AS members",
+        )
+        self.index = index = materialize(grouped.where("kind <> 1 OR members > 1").drop("members", "aux"))
+
+        self.heads = heads = index.where("kind = 0").select("doc_id", F.col("first").alias("rep")).distinct()
+        self.moved = heads.where("doc_id <> rep")
+        self.entries = index.where("kind = 1").select("key", F.col("doc_id").alias("id"), "n")
+        self.sketches = sketches = index.where("kind = 0").select(F.col("doc_id").alias("id"), "parity").dropDuplicates(["id"])
+        self.fold = fold = f"{_folded('parity', '4')} AS fold"
+        self.folds = sketches.selectExpr("id", fold)
+
+    def apart(self, x: str, y: str, total: str) -> str:
         """Sketches don't rule the pair out: similar sets differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
+        num, den = self.similarity.numerator, self.similarity.denominator
         return f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c) * {num + den} <= ({total}) * {den - num}"
 
-    def both(x: str, y: str) -> str:
-        """The longer of two sketches folded to the shorter's size."""
-        return f"if(size({x}) > size({y}), {_folded(x, f'size({y})')}, {x})"
-
-    def alike(a: str, b: str) -> str:
+    def alike(self, a: str, b: str) -> str:
         """What sizes and folded sketches say of a pair."""
-        return f"{num} * greatest({a}.n, {b}.n) <= {den} * least({a}.n, {b}.n) AND {apart(f'{a}.fold', f'{b}.fold', f'{a}.n + {b}.n')}"
+        num, den = self.similarity.numerator, self.similarity.denominator
+        return f"{num} * greatest({a}.n, {b}.n) <= {den} * least({a}.n, {b}.n) AND {self.apart(f'{a}.fold', f'{b}.fold', f'{a}.n + {b}.n')}"
 
-    def segments_of(pairs: DataFrame) -> DataFrame:
+    def segments_of(self, pairs: DataFrame) -> DataFrame:
         """Segments of the documents in pairs: their texts are read again."""
         ids = compact(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)  # else the join shuffles
-        return d.join(ids, "doc_id", "left_semi").mapInArrow(_segments(k, fragments), "doc_id long, fragment int, segment binary")
+        return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_segments(self.k, self.fragments), "doc_id long, fragment int, segment binary")
 
-    def links_of(pairs: DataFrame) -> DataFrame:
+    def links_of(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, na, b, nb"""
+        num, den = self.similarity.numerator, self.similarity.denominator
         near = pairs.where(f"a <> b AND {num} * greatest(na, nb) <= {den} * least(na, nb)").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total")
         ).distinct()
-        x, y = sketches.toDF("a", "pa"), sketches.toDF("b", "pb")
-        near = near.join(x, "a").join(y, "b").where(apart(both("pa", "pb"), both("pb", "pa"), "total")).select("a", "b", "total")
+        x, y = self.sketches.toDF("a", "pa"), self.sketches.toDF("b", "pb")
+        near = near.join(x, "a").join(y, "b").where(self.apart(_both("pa", "pb"), _both("pb", "pa"), "total")).select("a", "b", "total")
         near = compact(materialize(near))
-        counted = count_overlaps(near.select("a", "b"), segments_of(near))
+        counted = count_overlaps(near.select("a", "b"), self.segments_of(near))
         return near.join(counted, ["a", "b"]).where(f"{den} * common >= {num} * (total - common)").select("a", "b")
 
-    def listed(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    def members(self) -> DataFrame:
+        """doc_id, n, rep (the class) of every row."""
+        index = self.index
+        return index.where("kind = 0").select("doc_id", "n", F.col("first").alias("rep")).unionByName(
+            index.where("kind = 2").select("doc_id", "n", "key").join(self.heads.select(F.col("doc_id").alias("key"), "rep"), "key").select("doc_id", "n", "rep")
+        ).unionByName(index.where("kind = 3").select("doc_id", "n", F.col("doc_id").alias("rep")))
+
+
+def _both(x: str, y: str) -> str:
+    """The longer of two sketches folded to the shorter's size."""
+    return f"if(size({x}) > size({y}), {_folded(x, f'size({y})')}, {x})"
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    joined = _Classes(docs, k, similarity, fragments)
 
     # 1. a few leaders of each min-hash's group
-    own = index.where("kind = 0 AND doc_id = first").selectExpr("doc_id AS id", "n", fold, "near").select("id", "n", "fold", F.posexplode("near").alias("r", "low"))
-    links, comps = moved.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
+    own = joined.index.where("kind = 0 AND doc_id = first").selectExpr("doc_id AS id", "n", joined.fold, "near").select("id", "n", "fold", F.posexplode("near").alias("r", "low"))
+    links, comps = joined.moved.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
     for turn in range(ROUNDS):
-        now = own.withColumn("comp", F.col("id")) if comps is None else own.join(listed(comps), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        now = own.withColumn("comp", F.col("id")) if comps is None else own.join(_listed(comps), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         order = F.xxhash64("id", F.lit(turn))
         lead = now.groupBy("r", "low", F.pmod(order, F.lit(LEADERS)).alias("j")).agg(F.min_by(F.struct("id", "n", "fold", "comp"), order).alias("l")).select("r", "low", "l.*")
-        met = now.alias("x").join(lead.alias("y"), F.expr(f"x.r = y.r AND x.low = y.low AND x.comp <> y.comp AND {alike('x', 'y')}"))
+        met = now.alias("x").join(lead.alias("y"), F.expr(f"x.r = y.r AND x.low = y.low AND x.comp <> y.comp AND {joined.alike('x', 'y')}"))
         pairs = met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb")
-        links = compact(materialize(links_of(pairs).unionByName(links)))
+        links = compact(materialize(joined.links_of(pairs).unionByName(links)))
         comps = compact(materialize(components(links)))
 
     # 2. the pairs of an entry that lie in different components
-    known = entries.join(listed(comps), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    known = joined.entries.join(_listed(comps), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
     over = "OVER (PARTITION BY key)"
-    open_ = known.selectExpr("*", f"min(comp) {over} AS lo", f"max(comp) {over} AS hi").where("lo < hi").drop("lo", "hi").join(folds, "id")
-    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.comp < y.comp AND {alike('x', 'y')}"))
-    rest = links_of(met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb"))
+    open_ = known.selectExpr("*", f"min(comp) {over} AS lo", f"max(comp) {over} AS hi").where("lo < hi").drop("lo", "hi").join(joined.folds, "id")
+    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.comp < y.comp AND {joined.alike('x', 'y')}"))
+    rest = joined.links_of(met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb"))
     links = compact(materialize(links.unionByName(rest)))
     comps = compact(materialize(components(links)))
 
-    members = index.where("kind = 0").select("doc_id", "n", F.col("first").alias("rep")).unionByName(
-        index.where("kind = 2").select("doc_id", "n", "key").join(heads.select(F.col("doc_id").alias("key"), "rep"), "key").select("doc_id", "n", "rep")
-    ).unionByName(index.where("kind = 3").select("doc_id", "n", F.col("doc_id").alias("rep")))
+    members = joined.members()
     full = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component"))
     # classes are named by the first document met of them; the component's name is its least document
     names = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return full.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def class_links(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a < b, of classes of equal sets, and (doc_id, n, rep), each document's class.
+
+    Every pair that the index names is counted, whatever links are known already, so a group of near copies is as
+    many pairs as it has; documents of one class are linked by being in it. The empty set has no class of others.
+    """
+    joined = _Classes(docs, k, similarity, fragments)
+    reps = joined.heads.where("doc_id = rep").select(F.col("rep").alias("id"))
+    open_ = joined.entries.join(_listed(reps), "id", "left_semi").join(joined.folds, "id")
+    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND {joined.alike('x', 'y')}"))
+    links = joined.links_of(met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb"))
+    return compact(materialize(links)), joined.members().distinct()
+
+
+def link_counts(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> DataFrame:
+    """doc_id, n_shingles, n_links (other documents whose sets are alike enough, copies too)."""
+    links, members = class_links(docs, k, similarity, fragments)
+    sizes = materialize(members.groupBy("rep").agg(F.count("*").alias("size")))
+    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes.toDF("b", "size"), "b")
+    met = each.groupBy("a").agg(F.sum("size").alias("met")).withColumnRenamed("a", "rep")
+    totals = sizes.join(met, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    return members.join(totals, "rep").select("doc_id", F.col("n").alias("n_shingles"), "n_links")
+
+
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component (rows with a null doc_id stay)."""
     gone = jaccard_components(docs, **parameters).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))

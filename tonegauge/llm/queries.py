@@ -30,6 +30,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, similarity=Fraction(9, 10))
 
 
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of op3 with all its links counted."""
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"), k=3, similarity=Fraction(9, 10))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_nearest_neighbours, op3_ngram_jaccard, op4_language_id, op5_suffix_dedup, op6_line_dedup, op6_line_dedup_short, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe,
+        op1_token_counts, op2_nearest_neighbours, op3_ngram_jaccard, op3_ngram_links, op4_language_id, op5_suffix_dedup, op6_line_dedup, op6_line_dedup_short, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe,
     )
 }
 
@@ -93,6 +98,20 @@ link AS (
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
 FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+""",
+    "op3_ngram_links": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), g AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, count(link.b) AS n_links
+FROM s LEFT JOIN link ON link.a = s.doc_id GROUP BY s.doc_id, s.s
 """,
     "op5_suffix_dedup": r"""
 WITH w AS (
