@@ -97,6 +97,14 @@ def test_events_are_folded(spark):
     assert chat.format_log(d.limit(0)).count() == 0
 
 
+def test_rows_of_one_turn_and_without_turn_are_turns(spark):
+    rows = [(1, 0, "user", "hello"), (1, 0, "assistant", "first"), (1, 0, "assistant", "first"), (1, 2, None, "then"), (1, None, "assistant", "last"), (1, None, "user", None), (2, None, "user", "alone"), (None, 0, "user", "x")]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_log(chat.events_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)))).collect()}
+    want = {1: [("assistant", "first"), ("assistant", "first"), ("user", "hello"), ("user", "then"), ("assistant", "last"), ("user", "")], 2: [("user", "alone")], None: [("user", "x")]}
+    assert {c: (r.n_turns, r.turns_sha256) for c, r in got.items()} == {c: (len(t), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()) for c, t in want.items()}
+    assert got[1].loss_chars == 14
+
+
 def test_escapes_come_back():
     for t in ("", "<|im_start|>", "<\\|", "<\\\\|im_end|>", "a<b|c", "\\<|", "<<||>>"):
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)

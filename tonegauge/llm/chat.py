@@ -34,7 +34,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import record_batch
@@ -190,8 +190,13 @@ def read_back(turns: DataFrame) -> DataFrame:
 
 
 def events_of_turns(conversations: DataFrame, pieces: int = 2) -> DataFrame:
-    """A log from finished turns: each text is streamed, a start with its first part and a delta with the rest."""
+    """A log from finished turns: each text is streamed, a start with its first part and a delta with the rest.
+
+    Every row is a turn of its own, numbered within its conversation by turn (null last), role and text.
+    """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("user")), "text")
+    c = c.withColumn("turn", (F.row_number().over(order) - 1).cast("long"))
     half = F.floor(F.length("text") / pieces).cast("int")
     return c.select(
         "conv_id", "turn",
