@@ -6,6 +6,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,16 +35,33 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; where
-    that is unset (tests), a folder of this machine."""
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``. Only where there is no
+    other machine (a local master: tests) and it is unset, a folder of this one."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if (named := spark.conf.get("spark.checkpoint.dir", None)) and held.isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    elif not named and held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if held.isEmpty():
+        if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        _swept(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _swept(spark: SparkSession, path: str) -> None:
+    """The path goes when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder, of which later readers take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _swept(spark, path)
+    return spark.read.parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder."""
     shared_folder(df.sparkSession)

@@ -20,22 +20,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether nothing but stars is left: every node points to one other at most, and none that points is pointed to."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    degrees = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return degrees.where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """id, component (the least id that links reach) for every id that a link (a, b) names.
 
     Each round is a few joins and partial aggregates over the links alone, with the
     lineage cut in the shared folder; the number of rounds grows with the logarithm
-    of the longest path.
+    of the longest path. It ends when only stars are left, which is looked up, not
+    estimated; not to end is an error.
     """
     edges = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct()
     edges = compact(materialize(edges))
-    mark = _mark(edges)
-    for _ in range(most_rounds):
+    rounds = 0
+    while not _stars(edges):
+        if rounds == most_rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         edges = compact(materialize(_star(_star(edges, large=True), large=False)))
-        if mark == (mark := _mark(edges)):  # a step that changes nothing leaves stars only
-            break
+        rounds += 1
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

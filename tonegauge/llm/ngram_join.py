@@ -1,29 +1,31 @@
 """Similarity join of documents by the Jaccard coefficient of word n-gram sets.
 
 Vertical partitioning. One global order of n-grams (rising frequency rank, then
-hash) is cut into fragments by hash bounds; a document's set falls into one
+hash) is cut into fragments of about equal weight; a document's set falls into one
 segment per fragment. A pair's overlap is counted fragment by fragment, each count
-on its own, and summed per pair.
+on its own, and summed per pair. Frequencies, which only order the n-grams, come
+from a count-min sketch over all documents, whose size is a parameter and not the
+data's.
 
 Which pairs are counted: in the global order, two sets that are similar enough
 share one of their first |x| - ceil(t |x|) + 1 n-grams, so an index of these
-prefixes names every possible partner. Frequencies, which only order the n-grams,
-come from a count-min sketch over all documents, whose size is a parameter and not
-the data's. Pairs whose parity sketches differ in more bits than similar sets can
-differ in elements are dismissed unseen, which is exact. Instead of all pairs of an
-index entry:
-
-1. documents with an equal min-hash (of a few, each of which two similar sets share
-   as often as they are alike) are counted against a few leaders of their group,
-   and components of the links found are formed;
-2. what is left are pairs of an index entry whose documents lie in different
-   components: these are all counted.
-
-Every pair of different texts that the index names is thus either counted or
-already in one component, so components are exact. ``class_links`` and
-``link_counts`` take no such way round: they count every pair of classes that the
-index names, so links are exact too. Equal sets (copies) are one
-class from the start and take part once per input partition.
+prefixes (the rare end of the order) names every possible partner.
+
+1. Equal sets (copies) are one class; of its documents one stands in the index.
+2. N-grams with the same documents name the same pairs: one of them stays. That,
+   like every count by n-gram, is a partial aggregate, so a frequent n-gram is a
+   row per task.
+3. Each document meets two leaders of each entry that it stands in, never all of
+   the entry; components of the links found are formed.
+4. What an entry names and step 3 left in different components meets in a pair's
+   first common entry only, and only if parity sketches, which two sets can't
+   differ in by more bits than in elements, let it: both tests are exact, so no
+   link is lost and hardly a pair that isn't one is counted.
+
+Every pair of different texts that the index names is thus either counted,
+dismissed by its sketches or already in one component, so components are exact.
+``class_links`` and ``link_counts`` take no such way round: they hold all pairs of
+an entry against their sketches, so links are exact too.
 
 Defined results: a null text, and a text without words, has the empty set, links
 with nothing and is its own component; a text with fewer words than an n-gram has
@@ -37,13 +39,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import compact, id_text, materialize, record_batch, slices
+from ._common import compact, id_text, materialize, record_batch, slices, stored
 from ._graph import components
 from ._text import U64, mix, shingle_sets
 
@@ -51,12 +55,10 @@ from ._text import U64, mix, shingle_sets
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: Fragments that the n-gram order is cut into.
 FRAGMENTS = 4
-#: Documents to compare (16 bytes each) up to which their ids are broadcast to the readers of their texts.
+#: Ids or n-grams (16 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 200_000
-#: Min-hashes that documents are first brought together by.
-MINHASHES = 4
-#: Documents of a min-hash's group that all of the group are counted against in a round, and rounds (other leaders in each).
-LEADERS, ROUNDS = 6, 3
+#: Earlier entries that a document brings along into an entry, to see whether a pair has met: more spare repetitions, none is needed.
+EARLIER = 16
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -98,10 +100,26 @@ def _add_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield record_batch(schema, [list(sums), [np.minimum(s, 0xFFFFFFFF).astype("<u4").tobytes() for s in sums.values()]])
 
 
-def frequency_classes(texts: DataFrame, k: int, width: int = SKETCH) -> np.ndarray:
-    """A rank from 0 to 255 for each counter of the sketch: in proportion up to twice the usual fill, so that
-    what a few documents share already stands behind what one has, and logarithmic beyond. The driver gets
-    4 bytes a counter."""
+class Order(NamedTuple):
+    """The global order: a rank (0 to 255) for each counter of the sketch, and where it is cut into fragments."""
+
+    ranks: np.ndarray
+    cuts: list[tuple[int, int]]
+
+    def fragment(self, hashes: np.ndarray) -> np.ndarray:
+        rank = self.rank(hashes)
+        out = np.zeros(len(hashes), np.int32)
+        for r, h in self.cuts:
+            out += (rank > r) | ((rank == r) & (hashes >= U64(h)))
+        return out
+
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        return self.ranks[(hashes & U64(len(self.ranks) - 1)).view(np.int64)]
+
+
+def global_order(texts: DataFrame, k: int, fragments: int = FRAGMENTS, width: int = SKETCH) -> Order:
+    """Ranks are in proportion up to twice the usual fill, so that what a few documents share already stands
+    behind what one has, and logarithmic beyond. The driver gets 4 bytes a counter."""
     parts = texts.mapInArrow(_sketch_rows(k, width), "row int, counts binary")
     summed = parts.repartition("row").mapInArrow(_add_sketch, "row int, counts binary").collect()
     total = np.zeros(width, np.float32)
@@ -111,64 +129,62 @@ def frequency_classes(texts: DataFrame, k: int, width: int = SKETCH) -> np.ndarr
     used = total[total > 0]
     usual = max(1.0, float(np.median(used))) if len(used) else 1.0
     ranks = np.where(total <= 2 * usual, total * (96 / usual), 192 + 4 * np.log2(np.maximum(total, 1e-9) / (2 * usual)))
-    return np.clip(ranks, 0, 255).astype(np.uint8)
+    ranks = np.clip(ranks, 0, 255).astype(np.uint8)
+    weight = np.concatenate([[0.0], np.cumsum(np.bincount(ranks, total, 256))])
+    cuts = []
+    for i in range(1, fragments):
+        at = weight[-1] * i / fragments
+        r = min(255, int(np.searchsorted(weight, at, side="right")) - 1)
+        share = (at - weight[r]) / max(weight[r + 1] - weight[r], 1e-9)
+        cuts.append((r, min((1 << 64) - 1, int(share * (1 << 64)))))
+    return Order(ranks, cuts)
 
 
 #: Bits of the parity sketch of sets up to 3,000 elements, 12,000 and more. A set's bit is odd if an odd number of its hashes falls on it, so two sets
 #: differ in at least as many elements as their sketches do in bits: a bound that dismisses pairs exactly.
 PARITY = (1 << 10, 1 << 12, 1 << 14)
-_INDEX = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("aux", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+_INDEX = pa.schema([(n, pa.int64()) for n in ("row_id", "doc_id", "n", "d0", "d1")] + [("new", pa.bool_())] + [(n, pa.list_(pa.int64())) for n in ("parity", "keys")])
+_INDEX_DDL = "row_id long, doc_id long, n long, d0 long, d1 long, new boolean, parity array<long>, keys array<long>"
+#: Sets that a task remembers as met; more are written as if they were new.
+MET = 500_000
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def _index(k: int, sim: Fraction, classes) -> object:
-    """Rows of kind 0: a document and its set's 128-bit digest (first of its set in this partition);
-    2: a document and the document of this partition that has the same set; 1: a prefix n-gram and a document."""
+
+def _index(k: int, sim: Fraction, order):
+    """A row for each document: its set's size and 128-bit digest; and, unless the task has met this set before,
+    parity sketch and prefix n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes.value
-        seen: dict[tuple[int, int], int] = {}
+        ranks, seen, number = order.value, set(), TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in slices(texts):
                 hashes, bounds = shingle_sets(texts[a:b], k)
-                cls = table[(hashes & U64(len(table) - 1)).view(np.int64)]
+                rank = ranks.rank(hashes)
                 one = mix(hashes)
                 sums = np.concatenate([np.zeros((1, 2), U64), np.cumsum(np.stack([one, mix(one)], 1), axis=0)])
                 bit = (one >> U64(20) & U64(PARITY[-1] - 1)).view(np.int64)
-                solid = bounds[:-1][np.diff(bounds) > 0]
-                low = [np.minimum.reduceat(mix(one ^ U64(0xA5A5 * (r + 1))), solid) if len(solid) else one for r in range(MINHASHES)]
-                lows, place = np.stack(low).view(np.int64), -1
-                heads, keys, docs, sizes = [], [], [], []
+                rows = []
                 for doc, lo, hi in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    n = hi - lo
-                    digest = tuple((sums[hi] - sums[lo]).tolist())
-                    if n == 0:
-                        heads.append((3, doc, 0, doc, 0, None, None))
+                    n, number = hi - lo, number + 1
+                    digest = tuple(map(_signed, (sums[hi] - sums[lo]).tolist()))
+                    if n == 0 or digest in seen:
+                        rows.append((number, doc, n, *digest, False, None, None))
                         continue
-                    place += 1
-                    if (first := seen.get(digest)) is not None:
-                        heads.append((2, first, 0, doc, n, None, None))
-                        continue
-                    seen[digest] = doc
+                    if len(seen) < MET:
+                        seen.add(digest)
                     width = PARITY[0 if n < 3000 else 1 if n < 12000 else 2]
-                    odd = np.packbits((np.bincount(bit[lo:hi] & (width - 1), minlength=width) & 1).astype(bool)).view(np.int64).tolist()
-                    heads.append((0, *(x - (1 << 64) if x >> 63 else x for x in digest), doc, n, odd, lows[:, place].tolist()))
-                    least = -(-n * sim.numerator // sim.denominator)
-                    take = n - least + 1
-                    if take == n:
-                        part = hashes[lo:hi]
-                    else:
-                        order = np.lexsort((one[lo:hi], cls[lo:hi]))[:take]
-                        part = hashes[lo:hi][order]
-                    keys.append(part)
-                    docs.append(doc)
-                    sizes.append(n)
-                if heads:
-                    yield record_batch(_INDEX, [list(c) for c in zip(*heads, strict=True)])
-                if keys:
-                    times = [len(x) for x in keys]
-                    flat = _long(np.concatenate(keys))
-                    yield record_batch(_INDEX, [np.full(len(flat), 1, np.int32), flat, np.zeros(len(flat), np.int64), np.repeat(np.array(docs, np.int64), times), np.repeat(np.array(sizes, np.int64), times), *[pa.nulls(len(flat), pa.list_(pa.int64()))] * 2])
+                    odd = np.packbits((np.bincount(bit[lo:hi] & (width - 1), minlength=width) & 1).astype(bool)).view(np.int64)
+                    take = n + (-n * sim.numerator // sim.denominator) + 1
+                    part = hashes[lo:hi]
+                    if take < n:
+                        part = part[np.lexsort((one[lo:hi], rank[lo:hi]))[:take]]
+                    rows.append((number, doc, n, *digest, True, odd, _long(part)))
+                if rows:
+                    yield record_batch(_INDEX, [list(c) for c in zip(*rows, strict=True)])
 
     return run
 
@@ -181,19 +197,20 @@ def _folded(parity: str, words: str) -> str:
 _SEGMENTS = pa.schema([("doc_id", pa.int64()), ("fragment", pa.int32()), ("segment", pa.binary())])
 
 
-def _segments(k: int, fragments: int):
-    """A document's n-grams, a row for each fragment of the hash order: sorted 8-byte numbers."""
+def _segments(k: int, order):
+    """A document's n-grams, a row for each fragment of the global order: sorted 8-byte numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = order.value
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in slices(texts):
                 hashes, bounds = shingle_sets(texts[a:b], k)
-                cuts = [U64((i << 64) // fragments) for i in range(1, fragments)]
+                fragment = cut.fragment(hashes)
                 rows = []
                 for doc, lo, hi in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    at = [lo, *(lo + np.searchsorted(hashes[lo:hi], cuts)).tolist(), hi]
-                    rows += [(doc, f, hashes[x:y].tobytes()) for f, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+                    own, where = hashes[lo:hi], fragment[lo:hi]
+                    rows += [(doc, f, own[where == f].tobytes()) for f in np.unique(where).tolist()]
                 if rows:
                     yield record_batch(_SEGMENTS, [list(c) for c in zip(*rows, strict=True)])
 
@@ -226,66 +243,8 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
-class _Classes:
-    """Classes of equal sets, the index of their prefixes, and how pairs of them are dismissed or counted."""
-
-    def __init__(self, docs: DataFrame, k: int, similarity: Fraction, fragments: int):
-        self.k, self.similarity, self.fragments = k, similarity, fragments
-        self.docs = d = id_text(docs).where("doc_id IS NOT NULL")
-        sc = d.sparkSession.sparkContext
-        classes = sc.broadcast(frequency_classes(d.select("text"), k))
-        raw = d.mapInArrow(_index(k, similarity, classes), "kind int, key long, aux long, doc_id long, n long, parity array<long>, near array<long>")
-        # copies within a partition and empty sets meet nothing here: dealt out by their own id
-        dealt = raw.withColumn("deal", F.when(F.col("kind") >= 2, F.xxhash64("doc_id")).otherwise(F.col("key")))
-        grouped = dealt.selectExpr(
-            "kind", "key", "aux", "doc_id", "n", "parity", "near",
-            "if(kind >= 2, doc_id, min(doc_id) OVER (PARTITION BY deal, kind, aux)) AS first",
-            "if(kind >= 2, 1, count(*) OVER (PARTITION BY deal, kind, aux)) AS members",
-        )
-        self.index = index = materialize(grouped.where("kind <> 1 OR members > 1").drop("members", "aux"))
-
-        self.heads = heads = index.where("kind = 0").select("doc_id", F.col("first").alias("rep")).distinct()
-        self.moved = heads.where("doc_id <> rep")
-        self.entries = index.where("kind = 1").select("key", F.col("doc_id").alias("id"), "n")
-        self.sketches = sketches = index.where("kind = 0").select(F.col("doc_id").alias("id"), "parity").dropDuplicates(["id"])
-        self.fold = fold = f"{_folded('parity', '4')} AS fold"
-        self.folds = sketches.selectExpr("id", fold)
-
-    def apart(self, x: str, y: str, total: str) -> str:
-        """Sketches don't rule the pair out: similar sets differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
-        num, den = self.similarity.numerator, self.similarity.denominator
-        return f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c) * {num + den} <= ({total}) * {den - num}"
-
-    def alike(self, a: str, b: str) -> str:
-        """What sizes and folded sketches say of a pair."""
-        num, den = self.similarity.numerator, self.similarity.denominator
-        return f"{num} * greatest({a}.n, {b}.n) <= {den} * least({a}.n, {b}.n) AND {self.apart(f'{a}.fold', f'{b}.fold', f'{a}.n + {b}.n')}"
-
-    def segments_of(self, pairs: DataFrame) -> DataFrame:
-        """Segments of the documents in pairs: their texts are read again."""
-        ids = compact(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)  # else the join shuffles
-        return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_segments(self.k, self.fragments), "doc_id long, fragment int, segment binary")
-
-    def links_of(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, na, b, nb"""
-        num, den = self.similarity.numerator, self.similarity.denominator
-        near = pairs.where(f"a <> b AND {num} * greatest(na, nb) <= {den} * least(na, nb)").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("total")
-        ).distinct()
-        x, y = self.sketches.toDF("a", "pa"), self.sketches.toDF("b", "pb")
-        near = near.join(x, "a").join(y, "b").where(self.apart(_both("pa", "pb"), _both("pb", "pa"), "total")).select("a", "b", "total")
-        near = compact(materialize(near))
-        counted = count_overlaps(near.select("a", "b"), self.segments_of(near))
-        return near.join(counted, ["a", "b"]).where(f"{den} * common >= {num} * (total - common)").select("a", "b")
-
-    def members(self) -> DataFrame:
-        """doc_id, n, rep (the class) of every row."""
-        index = self.index
-        return index.where("kind = 0").select("doc_id", "n", F.col("first").alias("rep")).unionByName(
-            index.where("kind = 2").select("doc_id", "n", "key").join(self.heads.select(F.col("doc_id").alias("key"), "rep"), "key").select("doc_id", "n", "rep")
-        ).unionByName(index.where("kind = 3").select("doc_id", "n", F.col("doc_id").alias("rep")))
+def _listed(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _both(x: str, y: str) -> str:
@@ -293,54 +252,89 @@ def _both(x: str, y: str) -> str:
     return f"if(size({x}) > size({y}), {_folded(x, f'size({y})')}, {x})"
 
 
-def _listed(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+class _Index:
+    """Classes of equal sets, entries (a prefix n-gram and a class that has it), and how pairs are dismissed and counted."""
+
+    def __init__(self, docs: DataFrame, k: int, similarity: Fraction, fragments: int):
+        self.k, self.similarity = k, similarity
+        self.docs = d = id_text(docs).where("doc_id IS NOT NULL")
+        self.order = d.sparkSession.sparkContext.broadcast(global_order(d.select("text"), k, fragments))
+        raw = stored(d.mapInArrow(_index(k, similarity, self.order), _INDEX_DDL))
+        self.documents = raw.select("doc_id", "n", "d0", "d1")
+        # a class is named by its least document; the carrier is the document whose row has its n-grams
+        self.classes = compact(materialize(raw.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("new"), F.col("row_id"))).alias("carrier"))))
+
+        named = raw.where("new").select("row_id", F.explode("keys").alias("key"))
+        spots = raw.where("new").select("row_id", "doc_id", F.explode("keys").alias("key"))
+        shared = spots.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.expr("bit_xor(xxhash64(row_id))").alias("who")).where("lo < hi")
+        kept = compact(materialize(shared.groupBy("lo", "hi", "who").agg(F.min("key").alias("key")).select("key")))
+        mine = named.join(_listed(kept), "key", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_set("key")).alias("own"))
+        heads = raw.where("new").select("row_id", "n", "parity").join(self.classes.select(F.col("carrier").alias("row_id"), F.col("rep").alias("id")), "row_id").join(mine, "row_id")
+        before = f"slice(own, 1, least(at, {EARLIER}))"
+        self.entries = materialize(heads.select("id", "n", "parity", "own", F.posexplode("own").alias("at", "key")).selectExpr("key", "id", "n", "parity", f"{before} AS before"))
+
+    def near(self, x: str, y: str) -> str:
+        """Sizes and sketches don't rule the pair out: similar sets differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
+        num, den = self.similarity.numerator, self.similarity.denominator
+        apart = f"aggregate(zip_with({_both(f'{x}.parity', f'{y}.parity')}, {_both(f'{y}.parity', f'{x}.parity')}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+        return f"{num} * greatest({x}.n, {y}.n) <= {den} * least({x}.n, {y}.n) AND {apart} * {num + den} <= ({x}.n + {y}.n) * {den - num}"
+
+    def links_of(self, pairs: DataFrame) -> DataFrame:
+        """a, b of those pairs (x, nx, y, ny) that are similar: the texts of their documents are read again."""
+        num, den = self.similarity.numerator, self.similarity.denominator
+        asked = compact(materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("total")).distinct()))
+        ids = _listed(compact(materialize(asked.select(F.col("a").alias("doc_id")).union(asked.select("b")).distinct())))
+        segments = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_segments(self.k, self.order), "doc_id long, fragment int, segment binary")
+        counted = count_overlaps(asked.select("a", "b"), segments)
+        return compact(materialize(asked.join(counted, ["a", "b"]).where(f"{den} * common >= {num} * (total - common)").select("a", "b")))
+
+    def first_links(self) -> DataFrame:
+        """Links of documents with two leaders of each entry: one that is the same for many entries, one that is the entry's own."""
+        who = F.struct("id", "n", "parity")
+        leaders = self.entries.groupBy("key").agg(F.min_by(who, F.xxhash64("id")).alias("p"), F.min_by(who, F.xxhash64("id", "key")).alias("q"))
+        leaders = materialize(leaders.select("key", F.explode(F.array_distinct(F.array("p", "q"))).alias("l")).select("key", "l.*"))
+        met = self.entries.drop("before").alias("x").join(leaders.alias("y"), F.expr(f"x.key = y.key AND x.id <> y.id AND {self.near('x', 'y')}"))
+        return self.links_of(met.selectExpr("x.id AS x", "x.n AS nx", "y.id AS y", "y.n AS ny"))
+
+    def links_within(self, entries: DataFrame, name: str) -> DataFrame:
+        """Links of documents that share an entry and differ in a column ``name``."""
+        new = f"x.{name} < y.{name} AND NOT arrays_overlap(x.before, y.before)"
+        met = entries.alias("x").join(entries.alias("y"), F.expr(f"x.key = y.key AND {new} AND {self.near('x', 'y')}"))
+        return self.links_of(met.selectExpr("x.id AS x", "x.n AS nx", "y.id AS y", "y.n AS ny"))
+
+    def of_documents(self, classes: DataFrame, columns: list[str]) -> DataFrame:
+        """doc_id, n_shingles and columns of the documents' classes (null for the empty set)."""
+        return self.documents.join(classes.select("d0", "d1", F.lit(1).alias("some"), *columns), ["d0", "d1"], "left").select("doc_id", F.col("n").alias("n_shingles"), *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in columns])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    joined = _Classes(docs, k, similarity, fragments)
-
-    # 1. a few leaders of each min-hash's group
-    own = joined.index.where("kind = 0 AND doc_id = first").selectExpr("doc_id AS id", "n", joined.fold, "near").select("id", "n", "fold", F.posexplode("near").alias("r", "low"))
-    links, comps = joined.moved.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
-    for turn in range(ROUNDS):
-        now = own.withColumn("comp", F.col("id")) if comps is None else own.join(_listed(comps), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        order = F.xxhash64("id", F.lit(turn))
-        lead = now.groupBy("r", "low", F.pmod(order, F.lit(LEADERS)).alias("j")).agg(F.min_by(F.struct("id", "n", "fold", "comp"), order).alias("l")).select("r", "low", "l.*")
-        met = now.alias("x").join(lead.alias("y"), F.expr(f"x.r = y.r AND x.low = y.low AND x.comp <> y.comp AND {joined.alike('x', 'y')}"))
-        pairs = met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb")
-        links = compact(materialize(joined.links_of(pairs).unionByName(links)))
-        comps = compact(materialize(components(links)))
-
-    # 2. the pairs of an entry that lie in different components
-    known = joined.entries.join(_listed(comps), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    over = "OVER (PARTITION BY key)"
-    open_ = known.selectExpr("*", f"min(comp) {over} AS lo", f"max(comp) {over} AS hi").where("lo < hi").drop("lo", "hi").join(joined.folds, "id")
-    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.comp < y.comp AND {joined.alike('x', 'y')}"))
-    rest = joined.links_of(met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb"))
-    links = compact(materialize(links.unionByName(rest)))
-    comps = compact(materialize(components(links)))
-
-    members = joined.members()
-    full = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component"))
-    # classes are named by the first document met of them; the component's name is its least document
-    names = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return full.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    index = _Index(docs, k, similarity, fragments)
+    near = compact(materialize(components(index.first_links())))
+    known = index.entries.join(_listed(near), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    known = materialize(known)
+    open_ = materialize(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    rest = index.links_within(known.join(_listed(open_), "key", "left_semi"), "comp")
+    # links of components: what they join takes the least name
+    name = lambda end: near.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    over = rest.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = compact(materialize(components(over)))
+    classes = index.classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").withColumn("id", F.coalesce("component", "rep")).drop("component").join(joined, "id", "left")
+    classes = materialize(classes.select("d0", "d1", F.coalesce("component", "id").alias("component")))
+    found = index.of_documents(classes, ["component"])
+    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def class_links(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
     """All links: (a, b), a < b, of classes of equal sets, and (doc_id, n, rep), each document's class.
 
-    Every pair that the index names is counted, whatever links are known already, so a group of near copies is as
-    many pairs as it has; documents of one class are linked by being in it. The empty set has no class of others.
+    Every pair that the index names is held against its sketches, whatever links are known already, so a group of near
+    copies is as many pairs as it has; documents of one class are linked by being in it. The empty set has no class of others.
     """
-    joined = _Classes(docs, k, similarity, fragments)
-    reps = joined.heads.where("doc_id = rep").select(F.col("rep").alias("id"))
-    open_ = joined.entries.join(_listed(reps), "id", "left_semi").join(joined.folds, "id")
-    met = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND {joined.alike('x', 'y')}"))
-    links = joined.links_of(met.selectExpr("x.id AS a", "x.n AS na", "y.id AS b", "y.n AS nb"))
-    return compact(materialize(links)), joined.members().distinct()
+    index = _Index(docs, k, similarity, fragments)
+    links = index.links_within(index.entries, "id")
+    found = index.of_documents(index.classes, ["rep"])
+    return links, found.select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("rep", "doc_id").alias("rep")).distinct()
 
 
 def link_counts(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), fragments: int = FRAGMENTS) -> DataFrame:
@@ -355,5 +349,5 @@ def link_counts(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4,
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component (rows with a null doc_id stay)."""
-    gone = jaccard_components(docs, **parameters).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = jaccard_components(docs, **parameters).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
