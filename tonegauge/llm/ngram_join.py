@@ -55,8 +55,8 @@ from ._text import U64, mix, shingle_sets
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: Fragments that the n-gram order is cut into.
 FRAGMENTS = 4
-#: Ids or n-grams (16 bytes each) up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 200_000
+#: Rows of ids (16 bytes each) and of n-grams (8 bytes) up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_IDS, BROADCAST_KEYS = 200_000, 1_000_000
 #: Earlier entries that a document brings along into an entry, to see whether a pair has met: more spare repetitions, none is needed.
 EARLIER = 16
 
@@ -243,8 +243,8 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
-def _listed(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _listed(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def _both(x: str, y: str) -> str:
@@ -264,12 +264,16 @@ class _Index:
         # a class is named by its least document; the carrier is the document whose row has its n-grams
         self.classes = compact(materialize(raw.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("new"), F.col("row_id"))).alias("carrier"))))
 
-        named = raw.where("new").select("row_id", F.explode("keys").alias("key"))
-        spots = raw.where("new").select("row_id", "doc_id", F.explode("keys").alias("key"))
-        shared = spots.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.expr("bit_xor(xxhash64(row_id))").alias("who")).where("lo < hi")
-        kept = compact(materialize(shared.groupBy("lo", "hi", "who").agg(F.min("key").alias("key")).select("key")))
-        mine = named.join(_listed(kept), "key", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_set("key")).alias("own"))
-        heads = raw.where("new").select("row_id", "n", "parity").join(self.classes.select(F.col("carrier").alias("row_id"), F.col("rep").alias("id")), "row_id").join(mine, "row_id")
+        # the same set met by several tasks is indexed once
+        again = compact(materialize(raw.where("new").select("row_id").join(self.classes.select(F.col("carrier").alias("row_id")), "row_id", "left_anti")))
+        sets = raw.where("new").join(_listed(again), "row_id", "left_anti")
+        spots = sets.select("row_id", "n", F.explode("keys").alias("key"))
+        shared = spots.groupBy("key").agg(F.count("*").alias("c"), F.min("row_id").alias("lo"), F.expr("bit_xor(xxhash64(row_id))").alias("who"), F.min("n").alias("least"), F.max("n").alias("most"))
+        # two that differ too much in size are no pair
+        shared = shared.where(f"c > 2 OR c = 2 AND {similarity.numerator} * most <= {similarity.denominator} * least")
+        kept = compact(materialize(shared.groupBy("c", "lo", "who", "least", "most").agg(F.min("key").alias("key")).select("key")))
+        mine = spots.join(_listed(kept, BROADCAST_KEYS), "key", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_set("key")).alias("own"))
+        heads = sets.select("row_id", "n", "parity").join(self.classes.select(F.col("carrier").alias("row_id"), F.col("rep").alias("id")), "row_id").join(mine, "row_id")
         before = f"slice(own, 1, least(at, {EARLIER}))"
         self.entries = materialize(heads.select("id", "n", "parity", "own", F.posexplode("own").alias("at", "key")).selectExpr("key", "id", "n", "parity", f"{before} AS before"))
 
