@@ -22,6 +22,7 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -37,12 +38,26 @@ from ._common import id_text, no_cycles, record_batch, slices
 CAPACITY = 4096
 #: Share of a bin that a class may waste before a piece is cut instead.
 WASTE = 0.02
-#: Words, and words without case and mark, in each of the two generations a worker remembers.
-MEMO_WORDS, MEMO_STEMS = 150_000, 300_000
+#: Pre-tokens in each of the two generations a worker remembers.
+MEMO = 400_000
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 PIECES_DDL = ", ".join(f"{n} long" for n in PIECES.names)
-#: str.split() also cuts at these, which the tokenizer takes for text.
-_ODD_SPACE = "\x1c\x1d\x1e\x1f"
+# The tokenizer's white space; its letters and numbers up to U+00FF; its contractions, by either case.
+_SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+_NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+_SHORT = "'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
+_PRE_TOKEN = f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
+_NARROW = re.compile(_PRE_TOKEN)
+#: For texts that aren't of these characters alone: a word that holds another one, or what may be a special token, is left to the library.
+_ANY = re.compile(f"[^{_SPACE}]*(?:[^\\x00-\\xff{_SPACE}]|<\\|)[^{_SPACE}]*|{_PRE_TOKEN}")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet's letter for each byte: printable Latin-1 stands for itself, the others are numbered from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def packed_ids(ids: list[int]) -> bytes:
@@ -54,67 +69,57 @@ def packed_ids(ids: list[int]) -> bytes:
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizers file that drops white space: each word goes through the library once while it is remembered."""
+    """Ids of whole texts from a tokenizers file that lower-cases, drops white space and merges within pre-tokens:
+    each pre-token goes through the library's model once while it is remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.older_stems: dict[str, bytes] = {}
-        self.marks = dict(zip(",.;:!?", self._encode(list(",.;:!?")), strict=True)) | {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [packed_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_stems(self, wanted: dict) -> None:
-        new = [x for x in wanted if x not in self.stems]
-        if len(self.stems) + len(new) > MEMO_STEMS:
-            self.stems, self.older_stems = {}, self.stems
-            new = list(wanted)
-        kept = [x for x in new if x in self.older_stems]
-        self.stems.update(zip(kept, map(self.older_stems.__getitem__, kept), strict=True))
-        fresh = [x for x in new if x not in self.stems]
-        for at in range(0, len(fresh), 4096):
-            self.stems.update(zip(fresh[at : at + 4096], self._encode(fresh[at : at + 4096]), strict=True))
+
+    def _ids(self, token: str) -> bytes:
+        if token.isascii() and token.isalpha():
+            found = self.model.tokenize(token.lower())
+        else:
+            try:
+                data = token.encode("latin-1").decode("latin-1").lower()
+            except UnicodeEncodeError:
+                return packed_ids(self.tokenizer.encode(token, add_special_tokens=False).ids)
+            if "<|" in data:
+                return packed_ids(self.tokenizer.encode(token, add_special_tokens=False).ids)
+            found = self.model.tokenize(data.encode().decode("latin-1").translate(self.letters))
+        return packed_ids([t.id for t in found])
 
     def _learn(self, new: set[str]) -> None:
-        """Remember the ids of words that aren't in memory."""
-        older = self.older
-        found = {w: older[w] for w in new if w in older}
-        plain: dict[str, list[tuple[str, str]]] = {}
-        fresh = []
-        for w in new:
-            if w not in found:
-                core, mark = (w[:-1], w[-1]) if w[-1] in ",.;:!?" else (w, "")
-                if core.isalpha() and max(core) < "\u0100":  # letters, then one mark: two pre-tokens, and case is the normaliser's only work
-                    plain.setdefault(core.lower(), []).append((w, mark))
-                else:
-                    fresh.append(w)
-        for at in range(0, len(fresh), 4096):
-            found.update(zip(fresh[at : at + 4096], self._encode(fresh[at : at + 4096]), strict=True))
-        self._learn_stems(plain)
-        for stem, forms in plain.items():
-            packed = self.stems[stem]
-            for w, mark in forms:
-                found[w] = packed + self.marks[mark]
-        self.memo.update(found)
+        """Remember the ids of pre-tokens that aren't in memory."""
+        memo, older, ids = self.memo, self.older, self._ids
+        for token in new:
+            memo[token] = older[token] if token in older else ids(token)
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if any(c in t for c in _ODD_SPACE) else t.split() for t in texts]
-        words = set(chain.from_iterable(x for x in split if x))
-        missing = words - self.memo.keys()
-        if len(self.memo) + len(missing) > MEMO_WORDS:
+        split = []
+        for text in texts:
+            try:
+                text.encode("latin-1")
+                narrow = "<|" not in text
+            except UnicodeEncodeError:
+                narrow = False
+            split.append(_NARROW.findall(text.lower()) if narrow else _ANY.findall(text))
+        tokens = set(chain.from_iterable(split))
+        missing = tokens - self.memo.keys()
+        if len(self.memo) + len(missing) > MEMO:
             self.memo, self.older = {}, self.memo
-            missing = words
+            missing = tokens
         if missing:
             self._learn(missing)
         ids = self.memo.__getitem__
-        return [self._encode([t])[0] if x is None else b"".join(map(ids, x)) for t, x in zip(texts, split, strict=True)]
+        return [b"".join(map(ids, x)) for x in split]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -210,6 +215,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                     yield packer.take()
             packer.close()
             yield packer.take()
-            tokenizer.older, tokenizer.older_stems = {}, {}  # half of what is remembered, for the worker's next task
+            tokenizer.older = {}  # half of what is remembered, for the worker's next task
 
     return id_text(docs).mapInArrow(run, PIECES_DDL)
