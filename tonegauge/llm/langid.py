@@ -8,15 +8,17 @@ forward-backward over the whole text, so words of code-switched text get labels
 of their own; a text's label is the one with the largest expected share of words,
 and its score that share.
 
-Training rows are at most about ``PER_LABEL`` whole texts of each label, picked by
-a hash of doc_id; every word of theirs has the text's label, and pieces of two
-labels are spliced so that transitions between labels are seen. Likelihood is
-maximised by AdaGrad steps over all pieces.
+Every label is learned. Training rows are at most about ``PER_LABEL`` texts of each
+label, picked by a hash of doc_id; of a text longer than ``MOST_CHARS`` a stretch of
+that length at a hashed place is learned from. Every word has the text's label, and
+pieces of two labels are spliced so that transitions between labels are seen.
+Likelihood is maximised by AdaGrad steps over all pieces.
 
 Defined results: a null text or one without letters is ``und`` with score 0; with
 no labelled rows every text is; ties go to the label that sorts first; repeated
 rows get equal answers; an empty table gives an empty table; further columns are
-kept by ``labelled`` and ignored by ``train``.
+kept by ``labelled`` (but for its own output names) and by ``accept`` (all of them),
+and ignored by ``train``.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import no_cycles
+from ._common import no_cycles, unused
 from ._text import U64, mix
 
-#: The most training rows of a label, labels, hashed features, words of a training piece, and occurrences that put a word into the lexicon.
-PER_LABEL, LABELS, FEATURES, PIECE, LEXICON = 250, 64, 1 << 16, 32, 3
+#: The most training rows of a label and characters of each, hashed features, words of a training piece, and occurrences that put a word into the lexicon.
+PER_LABEL, MOST_CHARS, FEATURES, PIECE, LEXICON = 250, 100_000, 1 << 16, 32, 3
 #: Bytes of texts that are labelled together, or one text.
 AT_ONCE = 1_500_000
 #: Distinct words whose label scores a worker keeps.
@@ -226,17 +228,19 @@ class Crf:
         a /= a.sum(1, keepdims=True)
         return a[place], bounds
 
-    def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Label and score of each text."""
+    def label(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Label and score of each text, and how certain its words' own labels are on average."""
         split = [words_of(t) for t in texts]
         solid = [i for i, ws in enumerate(split) if any(c.isalpha() for w in ws for c in w)]
-        labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        labels, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if solid and self.labels:
             p, bounds = self.marginals([split[i] for i in solid])
-            shares = np.add.reduceat(p.astype(np.float64), bounds[:-1], axis=0) / np.diff(bounds)[:, None]
-            for i, k, s in zip(solid, shares.argmax(1).tolist(), shares.max(1).tolist(), strict=True):
-                labels[i], scores[i] = self.labels[k], min(1.0, s)
-        return labels, scores
+            sizes = np.diff(bounds)
+            shares = np.add.reduceat(p.astype(np.float64), bounds[:-1], axis=0) / sizes[:, None]
+            clear = np.add.reduceat(p.max(axis=1).astype(np.float64), bounds[:-1]) / sizes
+            for i, k, s, c in zip(solid, shares.argmax(1).tolist(), shares.max(1).tolist(), clear.tolist(), strict=True):
+                labels[i], scores[i], sure[i] = self.labels[k], min(1.0, s), min(1.0, c)
+        return labels, scores, sure
 
 
 def held_out(doc_id) -> object:
@@ -247,13 +251,13 @@ def held_out(doc_id) -> object:
 def train(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
     """Learn from a bounded sample of labelled rows that aren't held out (rows with a null doc_id are)."""
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Crf([], set())
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, (per_label << 20) // n + 1))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < share).select("doc_id", "lang", "text")
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 20, (per_label << 20) // n + 1))]), F.col("lang"))
+    size, place = F.length("text"), F.xxhash64("doc_id", F.lit("stretch"))
+    stretch = F.when(size > MOST_CHARS, F.substring("text", (F.pmod(place, F.greatest(size - MOST_CHARS, F.lit(1))) + 1).cast("int"), F.lit(MOST_CHARS))).otherwise(F.col("text"))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < share).select("doc_id", "lang", stretch.alias("text"))
     sample = sorted(chosen.limit(2 * per_label * len(counts)).collect())
     labels = sorted({r.lang for r in sample})
     seen = Counter(w for r in sample for w in words_of(r.text))
@@ -261,12 +265,14 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
     return model.fit([(r.text, labels.index(r.lang)) for r in sample])
 
 
-def labelled(docs: DataFrame, model: Crf, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns ``keep``) with lang_pred and score (columns of these names are replaced); one pass, no shuffle."""
+def labelled(docs: DataFrame, model: Crf, keep: list[str] | None = None, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """docs (or its columns ``keep``) with label, score and, if a third name is given, certainty (columns of these
+    names are replaced); one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     at, kept = docs.columns.index("text"), [docs.columns.index(c) for c in keep or docs.columns]
-    out = StructType([*(docs.schema.fields[i] for i in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    own = list(zip(names, (StringType(), DoubleType(), DoubleType()), (pa.string(), pa.float64(), pa.float64()), strict=False))
+    out = StructType([*(docs.schema.fields[i] for i in kept), *(StructField(n, t) for n, t, _ in own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
@@ -274,17 +280,19 @@ def labelled(docs: DataFrame, model: Crf, keep: list[str] | None = None) -> Data
             for batch in batches:
                 column = batch.column(at)
                 # texts of like length together: a step of the chain then serves many of them
-                order = np.argsort(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), kind="stable")
-                labels, scores = np.empty(len(order), object), np.empty(len(order))
-                size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)[order].astype(np.int64))
+                sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+                order = np.argsort(sizes, kind="stable")
+                found = (np.empty(len(order), object), np.empty(len(order)), np.empty(len(order)))
+                size = np.cumsum(sizes[order].astype(np.int64))
                 a = 0
                 while a < len(order):
                     b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AT_ONCE, side="right")))
                     mine = order[a:b]
-                    labels[mine], scores[mine] = crf.label([t or "" for t in column.take(pa.array(mine)).to_pylist()])
+                    for whole, part in zip(found, crf.label([t or "" for t in column.take(pa.array(mine)).to_pylist()]), strict=True):
+                        whole[mine] = part
                     a = b
-                columns = [batch.column(i) for i in kept] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*(batch.schema.field(i) for i in kept), ("lang_pred", pa.string()), ("score", pa.float64())]))
+                columns = [batch.column(i) for i in kept] + [pa.array(f, t) for f, (_, _, t) in zip(found, own, strict=False)]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*(batch.schema.field(i) for i in kept), *((n, t) for n, _, t in own)]))
             crf._forget()  # the worker lives on, and with it every model it has seen
 
     return docs.mapInArrow(run, out)
@@ -298,6 +306,8 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of docs whose text has a language with at least this score."""
-    found = labelled(docs, train(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    """The rows of docs whose text is in a language: one label has at least this share of the words, or the words
+    (of a text in several languages) are labelled with at least this certainty."""
+    names = tuple(unused(docs, n) for n in ("label", "share", "certainty"))
+    label, share, sure = map(F.col, names)
+    return labelled(docs, train(docs), names=names).where((label != UNKNOWN) & (F.greatest(share, sure) >= least)).select(*docs.columns)
