@@ -34,7 +34,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import record_batch
@@ -189,19 +189,29 @@ def read_back(turns: DataFrame) -> DataFrame:
     return turns.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def events_of_turns(conversations: DataFrame, pieces: int = 2) -> DataFrame:
-    """A log from finished turns: each text is streamed, a start with its first part and a delta with the rest.
+def events_of_turns(conversations: DataFrame) -> DataFrame:
+    """A log that folds to finished turns, with all that happens to a message on its way.
 
-    Every row is a turn of its own, numbered within its conversation by turn (null last), role and text.
+    Every row is a turn of its own, numbered within its conversation by turn (null last), role and text. By its
+    number a turn is streamed in two parts; or begun with a draft that an edit replaces before the rest is streamed;
+    or answered wrongly, followed by another message, and regenerated, which drops both. Events of a message stand
+    in the log from last to first: order comes from their sequence numbers alone.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("user")), "text")
     c = c.withColumn("turn", (F.row_number().over(order) - 1).cast("long"))
-    half = F.floor(F.length("text") / pieces).cast("int")
-    return c.select(
-        "conv_id", "turn",
-        F.inline(F.array(
-            F.struct(F.lit("start").alias("kind"), F.col("role"), F.substring("text", F.lit(1), half).alias("text"), (F.col("turn") * 2).alias("seq")),
-            F.struct(F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substring("text", half + 1, F.length("text")).alias("text"), (F.col("turn") * 2 + 1).alias("seq")),
-        )),
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    nobody, who = F.lit(None).cast("string"), F.coalesce("role", F.lit("user"))
+
+    def event(at: int, kind: str, role: Column, text: Column, later: int = 0) -> Column:
+        return F.struct((F.col("turn") * 8 + at).alias("seq"), F.lit(kind).alias("kind"), (F.col("turn") + later).alias("turn"), role.alias("role"), text.alias("text"))
+
+    plain = F.array(event(1, "delta", nobody, rest), event(0, "start", F.col("role"), first))
+    edited = F.array(event(2, "delta", nobody, rest), event(1, "edit", nobody, first), event(0, "start", F.col("role"), F.lit("a draft")))
+    again = F.array(
+        event(4, "delta", nobody, rest), event(3, "regenerate", who, first), event(2, "start", F.lit("user"), F.lit("that is not it"), later=1), event(1, "delta", nobody, F.lit(" answer")),
+        event(0, "start", F.col("role"), F.lit("a wrong")),
     )
+    course = F.when(F.col("turn") % 3 == 1, edited).when(F.col("turn") % 3 == 2, again).otherwise(plain)
+    return c.select("conv_id", F.inline(course)).select(*EVENTS)
