@@ -16,16 +16,17 @@ A block holds a bounded number of rows whatever the data, and no group of equal
 vectors is brought together.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do those of another than the most frequent dimension
-(the larger of equals); ties go to the smaller vec_id; rows with a null vec_id
-take no part; a row that repeats a query's vec_id is that query's own; an empty
-table gives an empty table; further columns are ignored. With fewer candidates
-than asked for, all are returned.
+components take no part; vectors of different dimensions have no inner product, so
+each dimension is searched on its own; ties go to the smaller vec_id; rows with a
+null vec_id take no part; of rows that repeat a vec_id one counts (the same one
+whatever the partitions); an empty table gives an empty table; further columns are
+ignored. With fewer candidates than asked for, all are returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,7 @@ def _search_blocks(book: AnisotropicCodebook, dim: int, top: int, keep: int):
     """Rows by block: first the block's vectors, then the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, vecs, packed = None, [], [], None
+        block, ids, vecs, packed, asked = None, [], [], None, None
         for batch in batches:
             blocks, kinds, keys = (batch.column(i).to_numpy() for i in range(3))
             data = batch.column(3).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
@@ -143,7 +144,7 @@ def _search_blocks(book: AnisotropicCodebook, dim: int, top: int, keep: int):
                 if a == b:
                     continue
                 if blocks[a] != block:
-                    block, ids, vecs, packed = blocks[a], [], [], None
+                    block, ids, vecs, packed, asked = blocks[a], [], [], None, None
                 if kinds[a] == 0:
                     ids.append(keys[a:b])
                     vecs.append(data[a:b])
@@ -151,11 +152,14 @@ def _search_blocks(book: AnisotropicCodebook, dim: int, top: int, keep: int):
                 if not ids:
                     continue
                 if packed is None:
-                    own, x = np.concatenate(ids), np.concatenate(vecs)
+                    own, first = np.unique(np.concatenate(ids), return_index=True)
+                    x = np.concatenate(vecs)[first]
                     packed = book.pack(book.encode(x))
                 out_q, out_v, out_s = [], [], []
-                for at in range(a, b, AT_ONCE):
-                    qs = slice(at, min(b, at + AT_ONCE))
+                new = a + np.flatnonzero(np.concatenate([[keys[a] != asked], keys[a + 1 : b] != keys[a : b - 1]]))
+                asked = keys[b - 1]
+                for at in range(0, len(new), AT_ONCE):
+                    qs = new[at : at + AT_ONCE]
                     rough = book.scan(data[qs], packed)
                     for q, vec, scores in zip(keys[qs].tolist(), data[qs], rough, strict=True):
                         scores[own == q] = -np.inf
@@ -166,7 +170,8 @@ def _search_blocks(book: AnisotropicCodebook, dim: int, top: int, keep: int):
                         out_q.append(np.full(len(order), q))
                         out_v.append(own[near][order])
                         out_s.append(exact[order])
-                yield record_batch(_FOUND, [np.concatenate(c) for c in (out_q, out_v, out_s)])
+                if out_q:
+                    yield record_batch(_FOUND, [np.concatenate(c) for c in (out_q, out_v, out_s)])
 
     return run
 
@@ -175,12 +180,13 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, keep: int = KEEP
     """query_id, rank (from 1), vec_id, score: the top largest inner products of each row that ``queries`` holds for."""
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    about = v.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if about is None:
-        return spark.createDataFrame([], schema)
-    dim, n = about
-    v = v.where(F.size("embedding") == dim)
+    parts = [_nearest(v.where(F.size("embedding") == dim), dim, n, queries, top, keep, block) for dim, n in sorted(map(tuple, v.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()))]
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(v: DataFrame, dim: int, n: int, queries: Column, top: int, keep: int, block: int) -> DataFrame:
     share = min(1.0, FIT_ROWS / n)
     chosen = v.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     sample = np.array([r[0] for r in chosen.select("embedding").limit(FIT_ROWS).collect()] or [r[0] for r in v.select("embedding").limit(FIT_ROWS).collect()])
@@ -188,7 +194,7 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, keep: int = KEEP
     blocks = -(-n // block)
     rows = v.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
     asked = v.where(queries).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
-    met = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind", "vec_id")
+    met = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind", "vec_id", F.xxhash64("embedding"))
     found = met.mapInArrow(_search_blocks(book, dim, top, keep), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
