@@ -1,19 +1,20 @@
-"""Document fingerprints: a Merkle tree over sections and paragraphs, in SQL functions alone.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves, in SQL functions alone.
 
-A text splits at blank lines into sections and a section at line breaks into
-paragraphs, both at literal strings, so the text can be put together again and
-different texts have different trees. A paragraph's digest is SHA-256 of its
-text; a section's is SHA-256 of its paragraphs' digests; the root is SHA-256 of
-the sections' digests. Roots test equality. Where roots differ, sections that
-occur on both sides are skipped and the paragraphs of the others are compared,
-which locates an edit.
+A text splits at blank lines into sections, a section at line breaks into
+paragraphs, both at literal strings, and a paragraph into leaves of four words with
+the white space after them (words of 16 characters at most: longer runs, as in
+scripts without spaces, are cut), so the text can be put together again and
+different texts have different trees. A leaf's digest is MD5 of its text; a
+paragraph's is SHA-256 of its leaves' digests, a section's of its paragraphs'
+digests, the root of the sections' digests. Roots test equality. Where roots
+differ, sections that occur on both sides are skipped and the paragraphs of the
+others are compared, which locates an edit.
 
-Likeness reads one level below: paragraphs split into phrases (after a mark, or a
-word that ends in s, n or e), and two trees are as like as the Dice coefficient of
-their sets of phrase digests (64 bits each); two empty texts are alike.
+Likeness is read off the trees as well: the Dice coefficient of their sets of leaf
+digests; two empty texts are alike.
 
 Defined results: a null text is the empty text, whose tree is one empty section
-with one empty paragraph; texts of any length are taken whole; documents with
+with one empty paragraph and no leaf; texts of any length are taken whole; documents with
 equal ids are ordered by text; an empty table gives an empty table; further
 columns are ignored. A null doc_id stands after all others.
 """
@@ -25,58 +26,64 @@ from pyspark.sql import functions as F
 
 from ._common import id_text
 
-#: Where a phrase ends; the same in Java's and RE2's dialects.
-PHRASE_END = "([,.;:!?sne])[ \t\n]+"
+#: A leaf of a paragraph; the same in Java's and RE2's dialects. Every character is in one.
+LEAF = "[ \\t\\x0B\\f\\r]*(?:[^ \\t\\x0B\\f\\r]{1,16}[ \\t\\x0B\\f\\r]*){1,4}|[ \\t\\x0B\\f\\r]+"
 #: A window of neighbouring ids is one partition's work; ids are distinct numbers, so it has this many rows at most.
 ID_BITS = 10
 #: Windows (a row of 30 bytes each) up to which their top rows' ids are broadcast.
 BROADCAST_WINDOWS = 200_000
-_MARK = "\x01"
 
 
 def tree(text: Column) -> Column:
-    """array<struct<digest, paragraphs: array<string>>>: the sections with their paragraphs' digests."""
-    sections = F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.sha2(p, 256)))
-    return F.transform(sections, lambda ps: F.struct(F.sha2(F.array_join(ps, ""), 256).alias("digest"), ps.alias("paragraphs")))
+    """array<array<array<string>>>: the leaves' digests by section and paragraph; all above them follows."""
+    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), F.md5)))
 
 
-def root(sections: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(sections, lambda s: s["digest"]), ""), 256)
+def paragraphs(sections: Column) -> Column:
+    """array<array<string>>: the paragraphs' digests by section."""
+    return F.transform(sections, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(p, ""), 256)))
 
 
-def fingerprint(text: Column) -> Column:
-    """The root digest alone."""
-    digests = F.transform(
-        F.split(text, "\n\n"), lambda s: F.sha2(F.array_join(F.transform(F.split(s, "\n"), lambda p: F.sha2(p, 256)), ""), 256)
-    )
-    return F.sha2(F.array_join(digests, ""), 256)
+def branches(digests: Column) -> Column:
+    """array<string>: each section's digest, made of its paragraphs' digests."""
+    return F.transform(digests, lambda s: F.sha2(F.array_join(s, ""), 256))
 
 
-def phrases(text: Column) -> Column:
-    """The set of 64-bit digests below the paragraphs, as hexadecimal text."""
-    parts = F.split(F.regexp_replace(text, PHRASE_END, "$1" + _MARK), "[" + _MARK + "\n]")
-    return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.substring(F.md5(p), 1, 16)))
+def root(branches_: Column) -> Column:
+    return F.sha2(F.array_join(branches_, ""), 256)
+
+
+def leaves(sections: Column) -> Column:
+    return F.array_distinct(F.flatten(F.flatten(sections)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two sets of phrase digests."""
+    """Dice coefficient of two sets of leaf digests."""
     sizes = F.size(a) + F.size(b)
     return F.when(sizes == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / sizes)
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Paragraph digests of tree a that stand in sections tree b hasn't and in no such section of b: where an edit is."""
-    theirs = F.transform(b, lambda s: s["digest"])
-    ours = F.transform(a, lambda s: s["digest"])
-    left = F.filter(a, lambda s: ~F.array_contains(theirs, s["digest"]))
-    right = F.filter(b, lambda s: ~F.array_contains(ours, s["digest"]))
-    return F.array_except(F.flatten(F.transform(left, lambda s: s["paragraphs"])), F.flatten(F.transform(right, lambda s: s["paragraphs"])))
+    """Paragraph digests of one tree that stand in sections the other hasn't and in no such section of it: where an
+    edit is. a, b: digests by section; sections are compared as wholes, by hash."""
+
+    def only(x: Column, y: Column) -> Column:
+        whole = lambda t: F.transform(t, lambda s: F.array_join(s, ","))
+        return F.flatten(F.transform(F.array_except(whole(x), whole(y)), lambda s: F.split(s, ",")))
+
+    return F.array_except(only(a, b), only(b, a))
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """The least index at which two arrays differ (one may be longer); null for equal ones."""
+    longest = F.greatest(F.size(a), F.size(b))
+    return F.get(F.filter(F.sequence(F.lit(0), longest), lambda i: (i < longest) & ~F.get(a, i).eqNullSafe(F.get(b, i))), F.lit(0))
 
 
 def trees(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, sections: the operator's own output, no shuffle."""
     d = id_text(docs).select("doc_id", tree(F.col("text")).alias("sections"))
-    return d.select("doc_id", root(F.col("sections")).alias("fingerprint"), "sections")
+    return d.select("doc_id", root(branches(paragraphs(F.col("sections")))).alias("fingerprint"), "sections")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -114,14 +121,14 @@ def edited_text(text: Column, following: Column) -> Column:
 
 
 def compare_with_edit(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each text and its edited text, how like their trees are, and where they differ: how many
+    paragraphs the edited text hasn't, and the first section and paragraph in it that differ (from 0; null if none do)."""
     d = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    d = d.withColumn("a", phrases(F.col("text")))
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("t"), tree(F.col("edited")).alias("e"), leaves(tree(F.col("next_text"))).alias("c"))
+    d = d.select("*", leaves(F.col("t")).alias("a"), paragraphs(F.col("t")).alias("p"), leaves(F.col("e")).alias("b"), paragraphs(F.col("e")).alias("q"))
+    d = d.select("*", branches(F.col("p")).alias("s"), branches(F.col("q")).alias("z")).withColumn("at", first_difference(F.col("s"), F.col("z")))
     return d.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("a"), phrases(F.col("edited"))).alias("near_edited"),
-        likeness(F.col("a"), phrases(F.col("next_text"))).alias("near_next"),
-    )
+        "doc_id", "n_chars", "edited_sha256", root(F.col("s")).alias("fingerprint"), root(F.col("z")).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), F.size(differing(F.col("p"), F.col("q"))).cast("long").alias("differing"),
+        F.col("at").cast("long").alias("edit_section"), first_difference(F.coalesce(F.get("p", "at"), F.array().cast("array<string>")), F.coalesce(F.get("q", "at"), F.array().cast("array<string>"))).cast("long").alias("edit_paragraph"),
+    )

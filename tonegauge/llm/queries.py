@@ -82,6 +82,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+
+def _tree(text: str) -> str:
+    """DuckDB: leaf digests by section and paragraph."""
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{fingerprints.LEAF}'), lambda x: md5(x))))"
+
+
+def _digests(lists: str, depth: int) -> str:
+    """DuckDB: SHA-256 of the digests in each list of lists."""
+    each = "lambda s: sha256(array_to_string(s, ''))"
+    return f"list_transform({lists}, {each})" if depth == 1 else f"list_transform({lists}, lambda x: list_transform(x, {each}))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
@@ -160,25 +173,28 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """,
-    "op9_fingerprints": r"""
+    "op9_fingerprints": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
     coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next_text
   FROM documents
 ), e AS (
   SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM d
+), t AS (
+  SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_tree("text")} AS t, {_tree("edited")} AS e, {_tree("next_text")} AS n FROM e
+), p AS (
+  SELECT *, list_distinct(flatten(flatten(t))) AS a, list_distinct(flatten(flatten(e))) AS b, list_distinct(flatten(flatten(n))) AS c, {_digests("t", 2)} AS p, {_digests("e", 2)} AS q FROM t
+), s AS (
+  SELECT *, {_digests("p", 1)} AS s, {_digests("q", 1)} AS z FROM p
 ), f AS (
-  SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
-    sha256(array_to_string(list_transform(string_split(text, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS fingerprint,
-    sha256(array_to_string(list_transform(string_split(edited, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS edited_fingerprint,
-    list_distinct(list_transform(list_filter(string_split(replace(regexp_replace(text, '([,.;:!?sne])[ \t\n]+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda p: p <> ''), lambda p: substring(md5(p), 1, 16))) AS a,
-    list_distinct(list_transform(list_filter(string_split(replace(regexp_replace(edited, '([,.;:!?sne])[ \t\n]+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda p: p <> ''), lambda p: substring(md5(p), 1, 16))) AS b,
-    list_distinct(list_transform(list_filter(string_split(replace(regexp_replace(next_text, '([,.;:!?sne])[ \t\n]+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda p: p <> ''), lambda p: substring(md5(p), 1, 16))) AS c
-  FROM e
+  SELECT *, list_filter(range(greatest(len(s), len(z))), lambda i: s[i + 1] IS DISTINCT FROM z[i + 1])[1] AS spot,
+    flatten(list_filter(p, lambda x: NOT list_contains(q, x))) AS own, flatten(list_filter(q, lambda x: NOT list_contains(p, x))) AS other FROM s
 )
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+SELECT doc_id, n_chars, edited_sha256, sha256(array_to_string(s, '')) AS fingerprint, sha256(array_to_string(z, '')) AS edited_fingerprint,
   CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) END AS near_edited,
-  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)) END AS near_next
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)) END AS near_next,
+  CAST(len(list_filter(list_distinct(own), lambda x: NOT list_contains(other, x))) AS BIGINT) AS differing, spot AS edit_section,
+  list_filter(range(greatest(coalesce(len(p[spot + 1]), 0), coalesce(len(q[spot + 1]), 0))), lambda i: p[spot + 1][i + 1] IS DISTINCT FROM q[spot + 1][i + 1])[1] AS edit_paragraph
 FROM f
 """,
 }
