@@ -162,3 +162,22 @@ def test_short_texts_and_wordy_lines_repeat(spark):
 @pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op5_suffix_dedup", "op6_line_dedup"])
 def test_queries_equal_their_sql(spark, sf, name):
     assert_same(QUERIES[name](spark, sf), sf, ORACLE_SQL[name])
+
+
+def test_columns_of_any_name_stay(spark):
+    long = " ".join(W[:120])
+    rows = [(1, long, 10, 1, 2, "g"), (2, long, 11, 1, 2, "g"), (3, "other words", 12, 1, 2, None), (None, None, 13, 1, 2, "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id int, spans int, cuts int, _gone string")
+    for stage in (line_dedup.clean, suffix_dedup.without_repeats, ngram_join.one_of_each):
+        left = stage(d)
+        assert left.columns == d.columns
+        assert sorted((r.doc_id or 0, r._id, r.spans, r._gone) for r in left.collect()) == [(0, 13, 1, "h"), (1, 10, 1, "g"), (3, 12, 1, None)], stage
+
+
+def test_components_say_when_they_are_not_complete(spark):
+    from tonegauge.llm._graph import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=1)

@@ -35,6 +35,25 @@ def test_recall_ties_and_odd_vectors(spark):
     assert ann.nearest(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = ann.nearest(d.where("vec_id < 5"), F.col("vec_id") == 0)
     assert few.count() == 4
+    # a second dimension, and rows that repeat a query's and a candidate's vec_id
+    more = spark.createDataFrame([(4120, [2.0, 1.0], 1), (4130, [1.0, 1.0], 1), (4120, [2.0, 1.0], 1), (1, x[1].tolist(), 1), (0, x[0].tolist(), 1)], d.schema)
+    again = ann.nearest(d.where("vec_id < 5 OR vec_id = 4100").unionByName(more).repartition(3), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in again if r.query_id) == [(4100, 1, 4120), (4100, 2, 4130), (4120, 1, 4100), (4120, 2, 4130)]
+    assert sorted(r.vec_id for r in again if r.query_id == 0) == [1, 2, 3, 4]
+
+
+def test_recall_with_the_registered_parameters(spark, sf):
+    """Whole blocks of 8,192 rows, 160 kept of each."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(5).normal(size=(16_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(d, F.col("vec_id") % 400 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & set([i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20])) for q in got)
+    assert len(got) == 40 and hits / (20 * len(got)) >= 0.9
 
 
 def test_language_on_held_out_rows(spark, sf):
@@ -50,6 +69,18 @@ def test_language_on_held_out_rows(spark, sf):
     assert all(0 <= r.score <= 1 for r in got.values())
     unlabelled = langid.predict(docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang"))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"} and langid.predict(docs.limit(0)).count() == 0
+    # columns of the operator's own names stay, a text in three languages does too
+    mixed = " ".join(r.text[:400] for r in docs.where("lang IS NOT NULL AND length(text) > 500").dropDuplicates(["lang"]).collect())
+    more = docs.selectExpr("*", "doc_id AS score", "'x' AS lang_pred", "1 AS certainty").unionByName(spark.createDataFrame([(-9, mixed, "en")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    kept = langid.accept(more)
+    assert kept.columns == more.columns and kept.where("doc_id = -9").count() == 1 and kept.where("doc_id >= 0 AND score <> doc_id").count() == 0
+
+
+def test_every_label_is_learned(spark):
+    words = ["".join(chr(97 + (7 * k + 3 * j + i) % 26) for j in range(4)) for k in range(90) for i in range(3)]
+    rows = [(n, " ".join(words[3 * k : 3 * k + 3] * 4), f"l{k:02d}") for n, k in enumerate(k for k in range(90) for _ in range(6))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) > 80
 
 
 def test_code_switched_words_get_labels_of_their_own():
@@ -99,6 +130,8 @@ def test_events_are_folded(spark):
 
 def test_rows_of_one_turn_and_without_turn_are_turns(spark):
     rows = [(1, 0, "user", "hello"), (1, 0, "assistant", "first"), (1, 0, "assistant", "first"), (1, 2, None, "then"), (1, None, "assistant", "last"), (1, None, "user", None), (2, None, "user", "alone"), (None, 0, "user", "x")]
+    kinds = {r.kind for r in chat.events_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert kinds == {"start", "delta", "edit", "regenerate"}
     got = {r.conv_id: r for r in chat.read_back(chat.format_log(chat.events_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)))).collect()}
     want = {1: [("assistant", "first"), ("assistant", "first"), ("user", "hello"), ("user", "then"), ("assistant", "last"), ("user", "")], 2: [("user", "alone")], None: [("user", "x")]}
     assert {c: (r.n_turns, r.turns_sha256) for c, r in got.items()} == {c: (len(t), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()) for c, t in want.items()}
@@ -117,7 +150,7 @@ def test_queries_equal_their_sql(spark, sf, name):
 
 
 def test_fingerprints_of_odd_rows(spark):
-    rows = [(i * 700 - 3, t) for i, t in enumerate(["", None, "a\n\nb", "a\nb", "same text.", "same text.", "é😀" * 30, "x"])] + [(None, "none")]
+    rows = [(i * 700 - 3, t) for i, t in enumerate(["", None, "a\n\nb", "a\nb", "same text.", "same text.", "é😀" * 100, "x"])] + [(None, "none")]
     got = {r.doc_id: r for r in fingerprints.compare_with_edit(spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, fingerprint string").repartition(4)).collect()}
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [(None, "none")]
     for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
@@ -130,8 +163,20 @@ def test_fingerprints_of_odd_rows(spark):
     d = spark.createDataFrame([("one\ntwo\n\nthree", "one\nTWO\n\nthree")], "a string, b string")
     from pyspark.sql import functions as F
 
-    found = d.select(fingerprints.differing(fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))).alias("x")).first().x
-    assert found == [hashlib.sha256(b"two").hexdigest()]
+    both = [fingerprints.paragraphs(fingerprints.tree(F.col(c))) for c in "ab"]
+    found = d.select(fingerprints.differing(*both).alias("x"), fingerprints.first_difference(*both).alias("s")).first()
+    assert found.x == [hashlib.sha256(hashlib.md5(b"two").hexdigest().encode()).hexdigest()] and found.s == 0
+    near = {r.doc_id: r for r in got.values()}
+    assert near[700 * 6 - 3].near_edited > 0 and near[700 * 6 - 3].edit_section == 0  # a script without spaces has leaves, too
+
+
+def test_leaves_hold_every_character():
+    import re
+
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        t = "".join(rng.choice(list("ab é漢 \t\r\x0b\x0c\u2003.") + ["w" * 70], 30))
+        assert "".join(re.findall(fingerprints.LEAF, t)) == t
 
 
 def test_pipeline(spark, sf):

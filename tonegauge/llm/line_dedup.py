@@ -125,8 +125,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words:
 
 def clean(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = WORDS) -> DataFrame:
     """docs without later repeated runs; documents of which nothing is left go."""
-    gone = later_spans(repeated_runs(docs, least, gram, words)).withColumnRenamed("doc_id", "_id")
-    return rewritten(docs, gone, cut)
+    return rewritten(docs, later_spans(repeated_runs(docs, least, gram, words)), cut)
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("deleted_lines", pa.int64()), ("kept_chars", pa.int64()), ("kept_sha256", pa.string())])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text
+from ._common import id_text, unused
 from ._repeats import later_spans, repeats
 from ._text import words
 
@@ -51,14 +51,14 @@ def cut(text: bytes, spans: list[dict]) -> bytes:
 def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """docs with later occurrences cut out of text (n_chars follows, if there is one); documents of which
     nothing is left go."""
-    gone = later_spans(passages(docs, least, gram)).withColumnRenamed("doc_id", "_id")
-    return rewritten(docs, gone, cut)
+    return rewritten(docs, later_spans(passages(docs, least, gram)), cut)
 
 
 def rewritten(docs: DataFrame, spans: DataFrame, cutter) -> DataFrame:
-    """docs with cutter(text, spans) as text where spans (_id, spans) has the document."""
+    """docs with cutter(text, spans) as text where spans (doc_id, spans) has the document."""
     names = docs.columns
-    joined = docs.join(spans, docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    own, cuts = unused(docs, "id"), unused(docs, "cuts")
+    joined = docs.join(spans.select(F.col("doc_id").alias(own), F.col("spans").alias(cuts)), F.col("doc_id") == F.col(own), "left").select(*names, cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
