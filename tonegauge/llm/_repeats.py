@@ -6,13 +6,20 @@ offset. Two steps:
 
 1. anchors of all texts are compared and those whose gram occurs once are
    dropped, with everything they stand for;
-2. around each anchor that is left, the run is extended left and right to the
-   length asked for, extensions are sorted and neighbours compared; what is equal
-   is a repeat, and overlapping repeats join into longer ones.
+2. around each anchor that is left, text is taken left and right up to the length
+   asked for: the runs that the anchor is the anchor of. Equal runs meet by a hash of
+   96 bits, one row a run; what is equal is a repeat, and overlapping repeats join
+   into longer ones, as far as they go both ways.
+
+Runs meet by hash rather than as neighbours in sorted order: of suffixes that share
+a gram, those with the longest common right side stand together whatever is left of
+them, so neighbours alone miss runs that reach to the left of the gram; and all
+suffixes of a frequent gram would have to stand in one task, where their runs are
+spread over as many as there are different ones.
 
 Skew: within a slice of a partition equal grams (or runs) send one row for all of
 them, since the others are already known to be repeated, so a passage in a third
-of all documents is as many rows as there are slices. Hashes are of 64 bits.
+of all documents is as many rows as there are slices.
 
 A repeat's first occurrence (least doc_id, then position) is kept; any other is
 ``later``, unless it overlaps the first within one text (as in a text of one word
@@ -80,7 +87,12 @@ def _anchor_rows(units: Units, least: int, gram: int):
 
 
 #: size: units of a stretch known to be later (key: of its place); 0: a run to compare; -1: one that is known to be repeated.
-_RUNS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
+_RUNS = pa.schema([("key", pa.int64()), ("more", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
+
+
+def more_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """32 bits beside a key's 64, of the same two hashes."""
+    return (mix(a ^ mix(b ^ U64(0xC2B2AE3D27D4EB4F))) >> U64(32)).astype(np.uint32).view(np.int32)
 
 
 def _run_rows(units: Units, least: int, gram: int):
@@ -100,19 +112,20 @@ def _run_rows(units: Units, least: int, gram: int):
                 starts = starts[wanted[anchors]]
                 if not len(starts):
                     continue
-                key = mix(g[starts] * U64(3) + g[starts + least - gram])
+                left, right = g[starts], g[starts + least - gram]
+                key, more = mix(left * U64(3) + right), more_bits(left, right)
                 doc, pos = ids[a:b][owner[starts]], starts - first[owner[starts]]
-                order = np.lexsort((pos, doc, key))
-                key, doc, pos = key[order], doc[order], pos[order]
-                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                order = np.lexsort((pos, doc, more, key))
+                key, more, doc, pos = key[order], more[order], doc[order], pos[order]
+                head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])]))
                 group = np.repeat(head, np.diff(np.concatenate([head, [len(key)]])))
                 later = (doc != doc[group]) | (pos >= pos[group] + least)
                 many = np.bincount(group, minlength=len(key))[group] > 1
                 out = ~later
-                yield record_batch(_RUNS, [key[out].view(np.int64), doc[out], pos[out].astype(np.int32), -many[out].astype(np.int32)])
+                yield record_batch(_RUNS, [key[out].view(np.int64), more[out], doc[out], pos[out].astype(np.int32), -many[out].astype(np.int32)])
                 d, s, e = islands(doc[later], pos[later], pos[later] + least)
                 place = mix(mix(d.astype(np.int64).view(U64)) + s.astype(U64)).view(np.int64)
-                yield record_batch(_RUNS, [place, d, s.astype(np.int32), (e - s).astype(np.int32)])
+                yield record_batch(_RUNS, [place, np.zeros(len(d), np.int32), d, s.astype(np.int32), (e - s).astype(np.int32)])
 
     return run
 
@@ -176,8 +189,8 @@ def repeats(docs: DataFrame, units: Units, least: int, gram: int) -> DataFrame:
     repeated = dealt.selectExpr("known", "doc_id", "pos", "if(known, 2, count(*) OVER (PARTITION BY deal, known, if(known, doc_id, key))) AS members").where("members > 1 AND doc_id IS NOT NULL")
     places = repeated.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     marked = docs.join(places, "doc_id").select("doc_id", "text", "places")
-    runs = marked.mapInArrow(_run_rows(units, least, gram), "key long, doc_id long, start int, size int")
-    over = "OVER (PARTITION BY key, size > 0)"
+    runs = marked.mapInArrow(_run_rows(units, least, gram), "key long, more int, doc_id long, start int, size int")
+    over = "OVER (PARTITION BY key, more, size > 0)"
     judged = runs.selectExpr(
         "doc_id", "start", "size", f"count(*) {over} AS members", f"min(size) {over} AS least", f"min(struct(doc_id, start)) {over} AS first"
     ).where("size > 0 OR least < 0 OR members > 1")

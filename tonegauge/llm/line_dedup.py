@@ -2,10 +2,10 @@
 
 Lines (between line feeds, white space at both ends off, blank ones left out) are
 hashed; in every run of ``least`` lines the least ``gram``-line hash is selected,
-so any run of that length has a fingerprint it shares with its copies. Positions
-of equal fingerprints are joined, matches extended both ways line by line, and all
-but the first occurrence deleted (see ``_repeats`` for the order of occurrences
-and for skew).
+so any run of that length has a fingerprint it shares with its copies. Around
+positions of equal fingerprints runs are extended both ways to ``least`` lines, equal
+ones meet, overlapping ones join, and all but the first occurrence are deleted (see
+``_repeats`` for how runs meet, the order of occurrences and skew).
 
 Runs of fewer lines are too many to take part for their length alone. With
 ``words``, those that hold so many words do, each length on its own, and so do
@@ -64,19 +64,19 @@ def cut(text: bytes, spans: list[dict]) -> bytes:
 
 
 #: known: +1 later than an equal run of this slice (key: of its place), 0 a run to compare, -1 one that is known to be repeated.
-_SHORT = pa.schema([("known", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
+_SHORT = pa.schema([("known", pa.int32()), ("key", pa.int64()), ("more", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
 
 def _short_runs(text: bytes, least: int, words: int) -> Iterator[tuple[int, int, int]]:
-    """Hash, start and size of the text's runs of fewer lines that hold enough words, and of a short text as a whole."""
+    """128-bit hash, start and size of the text's runs of fewer lines that hold enough words, and of a short text as a whole."""
     solid = [bare for line in text.split(b"\n") if (bare := line.strip(_BLANKS))]
     counts = [len(line.split()) for line in solid]
     for size in range(1, min(least - 1, len(solid)) + 1):
         for start in range(len(solid) - size + 1):
             if sum(counts[start : start + size]) >= words:
-                yield xxhash.xxh3_64_intdigest(b"\n".join(solid[start : start + size])), start, size
+                yield xxhash.xxh3_128_intdigest(b"\n".join(solid[start : start + size])), start, size
     if 0 < len(solid) < least and sum(counts) < words:
-        yield xxhash.xxh3_64_intdigest(b"\n".join(solid), seed=1), 0, len(solid)  # whole texts equal no part of another
+        yield xxhash.xxh3_128_intdigest(b"\n".join(solid), seed=1), 0, len(solid)  # whole texts equal no part of another
 
 
 def _short_rows(least: int, words: int):
@@ -90,27 +90,27 @@ def _short_rows(least: int, words: int):
                 if not found:
                     continue
                 keys, at, starts, sizes = zip(*found, strict=True)
-                key, doc = np.array(keys, np.uint64), ids[np.array(at)]
+                key, more, doc = np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64), np.array([k >> 64 for k in keys], np.uint64), ids[np.array(at)]
                 start, size = np.array(starts, np.int64), np.array(sizes, np.int64)
-                order = np.lexsort((start, doc, key))
-                key, doc, start, size = key[order], doc[order], start[order], size[order]
-                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                order = np.lexsort((start, doc, more, key))
+                key, more, doc, start, size = key[order], more[order], doc[order], start[order], size[order]
+                head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])]))
                 group = np.repeat(head, np.diff(np.concatenate([head, [len(key)]])))
                 later = (doc != doc[group]) | (start >= start[group] + size)
                 many = np.bincount(group, minlength=len(key))[group] > 1
                 out = ~later
-                yield record_batch(_SHORT, [-many[out].astype(np.int32), key[out].view(np.int64), doc[out], start[out].astype(np.int32), size[out].astype(np.int32)])
+                yield record_batch(_SHORT, [-many[out].astype(np.int32), key[out].view(np.int64), more[out].view(np.int64), doc[out], start[out].astype(np.int32), size[out].astype(np.int32)])
                 d, s, e = islands(doc[later], start[later], start[later] + size[later])
                 place = mix(mix(d.astype(np.int64).view(U64)) + s.astype(U64)).view(np.int64)
-                yield record_batch(_SHORT, [np.ones(len(d), np.int32), place, d, s.astype(np.int32), (e - s).astype(np.int32)])
+                yield record_batch(_SHORT, [np.ones(len(d), np.int32), place, np.zeros(len(d), np.int64), d, s.astype(np.int32), (e - s).astype(np.int32)])
 
     return run
 
 
 def _short_repeats(docs: DataFrame, least: int, words: int) -> DataFrame:
     """doc_id, start, stop, is_first of short runs that occur more than once; spans may overlap."""
-    runs = docs.mapInArrow(_short_rows(least, words), "known int, key long, doc_id long, start int, size int")
-    over = "OVER (PARTITION BY key, known > 0)"
+    runs = docs.mapInArrow(_short_rows(least, words), "known int, key long, more long, doc_id long, start int, size int")
+    over = "OVER (PARTITION BY key, more, known > 0)"
     judged = runs.selectExpr("*", f"count(*) {over} AS members", f"min(known) {over} AS least", f"min(struct(doc_id, start)) {over} AS first").where("known > 0 OR least < 0 OR members > 1")
     is_first = "known <= 0 AND doc_id = first.doc_id AND start < first.start + size AS is_first"
     return judged.selectExpr("doc_id", "cast(start AS long) AS start", "cast(start + size AS long) AS stop", is_first)

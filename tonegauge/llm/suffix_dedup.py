@@ -2,9 +2,9 @@
 
 Suffixes of the word sequence are retained at minimiser positions only (the least
 25-gram hash of every 50-word window), about one word in 13. Those that share
-their gram are extended left and right to 50 words, the extensions are sorted and
-neighbours compared; what is equal is a repeated passage, and overlapping ones
-join. Every passage of at least ``least`` words that occurs twice is found, and
+their gram are extended left and right to 50 words; equal extensions meet by a hash
+of 96 bits (not as neighbours in sorted order, see ``_repeats`` for why), which makes
+them repeated passages, and overlapping ones join. Every passage of at least ``least`` words that occurs twice is found, and
 nothing shorter (words ``[^\\x20\\x09-\\x0D]+``, A-Z as a-z; see ``_repeats`` for
 the order of occurrences and for skew).
 
