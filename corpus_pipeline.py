@@ -1,24 +1,29 @@
 """A corpus pipeline of five stages; what one writes, the next one reads.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
+
+Defined results, of all stages: further columns are kept whatever their names; an empty table gives an empty table;
+texts are taken whole, however long. A null or empty text has no language, so its row goes in the first stage, the
+others would keep it. A null doc_id takes no part in the three stages that compare documents: its row stays as it is.
+Rows that repeat a doc_id with the same text are one document: they stay or go together. Of equal texts and of equal
+groups the least doc_id stays or keeps the passage.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tonegauge.llm import langid, line_dedup, ngram_join, packing, suffix_dedup
-from tonegauge.llm._common import shared_folder
+from tonegauge.llm._common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or of no language for most of their words, go."""
+    """Texts without letters, and texts that are neither mostly in one language nor, word by word, clearly in several, go."""
     return langid.accept(docs)
 
 
@@ -52,15 +57,12 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Language identification and tokenization have no SQL; tests hold run() against a plain version instead.
+#: Language identification and tokenization have no SQL; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
