@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,16 +84,31 @@ def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-df.count() // rows)))
 
 
-def slices(texts: list, most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about so many characters; a longer text is a run of its own."""
-    at = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most_chars:
-            yield at, i
-            at, size = i, 0
-        size += len(text) + 1
-    if at < len(texts):
-        yield at, len(texts)
+def pieces(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, list]]:
+    """A column's values in runs of about so many bytes, with their bounds; a longer value is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, side="right")))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function over batches, after which a worker that lives on gives its free memory back."""
+
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
 
 
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

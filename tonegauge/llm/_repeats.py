@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import record_batch, slices
+from ._common import pieces, record_batch, tidy
 from ._text import U64, grams, mix
 
 #: (hash, number of the text, first byte, byte after the last) of every unit of some texts.
@@ -67,9 +67,9 @@ def _anchor_rows(units: Units, least: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in slices(texts):
-                h, owner, _, _ = units(texts[a:b])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, texts in pieces(batch.column(1).cast(pa.binary())):
+                h, owner, _, _ = units(texts)
                 _, anchors, g = runs_of(h, owner, least, gram)
                 anchors = np.unique(anchors)
                 if not len(anchors):
@@ -100,9 +100,9 @@ def _run_rows(units: Units, least: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)
-            for a, b in slices(texts):
-                h, owner, _, _ = units(texts[a:b])
+            ids, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            for a, b, texts in pieces(batch.column(1).cast(pa.binary())):
+                h, owner, _, _ = units(texts)
                 starts, anchors, g = runs_of(h, owner, least, gram)
                 first = _first_units(owner, b - a)
                 part = places.slice(a, b - a)
@@ -173,7 +173,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merged(spans: DataFrame) -> DataFrame:
     """Spans (doc_id, start, stop, is_first) of a document that touch or overlap become one."""
-    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "is_first", "start").selectExpr("doc_id", "cast(start AS long) AS start", "cast(stop AS long) AS stop", "is_first").mapInArrow(_merge, "doc_id long, start long, stop long, is_first boolean")
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "is_first", "start").selectExpr("doc_id", "cast(start AS long) AS start", "cast(stop AS long) AS stop", "is_first").mapInArrow(tidy(_merge), "doc_id long, start long, stop long, is_first boolean")
 
 
 def repeats(docs: DataFrame, units: Units, least: int, gram: int) -> DataFrame:
@@ -183,13 +183,13 @@ def repeats(docs: DataFrame, units: Units, least: int, gram: int) -> DataFrame:
     """
     if 2 * gram < least:
         raise ValueError("two grams must cover a run")
-    found = docs.mapInArrow(_anchor_rows(units, least, gram), "known boolean, key long, doc_id long, pos long")
+    found = docs.mapInArrow(tidy(_anchor_rows(units, least, gram)), "known boolean, key long, doc_id long, pos long")
     # what is known needs no comparison: dealt out by its document, where it is needed next
     dealt = found.withColumn("deal", F.when(F.col("known"), F.xxhash64("doc_id")).otherwise(F.col("key")))
     repeated = dealt.selectExpr("known", "doc_id", "pos", "if(known, 2, count(*) OVER (PARTITION BY deal, known, if(known, doc_id, key))) AS members").where("members > 1 AND doc_id IS NOT NULL")
     places = repeated.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     marked = docs.join(places, "doc_id").select("doc_id", "text", "places")
-    runs = marked.mapInArrow(_run_rows(units, least, gram), "key long, more int, doc_id long, start int, size int")
+    runs = marked.mapInArrow(tidy(_run_rows(units, least, gram)), "key long, more int, doc_id long, start int, size int")
     over = "OVER (PARTITION BY key, more, size > 0)"
     judged = runs.selectExpr(
         "doc_id", "start", "size", f"count(*) {over} AS members", f"min(size) {over} AS least", f"min(struct(doc_id, start)) {over} AS first"

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import no_cycles, unused
+from ._common import no_cycles, tidy, unused
 from ._text import U64, mix
 
 #: The most training rows of a label and characters of each, hashed features, words of a training piece, and occurrences that put a word into the lexicon.
@@ -295,7 +295,7 @@ def labelled(docs: DataFrame, model: Crf, keep: list[str] | None = None, names:
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*(batch.schema.field(i) for i in kept), *((n, t) for n, _, t in own)]))
             crf._forget()  # the worker lives on, and with it every model it has seen
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def predict(docs: DataFrame) -> DataFrame:

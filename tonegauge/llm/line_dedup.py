@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, record_batch, slices
+from ._common import id_text, pieces, record_batch, tidy
 from ._repeats import islands, later_spans, merged, repeats
 from ._text import U64, mix
 from .suffix_dedup import rewritten
@@ -84,9 +84,9 @@ def _short_rows(least: int, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in slices(texts):
-                found = [(key, i, start, size) for i in range(a, b) for key, start, size in _short_runs(texts[i], least, words)]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, _, texts in pieces(batch.column(1).cast(pa.binary())):
+                found = [(key, i, start, size) for i, text in enumerate(texts, a) for key, start, size in _short_runs(text, least, words)]
                 if not found:
                     continue
                 keys, at, starts, sizes = zip(*found, strict=True)
@@ -109,7 +109,7 @@ def _short_rows(least: int, words: int):
 
 def _short_repeats(docs: DataFrame, least: int, words: int) -> DataFrame:
     """doc_id, start, stop, is_first of short runs that occur more than once; spans may overlap."""
-    runs = docs.mapInArrow(_short_rows(least, words), "known int, key long, more long, doc_id long, start int, size int")
+    runs = docs.mapInArrow(tidy(_short_rows(least, words)), "known int, key long, more long, doc_id long, start int, size int")
     over = "OVER (PARTITION BY key, more, known > 0)"
     judged = runs.selectExpr("*", f"count(*) {over} AS members", f"min(known) {over} AS least", f"min(struct(doc_id, start)) {over} AS first").where("known > 0 OR least < 0 OR members > 1")
     is_first = "known <= 0 AND doc_id = first.doc_id AND start < first.start + size AS is_first"
@@ -149,4 +149,4 @@ def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int |
             if rows:
                 yield record_batch(_DIGESTS, [list(c) for c in zip(*rows, strict=True)])
 
-    return joined.mapInArrow(run, "doc_id long, n_lines long, deleted_lines long, kept_chars long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_lines long, deleted_lines long, kept_chars long, kept_sha256 string")

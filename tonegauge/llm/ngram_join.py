@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import compact, id_text, materialize, record_batch, slices, stored
+from ._common import compact, id_text, materialize, pieces, record_batch, stored, tidy
 from ._graph import components
 from ._text import U64, mix, shingle_sets
 
@@ -69,9 +69,8 @@ def _sketch_rows(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.uint32)
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for a, b in slices(texts):
-                hashes, _ = shingle_sets(texts[a:b], k)
+            for _, _, texts in pieces(batch.column(0).cast(pa.binary())):
+                hashes, _ = shingle_sets(texts, k)
                 at, times = np.unique((hashes & U64(width - 1)).astype(np.uint32), return_counts=True)
                 total[at] += times.astype(np.uint32)
         schema = pa.schema([("row", pa.int32()), ("counts", pa.binary())])
@@ -120,8 +119,8 @@ class Order(NamedTuple):
 def global_order(texts: DataFrame, k: int, fragments: int = FRAGMENTS, width: int = SKETCH) -> Order:
     """Ranks are in proportion up to twice the usual fill, so that what a few documents share already stands
     behind what one has, and logarithmic beyond. The driver gets 4 bytes a counter."""
-    parts = texts.mapInArrow(_sketch_rows(k, width), "row int, counts binary")
-    summed = parts.repartition("row").mapInArrow(_add_sketch, "row int, counts binary").collect()
+    parts = texts.mapInArrow(tidy(_sketch_rows(k, width)), "row int, counts binary")
+    summed = parts.repartition("row").mapInArrow(tidy(_add_sketch), "row int, counts binary").collect()
     total = np.zeros(width, np.float32)
     for row, counts in summed:
         part = np.frombuffer(counts, "<u4")
@@ -160,9 +159,9 @@ def _index(k: int, sim: Fraction, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen, number = order.value, set(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in slices(texts):
-                hashes, bounds = shingle_sets(texts[a:b], k)
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in pieces(batch.column(1).cast(pa.binary())):
+                hashes, bounds = shingle_sets(texts, k)
                 rank = ranks.rank(hashes)
                 one = mix(hashes)
                 sums = np.concatenate([np.zeros((1, 2), U64), np.cumsum(np.stack([one, mix(one)], 1), axis=0)])
@@ -203,9 +202,9 @@ def _segments(k: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = order.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in slices(texts):
-                hashes, bounds = shingle_sets(texts[a:b], k)
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in pieces(batch.column(1).cast(pa.binary())):
+                hashes, bounds = shingle_sets(texts, k)
                 fragment = cut.fragment(hashes)
                 rows = []
                 for doc, lo, hi in zip(ids[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -238,7 +237,7 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """a, b, common: partial overlaps per fragment, summed per pair. A pair without overlap has no row."""
     left = pairs.join(segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("x")), "a")
     both = left.join(segments.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("y")), ["b", "fragment"])
-    partial = both.select("a", "b", "fragment", "x", "y").mapInArrow(_partial, "a long, b long, fragment int, common long")
+    partial = both.select("a", "b", "fragment", "x", "y").mapInArrow(tidy(_partial), "a long, b long, fragment int, common long")
     each = partial.groupBy("a", "b", "fragment").agg(F.max("common").alias("common"))  # rows may repeat a document
     return each.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
@@ -259,7 +258,7 @@ class _Index:
         self.k, self.similarity = k, similarity
         self.docs = d = id_text(docs).where("doc_id IS NOT NULL")
         self.order = d.sparkSession.sparkContext.broadcast(global_order(d.select("text"), k, fragments))
-        raw = stored(d.mapInArrow(_index(k, similarity, self.order), _INDEX_DDL))
+        raw = stored(d.mapInArrow(tidy(_index(k, similarity, self.order)), _INDEX_DDL))
         self.documents = raw.select("doc_id", "n", "d0", "d1")
         # a class is named by its least document; the carrier is the document whose row has its n-grams
         self.classes = compact(materialize(raw.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("new"), F.col("row_id"))).alias("carrier"))))
@@ -288,7 +287,7 @@ class _Index:
         num, den = self.similarity.numerator, self.similarity.denominator
         asked = compact(materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("total")).distinct()))
         ids = _listed(compact(materialize(asked.select(F.col("a").alias("doc_id")).union(asked.select("b")).distinct())))
-        segments = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_segments(self.k, self.order), "doc_id long, fragment int, segment binary")
+        segments = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(tidy(_segments(self.k, self.order)), "doc_id long, fragment int, segment binary")
         counted = count_overlaps(asked.select("a", "b"), segments)
         return compact(materialize(asked.join(counted, ["a", "b"]).where(f"{den} * common >= {num} * (total - common)").select("a", "b")))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import id_text, no_cycles, record_batch, slices
+from ._common import id_text, no_cycles, pieces, record_batch, tidy
 
 CAPACITY = 4096
 #: Share of a bin that a class may waste before a piece is cut instead.
@@ -208,13 +208,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         end = packed_ids([end_id])
         with no_cycles():
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in slices(texts):
-                    for doc, packed in zip(ids[a:b], tokenizer.encode_packed(texts[a:b]), strict=True):
+                ids = batch.column(0).to_pylist()
+                for a, b, texts in pieces(batch.column(1)):
+                    for doc, packed in zip(ids[a:b], tokenizer.encode_packed(texts), strict=True):
                         packer.add(doc, packed + end)
                     yield packer.take()
             packer.close()
             yield packer.take()
-            tokenizer.older = {}  # half of what is remembered, for the worker's next task
+            tokenizer.memo, tokenizer.older = {}, {}  # the worker lives on, and may do other work
 
-    return id_text(docs).mapInArrow(run, PIECES_DDL)
+    return id_text(docs).mapInArrow(tidy(run), PIECES_DDL)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, unused
+from ._common import id_text, tidy, unused
 from ._repeats import later_spans, repeats
 from ._text import words
 
@@ -76,4 +76,4 @@ def rewritten(docs: DataFrame, spans: DataFrame, cutter) -> DataFrame:
                     columns.append(batch.column(i))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(len(names))])).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
