@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .functions import rules
 from .plans.report import PHRASES
-from .sources import corpus
+from .sources import corpus, pairs
 
 
 def _text(s: str | None) -> str:
@@ -122,7 +122,45 @@ q AS (SELECT *, local // 86400000 AS day, (local // 86400000 + 4) % 7 AS wd, DAT
 SELECT event_id, phrase, coalesce(CAST(CASE phrase {cases} END AS BIGINT), -1) AS due_ms FROM q"""
 
 
+def _pairs() -> str:
+    """pair: what the sides are worth by hand; gap and checks worked out here."""
+    rows = ",\n".join(f"('{pairs.pair_id(n, k)}', '{family}', {a.surface}::DOUBLE, {b.surface}::DOUBLE, ({a.force})::DOUBLE, ({b.force})::DOUBLE)" for n, (family, a, b) in enumerate(pairs.PAIRS) for k in range(len(pairs.OBJECTS)))
+    gap = lambda end: f"floor((floor(force_{end} * 10 + 0.5) / 10 - floor(surface_{end} * 10 + 0.5) / 10) * 10 + 0.5) / 10"
+    return f"""pair(pair_id, family, surface_a, surface_b, force_a, force_b) AS (VALUES {rows}),
+worth AS (SELECT *, {gap("a")} AS gap_a, {gap("b")} AS gap_b, family IN ('modality', 'strategy', 'modification') AS wording FROM pair),
+checked AS (
+  SELECT *, CASE WHEN wording THEN force_a = force_b ELSE surface_a = surface_b END AS stays, CASE WHEN wording THEN surface_a - surface_b ELSE force_b - force_a END >= 1 - 1e-9 AS moves, gap_a < gap_b AS direction FROM worth
+)"""
+
+
+_LEVEL_WORTH = "level_worth(level, surface) AS (VALUES (1, 10.0::DOUBLE), (2, 9.0), (3, 8.0), (4, 7.0), (5, 6.0), (6, 4.5), (7, 3.1))"
+_CHECKS = ["surface trace adds up", "force trace adds up", "surface triggers are the text's", "force triggers are the text's", "scores in range", "gap is the difference", "confidence in range", "sides share no character"]
+
+
+def _release_report() -> str:
+    held = {
+        1: ("force stays when wording changes", "sum(CAST(wording AND stays AS INT))", "sum(CAST(wording AS INT))", "checked"), 2: ("surface moves when wording changes", "sum(CAST(wording AND moves AS INT))", "sum(CAST(wording AS INT))", "checked"),
+        3: ("force moves when reasons change", "sum(CAST(NOT wording AND moves AS INT))", "sum(CAST(NOT wording AS INT))", "checked"), 4: ("surface stays when reasons change", "sum(CAST(NOT wording AND stays AS INT))", "sum(CAST(NOT wording AS INT))", "checked"),
+        5: ("gap moves the way it should", "sum(CAST(direction AS INT))", "count(*)", "checked"), 6: ("surface falls from level to level", f"{len(pairs.OBJECTS)} * count(*)", f"{len(pairs.OBJECTS)} * count(*)", "level_worth"),
+        7: ("evidence adds up and quotes the text", str(len(_CHECKS) - 1), str(len(_CHECKS) - 1), "(SELECT 1)"), 8: ("no character counts on both sides", "1", "1", "(SELECT 1)"),
+        9: ("a fact counts once", str(len(pairs.SCENARIOS)), str(len(pairs.SCENARIOS)), "(SELECT 1)"), 10: ("two runs give the same", "count(*)", "count(*)", "conversations"), 11: ("copy claims no intent", "8", "8", "(SELECT 1)"),
+    }
+    rows = " UNION ALL ".join(f"SELECT {n} AS \"check\", '{name}' AS name, CAST({ok} AS BIGINT) AS held, CAST({of} AS BIGINT) AS applicable FROM {source}" for n, (name, ok, of, source) in held.items())
+    return f"""WITH {_pairs()}, {_LEVEL_WORTH}, c AS ({rows}),
+s AS (SELECT *, CASE WHEN held < CASE WHEN "check" = 5 THEN 0.95 ELSE 1 END * applicable THEN 'FAIL' WHEN "check" = 6 THEN 'PARTIAL' ELSE 'PASS' END AS status FROM c)
+SELECT "check", name, status, held, applicable, lpad(CAST("check" AS VARCHAR), 2, ' ') || '  ' || rpad(status, 7, ' ') || '  ' || name || '  ' || held || '/' || applicable AS report FROM s
+UNION ALL SELECT 99, 'total', NULL, NULL, NULL, count(*) FILTER (status = 'PASS') || ' PASS, ' || count(*) FILTER (status = 'PARTIAL') || ' PARTIAL, ' || count(*) FILTER (status = 'FAIL') || ' FAIL' FROM s"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "pair_checks": f"""WITH {_pairs()}
+SELECT pair_id, family, round(surface_a, 6) AS surface_a, round(surface_b, 6) AS surface_b, round(force_a, 6) AS force_a, round(force_b, 6) AS force_b, stays, moves FROM checked""",
+    "gap_direction": f"WITH {_pairs()} SELECT pair_id, round(gap_a, 1) AS gap_a, round(gap_b, 1) AS gap_b, direction FROM checked",
+    "level_order": f"""WITH {_LEVEL_WORTH} SELECT level, CAST(o AS INTEGER) AS object, level AS matched, surface, CASE WHEN level > 1 THEN true END AS below FROM level_worth, range({len(pairs.OBJECTS)}) AS t(o)""",
+    "event_dedupe": "SELECT * FROM (VALUES " + ", ".join(f"({_text(name)}, {n}, {events})" for name, _, _, n, events in pairs.SCENARIOS) + ") AS v(scenario, rows, events)",
+    "determinism": "SELECT count(*) AS messages, CAST(count(*) AS BIGINT) AS identical FROM conversations",
+    "release_report": _release_report(),
+    "release_metrics": f"""{_WITH} SELECT "check", (SELECT count(*) FROM b) AS rows, CAST(0 AS BIGINT) AS failures FROM (SELECT unnest({_list(_CHECKS)}) AS "check")""",
     "thread_report": f"""{_WITH}
 SELECT s.thread_id, s.ord, s.level AS level, round(b.surface, 6) AS surface, round(b.force, 6) AS force, round(b.gap, 1) AS gap, b.band,
   round(CAST(b.sure AS DOUBLE), 6) AS confidence, s.suppressed FROM s LEFT JOIN b ON b.thread_id = s.thread_id AND b.ord = s.ord""",

@@ -46,10 +46,12 @@ def release_metrics(results: DataFrame, messages: DataFrame) -> DataFrame:
     """check, rows, failures: invariants of every scored message."""
     d = results.where("suppressed IS NULL").join(messages.select("msg_id", "text"), "msg_id").withColumn("stable", T.stable(F.col("text")))
     faithful = F.forall("surface_evidence", lambda e: e["trigger"] == T.original_slice(F.col("text"), F.col("stable"), e["span"]["start"], e["span"]["end"]))
+    quoted = F.forall("force_evidence", lambda e: e["trigger"] == T.piece(F.col("stable"), e["span"]["start"], e["span"]["end"]))
     checks = {
         "surface trace adds up": F.abs(_sum("surface_evidence") - F.col("surface")) < 1e-6,
         "force trace adds up": F.abs(_sum("force_evidence") + rules.FORCE_BASELINE - F.col("force")) < 1e-6,
         "surface triggers are the text's": faithful,
+        "force triggers are the text's": quoted,
         "scores in range": F.col("surface").between(0, 10) & F.col("force").between(0, 10),
         "gap is the difference": F.abs(F.col("gap") - formats.gap(F.col("force"), F.col("surface"))) < 1e-9,
         "confidence in range": F.col("confidence.value").between(0, 0.95),
@@ -61,10 +63,43 @@ def release_metrics(results: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def compare_pairs(results: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, surface_delta, force_delta of pairs (pair_id, a_thread, b_thread): the last message of each thread."""
+    """pair_id, family and scores of both sides of pairs (pair_id, family, a_thread, b_thread): the last message of each thread."""
     last = results.groupBy("thread_id").agg(F.max_by(F.struct("surface", "force", "gap", "suppressed"), "ord").alias("r"))
     a, b = last.select(F.col("thread_id").alias("a_thread"), F.col("r").alias("a")), last.select(F.col("thread_id").alias("b_thread"), F.col("r").alias("b"))
-    return pairs.join(a, "a_thread").join(b, "b_thread").select("pair_id", (F.col("a.surface") - F.col("b.surface")).alias("surface_delta"), (F.col("b.force") - F.col("a.force")).alias("force_delta"))
+    sides = [F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in "ab" for c in ("surface", "force", "gap")]
+    return pairs.join(a, "a_thread").join(b, "b_thread").select("pair_id", "family", *sides)
+
+
+# Tolerances and thresholds of the checks.
+TOLERANCE, LEAST_DELTA, DIRECTION_RATE = 1e-9, 1.0, 0.95
+
+
+def pair_checks(compared: DataFrame, surface_families: list[str]) -> DataFrame:
+    """Adds to compared pairs: whether what should stay stayed, what should move moved by enough, and the gap the right way
+    (more surface lowers it, more force raises it). Null where a side has no score."""
+    wording = F.col("family").isin(surface_families)
+    surface, force = F.abs(F.col("surface_a") - F.col("surface_b")), F.abs(F.col("force_a") - F.col("force_b"))
+    return compared.select(
+        "*", F.when(wording, force).otherwise(surface).__le__(TOLERANCE).alias("stays"), F.when(wording, surface).otherwise(force).__ge__(LEAST_DELTA - TOLERANCE).alias("moves"),
+        (F.col("gap_a") < F.col("gap_b")).alias("direction"),
+    )
+
+
+def summary(checks: DataFrame) -> DataFrame:
+    """check, name, status, held, applicable, report of rows (check, name, ok, share needed, partial)."""
+    counts = checks.groupBy("check", "name", "need", "partial").agg(F.count("ok").alias("applicable"), F.sum(F.col("ok").cast("long")).alias("held"))
+    enough = (F.col("applicable") > 0) & (F.col("held") >= F.col("need") * F.col("applicable"))
+    status = F.when(enough & F.col("partial"), "PARTIAL").when(enough, "PASS").otherwise("FAIL")
+    counts = counts.select("check", "name", status.alias("status"), F.coalesce("held", F.lit(0)).cast("long").alias("held"), "applicable")
+    line = F.concat_ws("  ", F.lpad(F.col("check").cast("string"), 2, " "), F.rpad("status", 7, " "), F.col("name"), F.concat(F.col("held").cast("string"), F.lit("/"), F.col("applicable").cast("string")))
+    return counts.withColumn("report", line)
+
+
+def status_counts(report: DataFrame) -> DataFrame:
+    """The report's last line."""
+    names = ["PASS", "PARTIAL", "FAIL"]
+    one = report.agg(*[F.sum((F.col("status") == n).cast("long")).alias(n) for n in names])
+    return one.select(F.concat_ws(", ", *[F.concat(F.col(n).cast("string"), F.lit(f" {n}")) for n in names]).alias("report"))
 
 
 def band_cube(results: DataFrame) -> DataFrame:

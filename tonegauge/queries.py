@@ -11,7 +11,7 @@ from .functions import dates, formats, rules
 from .functions import text as T
 from .operators import guard
 from .plans import report, score
-from .sources import adapters, corpus
+from .sources import adapters, corpus, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +123,85 @@ def release_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.release_metrics(_scored(spark, sf_dir), _messages(spark, sf_dir))
 
 
+def _pairs(spark: SparkSession) -> DataFrame:
+    results = score.score_threads(pairs.pair_messages(spark), pairs.DAY_END)
+    return report.pair_checks(report.compare_pairs(results, pairs.pair_rows(spark)), pairs.SURFACE_FAMILIES)
+
+
+def pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """120 minimal pairs: scores of both sides, and whether one score stayed and the other moved."""
+    return _pairs(spark).select("pair_id", "family", *[F.round(c, 6).alias(c) for c in ("surface_a", "surface_b", "force_a", "force_b")], "stays", "moves")
+
+
+def gap_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark).select("pair_id", F.round("gap_a", 1).alias("gap_a"), F.round("gap_b", 1).alias("gap_b"), "direction")
+
+
+def _levels(spark: SparkSession) -> DataFrame:
+    """By level and object: the level found, its surface score, and whether it lies below the level before."""
+    d = score.score_threads(pairs.level_messages(spark), pairs.DAY_END)
+    part = F.split("thread_id", "-")
+    d = d.select(part[1].cast("int").alias("level"), part[2].cast("int").alias("object"), F.col("head_act.level").alias("matched"), "surface")
+    below = F.col("surface") < F.lag("surface").over(Window.partitionBy("object").orderBy("level"))
+    return d.withColumn("below", below)
+
+
+def level_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark).select("level", "object", "matched", F.round("surface", 6).alias("surface"), "below")
+
+
+def _scenarios(spark: SparkSession) -> DataFrame:
+    d = score.score_threads(pairs.scenario_messages(spark), pairs.DAY_END)
+    kinds = F.create_map(*[F.lit(x) for name, _, category, *_ in pairs.SCENARIOS for x in (name, category)])
+    found = F.transform(F.filter("force_evidence", lambda e: e["category"] == F.element_at(kinds, F.col("thread_id"))), lambda e: e["event_id"])
+    return d.select(F.col("thread_id").alias("scenario"), F.size(found).alias("rows"), F.size(F.array_distinct(found)).alias("events"))
+
+
+def event_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of evidence, of how many events, stand for facts said together and apart."""
+    return _scenarios(spark)
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msg_id, same: two runs over different partitions give the same result rows."""
+    m = _messages(spark, sf_dir)
+
+    def run(d: DataFrame, name: str) -> DataFrame:
+        r = score.score_threads(d, corpus.DAY_END)
+        return r.select("msg_id", F.sha2(F.to_json(F.struct(*[c for c in r.columns if c != "msg_id"])), 256).alias(name))
+
+    return run(m, "one").join(run(m.repartition(5, "msg_id"), "two"), "msg_id").select("msg_id", (F.col("one") == F.col("two")).alias("same"))
+
+
+def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _twice(spark, sf_dir).agg(F.count("*").alias("messages"), F.sum(F.col("same").cast("long")).alias("identical"))
+
+
+def release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every release check with its status, and a line of text for each."""
+    compared = _pairs(spark).withColumn("wording", F.col("family").isin(pairs.SURFACE_FAMILIES))
+    one = lambda n, name, ok, need=1.0, partial=False: F.struct(F.lit(n).alias("check"), F.lit(name).alias("name"), ok.alias("ok"), F.lit(need).alias("need"), F.lit(partial).alias("partial"))
+    rows = compared.select(F.explode(F.array(
+        one(1, "force stays when wording changes", F.when(F.col("wording"), F.col("stays"))), one(2, "surface moves when wording changes", F.when(F.col("wording"), F.col("moves"))),
+        one(3, "force moves when reasons change", F.when(~F.col("wording"), F.col("moves"))), one(4, "surface stays when reasons change", F.when(~F.col("wording"), F.col("stays"))),
+        one(5, "gap moves the way it should", F.col("direction"), report.DIRECTION_RATE),
+    )).alias("c"))
+    levels = _levels(spark).select(one(6, "surface falls from level to level", (F.col("matched") == F.col("level")) & F.coalesce("below", F.lit(True)), partial=True).alias("c"))
+    expected = F.create_map(*[F.lit(x) for name, _, _, n, events in pairs.SCENARIOS for x in (name, f"{n}/{events}")])
+    events = _scenarios(spark).select(one(9, "a fact counts once", F.concat_ws("/", "rows", "events") == F.element_at(expected, F.col("scenario"))).alias("c"))
+    metrics = report.release_metrics(_scored(spark, sf_dir), _messages(spark, sf_dir))
+    fidelity, partition = F.col("check") != "sides share no character", F.col("check") == "sides share no character"
+    trace = metrics.where(fidelity).select(one(7, "evidence adds up and quotes the text", F.col("failures") == 0).alias("c"))
+    apart = metrics.where(partition).select(one(8, "no character counts on both sides", F.col("failures") == 0).alias("c"))
+    again = _twice(spark, sf_dir).select(one(10, "two runs give the same", F.col("same")).alias("c"))
+    copy = intent_guard(spark, sf_dir).join(spark.createDataFrame([(i, ok) for i, (_, ok) in enumerate(report.GUARD_SAMPLES)], "sample int, passes boolean"), "sample")
+    guarded = copy.select(one(11, "copy claims no intent", F.col("claim").isNull() == F.col("passes")).alias("c"))
+    every = rows.unionByName(levels).unionByName(events).unionByName(trace).unionByName(apart).unionByName(again).unionByName(guarded)
+    found = report.summary(every.select("c.*"))
+    total = report.status_counts(found).select(F.lit(99).alias("check"), F.lit("total").alias("name"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("held"), F.lit(None).cast("long").alias("applicable"), "report")
+    return found.unionByName(total)
+
+
 def formatted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("thread_id", "ord", *report.formatted_columns())
 
@@ -235,7 +314,7 @@ def editor_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, masked_text, surface_evidence, evidence_overlay, partition_overlap,
-    release_metrics, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, caps_hits, reduplication_hits,
+    release_metrics, pair_checks, gap_direction, level_order, event_dedupe, determinism, release_report, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, caps_hits, reduplication_hits,
     intent_guard, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
