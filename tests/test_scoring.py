@@ -132,3 +132,43 @@ def test_streaming_rescores_touched_threads(spark, tmp_path):
     rescore.start(rescore.read_messages(spark, source), history, results, state, "17:00").awaitTermination()
     got = {r.msg_id: r.force for r in rescore.latest(spark, results).collect()}
     assert got == {"m0": 3.0, "m1": 4.5, "u0": 3.0}
+    # a message that comes again replaces itself, whatever order rows are read in
+    spark.createDataFrame([("t", 0, "m0", "A", ["B"], MONDAY, "The numbers look fine.")], MESSAGES).coalesce(1).write.mode("append").json(source)
+    rescore.start(rescore.read_messages(spark, source), history, results, state, "17:00").awaitTermination()
+    assert {r.msg_id: r.force for r in rescore.latest(spark, results).collect()} == {"m0": None, "m1": 3.0, "u0": 3.0}
+    assert [r.msg_id for r in rescore.latest(spark, results, ["u"]).collect()] == ["u0"]
+
+
+def test_every_rule_has_an_example_that_it_matches():
+    import re
+
+    for r, text in zip([r for table in rules.TABLES.values() for r in table], corpus.examples(), strict=True):
+        assert re.search(r.pattern, text, 0 if r.case else re.I), r.pattern
+
+
+def test_rules_with_look_around_equal_pythons(spark, sf):
+    import re
+
+    import pyarrow.parquet as pq
+
+    from tonegauge.queries import _RE2_UNSAFE, QUERIES
+
+    said = corpus.examples()
+    texts = [said[i % len(said)] for i in pq.read_table(f"{sf}/events.parquet").column("event_id").to_pylist()]
+    texts += [r.text for r in corpus.messages(spark.read.parquet(f"{sf}/conversations.parquet")).collect()]
+    want = {}
+    for name, table in rules.TABLES.items():
+        for r in table:
+            if any(x in r.pattern for x in _RE2_UNSAFE) and (n := sum(bool(re.search(r.pattern, t, 0 if r.case else re.I)) for t in texts)):
+                want[name, r.ord] = n
+    assert {(r.lexicon, r.rule): r.messages for r in QUERIES["rule_hits_around"](spark, sf).collect()} == want and len(want) >= 10
+
+
+def test_guard_raises(spark):
+    from pyspark.sql import functions as F
+
+    from tonegauge.operators import guard
+
+    d = spark.createDataFrame([("The sender meant to press you.",)], "t string")
+    with pytest.raises(Exception, match="(?i)intent"):
+        d.select(guard.assert_no_intent_claims(F.col("t"))).collect()

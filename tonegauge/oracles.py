@@ -98,7 +98,13 @@ def _rule_hits() -> str:
     unsafe = ("(?!", "(?=", "(?<", "\\1")
     safe = [(name, r) for name, table in rules.TABLES.items() for r in table if not any(x in r.pattern for x in unsafe)]
     values = ",\n".join(f"('{name}', {r.ord}, {_text(r.pattern if r.case else '(?i)' + r.pattern)})" for name, r in safe)
-    return f"""{_BASIC}, rule(lexicon, rule, pattern) AS (VALUES {values}), x AS (SELECT text, count(*) AS n FROM m GROUP BY text)
+    said = corpus.examples()
+    return f"""{_BASIC}, rule(lexicon, rule, pattern) AS (VALUES {values}),
+x AS (
+  SELECT text, sum(n) AS n FROM (
+    SELECT text, count(*) AS n FROM m GROUP BY text UNION ALL SELECT {_list(said)}[event_id % {len(said)} + 1], count(*) FROM events GROUP BY 1
+  ) GROUP BY text
+)
 SELECT lexicon, rule, CAST(sum(n) AS BIGINT) AS messages FROM x JOIN rule ON regexp_matches(x.text, rule.pattern) GROUP BY lexicon, rule"""
 
 
@@ -152,7 +158,45 @@ SELECT "check", name, status, held, applicable, lpad(CAST("check" AS VARCHAR), 2
 UNION ALL SELECT 99, 'total', NULL, NULL, NULL, count(*) FILTER (status = 'PASS') || ' PASS, ' || count(*) FILTER (status = 'PARTIAL') || ' PARTIAL, ' || count(*) FILTER (status = 'FAIL') || ' FAIL' FROM s"""
 
 
+def _marks() -> str:
+    rows = [f"({i}, {_text(phrase)}, {_text(sub)}, {weight}::DOUBLE)" for i, t in enumerate(corpus.TEMPLATES) for phrase, sub, weight, _ in t.marks()]
+    return "mark(template, phrase, subcategory, weight) AS (VALUES " + ",\n".join(rows) + ")"
+
+
+def _volume() -> str:
+    """The scored messages of events instead of conversations."""
+    bank = "b.template = (e.user_id * 31 + e.event_id * 7) % " + str(len(corpus.TEMPLATES))
+    m = f"""m AS (
+  SELECT CAST(e.user_id AS VARCHAR) AS thread_id, e.event_id AS ord, CASE WHEN e.event_id % 3 = 0 THEN 'b' ELSE 'a' END AS sender, CASE WHEN e.event_id % 3 = 0 THEN 'a' ELSE 'b' END AS recipient,
+    epoch_ms(date_trunc('second', e.ts)) AS ms, epoch_ms(date_trunc('second', e.ts)) AS local, b.* FROM events e JOIN bank b ON {bank}
+)"""
+    return f"""WITH {_bank()}, {m},{_SCORED}
+SELECT b.band, s.suppressed, count(*) AS messages, round(avg(b.force), 4) AS mean_force FROM s LEFT JOIN b ON b.thread_id = s.thread_id AND b.ord = s.ord GROUP BY ALL"""
+
+
+_CATEGORY = "CASE WHEN weight >= 3 THEN 'directness' WHEN weight < 0 THEN 'downgrader' ELSE 'upgrader' END"
+
 ORACLE_SQL: dict[str, str] = {
+    "masked_text": f"""WITH RECURSIVE {MESSAGES.strip()}, {_marks()},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY length(phrase) DESC, subcategory) AS no FROM mark),
+step AS (
+  SELECT template, text, text AS left_, 0 AS no FROM m WHERE level > 0 AND recipient IS NOT NULL GROUP BY template, text
+  UNION ALL SELECT s.template, s.text, CASE WHEN strpos(s.left_, r.phrase) > 0 THEN left(s.left_, strpos(s.left_, r.phrase) - 1) || repeat(' ', length(r.phrase)) || substring(s.left_, strpos(s.left_, r.phrase) + length(r.phrase)) ELSE s.left_ END, r.no
+  FROM step s JOIN ranked r ON r.template = s.template AND r.no = s.no + 1
+)
+SELECT text, CAST(0 AS INTEGER) AS lost, regexp_replace(replace(arg_max(left_, no), '🎉', chr(57344) || chr(57345)), ' +', ' ', 'g') AS "left" FROM step GROUP BY text""",
+    "surface_evidence": f"""{_WITH}, {_marks()} SELECT {_CATEGORY} AS category, subcategory, weight, false AS capped, count(*) AS rows FROM b JOIN mark USING (template) GROUP BY ALL""",
+    "formatted_report": f"""{_WITH}
+SELECT s.thread_id, s.ord, coalesce(printf('%.1f', floor(b.surface * 10 + 0.5) / 10), '—') AS surface_text, coalesce(printf('%.1f', floor(round(b.force, 9) * 10 + 0.5) / 10), '—') AS force_text,
+  CASE WHEN b.gap IS NULL THEN '—' WHEN b.gap > 0 THEN printf('+%.1f', b.gap) ELSE printf('%.1f', b.gap) END AS gap_text, coalesce(CAST(CAST(floor(round(b.sure * 100, 6) + 0.5) AS BIGINT) AS VARCHAR) || '%', '—') AS confidence_text,
+  CASE b.band WHEN 'aligned' THEN 'Aligned' WHEN 'under-phrased' THEN 'Under-phrased' WHEN 'over-phrased' THEN 'Over-phrased' WHEN 'mildly-under-phrased' THEN 'Mildly under-phrased' WHEN 'mildly-over-phrased' THEN 'Mildly over-phrased' END AS band_text,
+  CASE s.suppressed WHEN 'no_head_act' THEN 'No request found in this message.' WHEN 'unresolved_addressee' THEN 'A request, but nobody it is addressed to.' END AS suppression_text,
+  coalesce(b.force = 3, false) AS baseline_only
+FROM s LEFT JOIN b ON b.thread_id = s.thread_id AND b.ord = s.ord""",
+    "volume_bands": _volume(),
+    "event_units": f"""{_BASIC} SELECT thread_id, ord, CAST(3 + 2 * length(regexp_replace(text, '[^;—]', '', 'g')) AS BIGINT) AS units FROM m""",
+    "reduplication_hits": r"""WITH x AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[^a-z0-9_]+') AS w FROM documents)
+SELECT doc_id FROM x WHERE len(list_filter(range(1, len(w) - 1), lambda i: w[i] = w[i + 2] AND regexp_matches(w[i], '^[a-z0-9_]') AND regexp_full_match(w[i + 1], '[\s\x0B]+'))) > 0""",
     "pair_checks": f"""WITH {_pairs()}
 SELECT pair_id, family, round(surface_a, 6) AS surface_a, round(surface_b, 6) AS surface_b, round(force_a, 6) AS force_a, round(force_b, 6) AS force_b, stays, moves FROM checked""",
     "gap_direction": f"WITH {_pairs()} SELECT pair_id, round(gap_a, 1) AS gap_a, round(gap_b, 1) AS gap_b, direction FROM checked",

@@ -8,12 +8,13 @@ derived by hand, for the SQL that results are held against.
 
 from __future__ import annotations
 
+from functools import cache
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, rules
 from ..functions.text import literals
 
 #: 2026-08-17T13:00:00Z, a Monday.
@@ -35,6 +36,22 @@ class Template(NamedTuple):
     dependency: float = 0.0
     follow_up: float = 0.0
 
+    def marks(self) -> list[tuple[str, str, float]]:
+        """Phrase, subcategory and weight of the wording evidence: the phrases below that the text has, in the request
+        or in a sentence of nothing but modifiers."""
+        return [m for m in MARKS if self.level and m[0] in self.text and self.text not in m[3]]
+
+
+#: Phrase, subcategory, weight, and texts that have the phrase where it doesn't count: read off the rule tables by hand.
+MARKS = [
+    ("Review", "mood_derivable", 10.0, ()), ("Please update", "mood_derivable", 10.0, ()), ("Please send", "mood_derivable", 10.0, ()), ("I'm asking you to", "performative", 9.0, ()),
+    ("I'd like to ask you to", "hedged_performative", 8.0, ()), ("You need to", "obligation", 7.0, ()), ("You should", "obligation", 7.0, ()), ("You should", "syntactic.weak_deontic", -0.32, ()),
+    ("I need", "want", 6.0, ()), ("How about", "suggestory", 4.5, ()), ("Let's", "suggestory", 4.5, ()), ("Can you", "query_preparatory", 3.5, ()), ("Could you", "query_preparatory", 3.5, ()),
+    ("Would you mind", "query_preparatory", 3.5, ()), ("?", "syntactic.interrogative", -0.4, ("Could you look at the chart, Bob?",)), ("Could", "syntactic.conditional", -0.4, ()),
+    ("please", "politeness_marker", -0.32, ()), ("if possible", "downtoner", -0.64, ()), ("No rush", "workplace_formula", -0.8, ("Could you review the plan? No rush on the other task.",)),
+    ("really", "intensifier", 0.4, ()), ("!!", "emphatic_orthography", 0.64, ()), ("LOGIN", "emphatic_orthography", 0.48, ()),
+]
+
 
 def _t(request: str, level: int, surface: float, rest: str = "", **more: object) -> Template:
     return Template(request + rest, level, surface, request, **more)
@@ -96,6 +113,40 @@ COURSE = [
 TEMPLATES = [*BANK, *COURSE]
 
 
+def _example(parsed) -> str:
+    """A short text that a parsed pattern matches: first branches, least repetitions."""
+    out, groups = "", {}
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op in ("ANY", "NOT_LITERAL"):
+            out += "x"
+        elif op == "IN":
+            kind, value = arg[0]
+            out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: {"CATEGORY_DIGIT": "3", "CATEGORY_SPACE": " "}.get(str(v), "a"), "NEGATE": lambda v: "x"}[str(kind)](value)
+        elif op == "BRANCH":
+            out += _example(arg[1][0])
+        elif op == "SUBPATTERN":
+            groups[arg[0]] = _example(arg[3])
+            out += groups[arg[0]]
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += _example(arg[2]) * arg[0]
+        elif op == "GROUPREF":
+            out += groups[arg]
+        elif op == "ASSERT" and arg[0] == 1:
+            out += _example(arg[1])
+    return out
+
+
+@cache
+def examples() -> list[str]:
+    """For each rule a short text that it matches, made from its pattern."""
+    from re import _parser
+
+    return [_example(_parser.parse(r.pattern)) for table in rules.TABLES.values() for r in table]
+
+
 def template_number(conv: str, turn: str) -> str:
     """SQL (both engines') of a message's template."""
     return f"CASE WHEN {conv} % 4 = 0 THEN {len(BANK)} + {turn} % {len(COURSE)} ELSE ({conv} * 31 + {turn} * 7) % {len(BANK)} END"
