@@ -69,7 +69,7 @@ def test_run_equals_the_plain_version(spark, source):
     kept = []
     for i, t in rows:
         (label,), (share,), (sure,) = model.label([t or ""])
-        if label != "und" and max(share, sure) >= 0.4:
+        if label != "und" and (share >= 0.4 or sure >= 0.9):
             kept.append((i, t))
     kept = plain_lines(kept)
     groups = plain_components(kept, 5, Fraction(4, 5))

@@ -305,9 +305,9 @@ def predict(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of docs whose text is in a language: one label has at least this share of the words, or the words
-    (of a text in several languages) are labelled with at least this certainty."""
+def accept(docs: DataFrame, least: float = 0.4, clear: float = 0.9) -> DataFrame:
+    """The rows of docs whose text is in a language: one label has at least the share ``least`` of the words, or the
+    words (of a text in several languages) are labelled with the certainty ``clear`` on average."""
     names = tuple(unused(docs, n) for n in ("label", "share", "certainty"))
     label, share, sure = map(F.col, names)
-    return labelled(docs, train(docs), names=names).where((label != UNKNOWN) & (F.greatest(share, sure) >= least)).select(*docs.columns)
+    return labelled(docs, train(docs), names=names).where((label != UNKNOWN) & ((share >= least) | (sure >= clear))).select(*docs.columns)
