@@ -71,7 +71,7 @@ def test_language_on_held_out_rows(spark, sf):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"} and langid.predict(docs.limit(0)).count() == 0
     # columns of the operator's own names stay, a text in three languages does too
     mixed = " ".join(r.text[:400] for r in docs.where("lang IS NOT NULL AND length(text) > 500").dropDuplicates(["lang"]).collect())
-    more = docs.selectExpr("*", "doc_id AS score", "'x' AS lang_pred", "1 AS certainty").unionByName(spark.createDataFrame([(-9, mixed, "en")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    more = docs.selectExpr("*", "doc_id AS score", "'x' AS lang_pred", "1 AS certainty").unionByName(spark.createDataFrame([(-9, mixed, None)], "doc_id long, text string, lang string"), allowMissingColumns=True)
     kept = langid.accept(more)
     assert kept.columns == more.columns and kept.where("doc_id = -9").count() == 1 and kept.where("doc_id >= 0 AND score <> doc_id").count() == 0
 

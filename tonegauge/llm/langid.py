@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import no_cycles, tidy, unused
+from ._common import importable, no_cycles, tidy, unused
 from ._text import U64, mix
 
 #: The most training rows of a label and characters of each, hashed features, words of a training piece, and occurrences that put a word into the lexicon.
@@ -268,6 +268,7 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
 def labelled(docs: DataFrame, model: Crf, keep: list[str] | None = None, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """docs (or its columns ``keep``) with label, score and, if a third name is given, certainty (columns of these
     names are replaced); one pass, no shuffle."""
+    importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(*names)
     at, kept = docs.columns.index("text"), [docs.columns.index(c) for c in keep or docs.columns]
