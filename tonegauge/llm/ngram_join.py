@@ -14,7 +14,8 @@ prefixes (the rare end of the order) names every possible partner.
 1. Equal sets (copies) are one class; of its documents one stands in the index.
 2. N-grams with the same documents name the same pairs: one of them stays. That,
    like every count by n-gram, is a partial aggregate, so a frequent n-gram is a
-   row per task.
+   row per task. A document that sizes or sketches dismiss against all others of an
+   n-gram of few documents leaves it.
 3. Each document meets two leaders of each entry that it stands in, never all of
    the entry; components of the links found are formed.
 4. What an entry names and step 3 left in different components meets in a pair's
@@ -57,6 +58,8 @@ SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 FRAGMENTS = 4
 #: Rows of ids (16 bytes each) and of n-grams (8 bytes) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_IDS, BROADCAST_KEYS = 200_000, 1_000_000
+#: Documents of an n-gram up to which each is held against the others before it becomes an entry; of more, all become entries.
+FEW = 16
 #: Earlier entries that a document brings along into an entry, to see whether a pair has met: more spare repetitions, none is needed.
 EARLIER = 16
 
@@ -270,17 +273,35 @@ class _Index:
         shared = spots.groupBy("key").agg(F.count("*").alias("c"), F.min("row_id").alias("lo"), F.expr("bit_xor(xxhash64(row_id))").alias("who"), F.min("n").alias("least"), F.max("n").alias("most"))
         # two that differ too much in size are no pair
         shared = shared.where(f"c > 2 OR c = 2 AND {similarity.numerator} * most <= {similarity.denominator} * least")
-        kept = compact(materialize(shared.groupBy("c", "lo", "who", "least", "most").agg(F.min("key").alias("key")).select("key")))
-        mine = spots.join(_listed(kept, BROADCAST_KEYS), "key", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_set("key")).alias("own"))
+        kept = compact(materialize(shared.groupBy("c", "lo", "who", "least", "most").agg(F.min("key").alias("key")).select("key", "c")))
+        held = materialize(spots.join(_listed(kept, BROADCAST_KEYS), "key").select("key", "c", "row_id", "n"))
+        named = held.where(f"c > {FEW}").select("key", "row_id").union(self._alike(held.where(f"c <= {FEW}"), sets))
+        mine = named.groupBy("row_id").agg(F.array_sort(F.collect_set("key")).alias("own"))
         heads = sets.select("row_id", "n", "parity").join(self.classes.select(F.col("carrier").alias("row_id"), F.col("rep").alias("id")), "row_id").join(mine, "row_id")
         before = f"slice(own, 1, least(at, {EARLIER}))"
         self.entries = materialize(heads.select("id", "n", "parity", "own", F.posexplode("own").alias("at", "key")).selectExpr("key", "id", "n", "parity", f"{before} AS before"))
 
+    def _alike(self, held: DataFrame, sets: DataFrame) -> DataFrame:
+        """key, row_id of documents that have a possible partner among the few of an n-gram: by sizes, then by sketches.
+        Most meet by chance, the more so the larger the corpus, and go before anything wide is sent for them."""
+
+        def partnered(rows: DataFrame, columns: list[str], near: str) -> DataFrame:
+            own = rows.groupBy("key").agg(F.collect_list(F.struct("row_id", *columns)).alias("own"))
+            left = own.select("key", F.expr(f"filter(own, x -> exists(own, y -> x.row_id <> y.row_id AND {near}))").alias("own"))
+            return left.select("key", F.explode("own.row_id").alias("row_id"))
+
+        sized = compact(materialize(partnered(held, ["n"], self.near_size("x", "y"))))
+        wide = sets.select("row_id", "n", "parity").join(_listed(sized, BROADCAST_IDS), "row_id")
+        return partnered(wide, ["n", "parity"], self.near("x", "y"))
+
+    def near_size(self, x: str, y: str) -> str:
+        return f"{self.similarity.numerator} * greatest({x}.n, {y}.n) <= {self.similarity.denominator} * least({x}.n, {y}.n)"
+
     def near(self, x: str, y: str) -> str:
         """Sizes and sketches don't rule the pair out: similar sets differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
         num, den = self.similarity.numerator, self.similarity.denominator
         apart = f"aggregate(zip_with({_both(f'{x}.parity', f'{y}.parity')}, {_both(f'{y}.parity', f'{x}.parity')}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
-        return f"{num} * greatest({x}.n, {y}.n) <= {den} * least({x}.n, {y}.n) AND {apart} * {num + den} <= ({x}.n + {y}.n) * {den - num}"
+        return f"{self.near_size(x, y)} AND {apart} * {num + den} <= ({x}.n + {y}.n) * {den - num}"
 
     def links_of(self, pairs: DataFrame) -> DataFrame:
         """a, b of those pairs (x, nx, y, ny) that are similar: the texts of their documents are read again."""
