@@ -54,11 +54,11 @@ def shared_folder(spark: SparkSession) -> str:
         if not named and not spark.sparkContext.master.partition("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-        _swept(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
+        swept(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def _swept(spark: SparkSession, path: str) -> None:
+def swept(spark: SparkSession, path: str) -> None:
     """The path goes when the application ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -69,7 +69,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _swept(spark, path)
+    swept(spark, path)
     return spark.read.parquet(path)
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprints, langid, line_dedup, ngram_join, packing, suffix_dedup, token_counts
-from ._common import table
+from . import alignment, ann, bpe, chat, filter_audit, fingerprints, langid, line_dedup, ngram_join, packing, suffix_dedup, token_counts, token_files
+from ._common import shared_folder, swept, table
 
 
 def _bytes_vocabulary() -> tuple[str, str]:
@@ -75,10 +76,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(table(spark, sf_dir, "documents"), *_bytes_vocabulary())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    swept(spark, path)
+    token_files.write_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.digests(spark, path)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_nearest_neighbours, op3_ngram_jaccard, op3_ngram_links, op4_language_id, op5_suffix_dedup, op6_line_dedup, op6_line_dedup_short, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe,
+        op1_token_counts, op2_nearest_neighbours, op3_ngram_jaccard, op3_ngram_links, op4_language_id, op5_suffix_dedup, op6_line_dedup, op6_line_dedup_short, op7_packing, op8_chat_formatting, op9_fingerprints, op10_byte_bpe, op11_filter_audit, op12_token_files, op13_token_alignment,
     )
 }
 
@@ -96,6 +116,30 @@ def _digests(lists: str, depth: int) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": r"""
+WITH RECURSIVE l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(least < w.doc_id, false)} AS f
+  FROM w LEFT JOIN l USING (doc_id)
+), m AS (
+  SELECT part, good, toxic, concat(if(f.A, 'A', ''), if(f.B, 'B', ''), if(f.C, 'C', ''), if(f.D, 'D', ''), if(f.E, 'E', '')) AS fails, count(*) AS n FROM d GROUP BY ALL
+), o AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(x) WHERE length(o) < 5 AND NOT contains(o, x)
+), s AS (
+  SELECT o AS filter_order, CAST(i AS INTEGER) AS step, substring(o, i, 1) AS x, substring(o, 1, i - 1) AS before FROM o, range(1, 6) r(i) WHERE length(o) = 5
+), c AS (
+  SELECT *, contains(fails, x) AS own, before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone FROM m, s
+), g AS (
+  SELECT part, filter_order, step, x, CAST(coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (own AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (own AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = x), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (own AND NOT gone AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (own AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM c GROUP BY ALL
+)
+SELECT * EXCLUDE x, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g
+""",
     "op3_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
