@@ -231,6 +231,10 @@ def test_alignment_query(spark, sf):
 
 
 def test_alignment_deals_chunks_once(spark, sf):
-    rows = alignment.encoded(spark.read.parquet(f"{sf}/documents.parquet"), A, B).where("chunk >= 0").select("block", "chunk", "lists").repartition("block", "chunk")
-    plan = alignment._aligned(rows)._jdf.queryExecution().executedPlan().toString()
-    assert {line.split("Exchange ")[1].split(",")[0] for line in plan.split("\n") if "Exchange hashpartitioning" in line} and plan.count("REPARTITION_BY_COL") == plan.count("Exchange hashpartitioning")
+    from tonegauge.llm._common import set_to
+
+    rows = alignment.stored(alignment.encoded(spark.read.parquet(f"{sf}/documents.parquet"), A, B)).where("chunk >= 0").select("block", "chunk", "lists").repartition("block", "chunk")
+    with set_to(spark, alignment.ALL_KEYS, "false"), set_to(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = alignment._aligned(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 3 and "SortMergeJoin" in plan
+    assert spark.conf.get(alignment.ALL_KEYS) == "true"

@@ -73,6 +73,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextlib.contextmanager
+def set_to(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session while a table is written."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder."""
     shared_folder(df.sparkSession)

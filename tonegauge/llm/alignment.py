@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_text, no_cycles, pieces, stored, tidy
+from ._common import id_text, no_cycles, pieces, set_to, stored, tidy
 
 #: Bytes of texts in a block; words in a chunk of its dictionary.
 BLOCK, CHUNK = 8_000_000, 4096
@@ -166,6 +166,8 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK)
 
 
 _OF_CHUNK = ["block", "chunk"]
+#: False: rows that were dealt out by some of a join's keys on both sides stay where they are.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def _ends(chunks: DataFrame, side: str, ids: int, lengths: int) -> DataFrame:
@@ -234,8 +236,9 @@ def _scores(aligned: DataFrame, pairs: DataFrame, heavy: int) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     rows = stored(encoded(docs, a_path, b_path, block_bytes))
-    # lists stay whole, so that all uses of the chunks share one exchange; every step over chunks keeps its partitioning
-    aligned = stored(_aligned(rows.where("chunk >= 0").select(*_OF_CHUNK, "lists").repartition(*_OF_CHUNK)))
+    with set_to(docs.sparkSession, ALL_KEYS, "false"):
+        # lists stay whole, so that all uses of the chunks share one exchange; every step over chunks keeps its partitioning
+        aligned = stored(_aligned(rows.where("chunk >= 0").select(*_OF_CHUNK, "lists").repartition(*_OF_CHUNK)))
     pairs = stored(pair_counts(aligned))
     both = aligned.select(*_OF_CHUNK, "words").join(_scores(aligned, pairs, heavy), _OF_CHUNK)
     chunks = both.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("chunk", F.arrays_zip("words", "scores").alias("w")))).alias("c"))

@@ -365,7 +365,6 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
             for batch in batches:
                 for a, b, texts in pieces(batch.column(1)):
                     yield record_batch(_ENCODED, [batch.column(0).slice(a, b - a), [ids + end for ids in tokenizer.encode_packed(texts)]])
-            tokenizer.memo, tokenizer.older = {}, {}  # the worker lives on, and may do other work
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
