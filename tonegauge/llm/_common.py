@@ -64,11 +64,11 @@ def swept(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut lineage with a table in the shared folder, of which later readers take only the columns they need."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     swept(spark, path)
     return spark.read.parquet(path)
 

@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 
 from ._common import id_text, no_cycles, pieces, set_to, stored, tidy
 
-#: Bytes of texts in a block; words in a chunk of its dictionary.
-BLOCK, CHUNK = 8_000_000, 4096
+#: Bytes of texts in a block; words in a chunk of its dictionary; occurrences of words in a row of documents; words that the libraries get at a time.
+BLOCK, CHUNK, OCCURRENCES, AT_ONCE = 16_000_000, 4096, 1_000_000, 20_000
 #: Pairs that hold at least this part of all links are broadcast.
 HEAVY = 100_000
+#: A token in one number: id * SIZES + bytes.
+SIZES = 1 << 10
 _BORDER = re.compile(r"(?<=\S) ")
-#: chunk: -1 for the row of a block's documents (doc_ids, words); others have lists: A's ids, lengths and word numbers, B's ids and lengths, the words' occurrences.
+#: chunk from 0: lists are A's tokens, A's tokens of each word, B's tokens, the words' occurrences. Below 0: documents (doc_ids, words).
 _LISTS = pa.list_(pa.list_(pa.int32()))
 _ENCODED = pa.schema([("block", pa.int64()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("words", _LISTS), ("lists", _LISTS)])
 ENCODED = "block long, chunk int, doc_ids array<long>, words array<array<int>>, lists array<array<int>>"
@@ -65,6 +67,11 @@ class TwoTokenizers:
         self.b = SentencePieceProcessor(model_file=b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int32), np.array([len(x) for x in self.b_bytes], np.int32)
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
+        if max(self.a_sizes.max(), self.b_sizes.max()) >= SIZES or max(len(self.a_sizes), len(self.b_sizes)) > (1 << 31) // SIZES:
+            raise ValueError("a token doesn't fit into a number")
         self.space = self.b.piece_to_id("▁")
         self.local = not any(re.search("[^▁]▁", p) for p in names)  # else a piece could join two words
 
@@ -98,55 +105,89 @@ def _nested(rows: list[list[np.ndarray] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(bounds, inner, mask=pa.array([row is None for row in rows]))
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
-
-
-class _Lengths:
-    """Bytes of tokens by id."""
-
-    def __init__(self, two: TwoTokenizers):
-        self.a, self.b = np.zeros(max(two.a_bytes) + 1, np.int32), np.array([len(x) for x in two.b_bytes], np.int32)
-        for i, x in two.a_bytes.items():
-            self.a[i] = len(x)
-
-
-def _block_rows(two: TwoTokenizers, lengths: _Lengths, block: int, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
-    numbers: dict[str, int] = {}
-    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in two.words(t)] if t else [], np.int32) for t in texts]
-    words = list(numbers)
-    a, b = two.encode(words)
-    good = np.ones(len(words), bool)
-    for i, (w, x, y) in enumerate(zip(words, a, b, strict=True)):
-        raw = f" {w}".encode()
-        if two.joined(x, y) != (raw, raw):
-            good[i] = False
-    for k, d in enumerate(docs):
-        if not good[d].all():
-            whole = [list(chain.from_iterable([x[i] for i in d.tolist()])) for x in (a, b)]
-            raw = f" {texts[k]}".encode()
-            docs[k] = np.zeros(0, np.int32)
-            if two.joined(*whole) == (raw, raw):  # equal as a whole only: a word of its own
-                docs[k] = np.array([len(a)], np.int32)
-                a.append(whole[0])
-                b.append(whole[1])
-    times = np.bincount(np.concatenate([*docs, np.zeros(0, np.int32)]), minlength=len(a))
-    used = np.flatnonzero(times)
-    renumbered = np.zeros(len(a), np.int32)
-    renumbered[used] = np.arange(len(used))
-    (a_ids, a_sizes), (b_ids, b_sizes) = _flat([a[i] for i in used.tolist()]), _flat([b[i] for i in used.tolist()])
-    a_ends, b_ends = np.concatenate([[0], np.cumsum(a_sizes)]), np.concatenate([[0], np.cumsum(b_sizes)])
-    rows: list[list[np.ndarray] | None] = [None]
-    for first in range(0, len(used), CHUNK):
-        last = min(first + CHUNK, len(used))
-        x, y = a_ids[a_ends[first] : a_ends[last]], b_ids[b_ends[first] : b_ends[last]]
-        rows.append([x, lengths.a[x], np.repeat(np.arange(last - first), a_sizes[first:last]), y, lengths.b[y], times[used[first:last]]])
-    n = len(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block] * n, pa.int64()), pa.array(range(-1, n - 1), pa.int32()), pa.array([doc_ids] + [None] * (n - 1), pa.list_(pa.int64())), _nested([[renumbered[d] for d in docs]] + [None] * (n - 1)), _nested(rows)],
-        schema=_ENCODED,
-    )
+class _Block:
+    """Documents as word numbers, and the words' tokens."""
+
+    def __init__(self, two: TwoTokenizers, number: int):
+        self.two, self.number, self.bytes = two, number, 0
+        self.numbers: dict[str, int] = {}
+        self.doc_ids: list[int | None] = []
+        self.docs: list[np.ndarray] = []
+        self.a: list[list[np.ndarray]] = []
+        self.b: list[list[np.ndarray]] = []
+        self.good: list[bool] = []
+
+    def add(self, doc_ids: list, texts: list[str]) -> None:
+        numbers = self.numbers
+        for doc_id, text in zip(doc_ids, texts, strict=True):
+            self.doc_ids.append(doc_id)
+            self.docs.append(np.array([numbers.setdefault(w, len(numbers)) for w in self.two.words(text)] if text else [], np.int32))
+            self.bytes += len(text)
+
+    def _tokens(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
+        """Tokens of some words, end to end, with how many each has, of both sides; and which words they give back."""
+        a, b = self.two.encode(words)
+        good = []
+        for w, x, y in zip(words, a, b, strict=True):
+            raw = f" {w}".encode()
+            good.append(self.two.joined(x, y) == (raw, raw))
+        return [_flat(a), _counts(a)], [_flat(b), _counts(b)], good
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        words = list(self.numbers)
+        self.numbers = {}
+        a_ids, a_counts, b_ids, b_counts, good = [_NONE], [_NONE], [_NONE], [_NONE], []
+        for first in range(0, len(words), AT_ONCE):
+            (x, n), (y, m), fine = self._tokens(words[first : first + AT_ONCE])
+            a_ids.append(x), a_counts.append(n), b_ids.append(y), b_counts.append(m), good.extend(fine)
+        a, b, n_a, n_b, good = np.concatenate(a_ids), np.concatenate(b_ids), np.concatenate(a_counts), np.concatenate(b_counts), np.array(good, bool)
+        a_ends, b_ends = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        if not good.all():
+            more_a, more_b = [], []
+            for k, d in enumerate(self.docs):
+                if good[d].all():
+                    continue
+                whole_a, whole_b = (np.concatenate([side[ends[i] : ends[i + 1]] for i in d.tolist()]) for side, ends in ((a, a_ends), (b, b_ends)))
+                raw = b" " + b" ".join([words[i].encode() for i in d.tolist()])
+                self.docs[k] = np.zeros(0, np.int32)
+                if self.two.joined(whole_a.tolist(), whole_b.tolist()) == (raw, raw):  # equal as a whole only: a word of its own
+                    self.docs[k] = np.array([len(n_a) + len(more_a)], np.int32)
+                    more_a.append(whole_a), more_b.append(whole_b)
+            a, b = np.concatenate([a, *more_a]), np.concatenate([b, *more_b])
+            n_a, n_b = np.concatenate([n_a, _counts(more_a)]), np.concatenate([n_b, _counts(more_b)])
+            a_ends, b_ends = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        del words
+        times = np.bincount(np.concatenate([*self.docs, _NONE]), minlength=len(n_a))
+        used = times > 0
+        renumbered = (np.cumsum(used) - 1).astype(np.int32)
+        a, b = a[np.repeat(used, n_a)], b[np.repeat(used, n_b)]
+        n_a, n_b, times = n_a[used], n_b[used], times[used]
+        a_ends, b_ends = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        a, b = a * SIZES + self.two.a_sizes[a], b * SIZES + self.two.b_sizes[b]
+        for chunk, first in enumerate(range(0, len(times), CHUNK)):
+            last = min(first + CHUNK, len(times))
+            yield self._batch(chunk, None, None, [a[a_ends[first] : a_ends[last]], n_a[first:last], b[b_ends[first] : b_ends[last]], times[first:last]])
+        ends = np.cumsum([len(d) for d in self.docs])
+        part = first = 0
+        while first < len(self.docs):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + OCCURRENCES, side="right")))
+            part -= 1
+            yield self._batch(part, self.doc_ids[first:last], [renumbered[d] for d in self.docs[first:last]], None)
+            first = last
+
+    def _batch(self, chunk: int, doc_ids: list | None, words: list | None, lists: list | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([chunk], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), _nested([words]), _nested([lists])], schema=_ENCODED)
+
+
+_NONE = np.zeros(0, np.int32)
+
+
+def _flat(lists: list) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int32, sum(map(len, lists)))
+
+
+def _counts(lists: list) -> np.ndarray:
+    return np.fromiter(map(len, lists), np.int32, len(lists))
 
 
 def encoded(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK) -> DataFrame:
@@ -154,13 +195,17 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = two_tokenizers(a_path, b_path)
-        lengths, block = _Lengths(two), TaskContext.get().partitionId() << 33
+        block = _Block(two, TaskContext.get().partitionId() << 33)
         with no_cycles():
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for x, y, texts in pieces(batch.column(1), block_bytes):
-                    yield _block_rows(two, lengths, block, ids[x:y], texts)
-                    block += 1
+                for x, y, texts in pieces(batch.column(1), min(block_bytes, 1_000_000)):
+                    block.add(ids[x:y], texts)
+                    if block.bytes >= block_bytes:
+                        yield from block.rows()
+                        block = _Block(two, block.number + 1)
+            if block.docs:
+                yield from block.rows()
 
     return id_text(docs).mapInArrow(tidy(run), ENCODED)
 
@@ -170,46 +215,45 @@ _OF_CHUNK = ["block", "chunk"]
 ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
-def _ends(chunks: DataFrame, side: str, ids: int, lengths: int) -> DataFrame:
-    """A side's tokens: position, id, and where they end in the chunk."""
-    tokens = chunks.select(*_OF_CHUNK, F.posexplode(F.arrays_zip(F.col("lists")[ids].alias("id"), F.col("lists")[lengths].alias("size"))).alias(f"{side}_pos", "t"))
+def _ends(chunks: DataFrame, side: str, of: int) -> DataFrame:
+    """A side's tokens: position, and where they end in the chunk."""
+    tokens = chunks.select(*_OF_CHUNK, F.posexplode(F.col("lists")[of]).alias(f"{side}_pos", "t"))
     before = Window.partitionBy(*_OF_CHUNK).orderBy(f"{side}_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.select(*_OF_CHUNK, f"{side}_pos", F.col("t.id").alias(f"{side}_id"), F.sum("t.size").over(before).alias("end"))
+    return tokens.select(*_OF_CHUNK, f"{side}_pos", F.sum(F.col("t") % SIZES).over(before).alias("end"))
 
 
 def cuts(chunks: DataFrame) -> DataFrame:
-    """block, chunk, group (from 1), a_pos, b_pos, a_id, b_id: the tokens that end together."""
-    both = _ends(chunks, "a", 0, 1).join(_ends(chunks, "b", 3, 4), [*_OF_CHUNK, "end"])
+    """block, chunk, group (from 1), a_pos, b_pos: the tokens that end together."""
+    both = _ends(chunks, "a", 0).join(_ends(chunks, "b", 2), [*_OF_CHUNK, "end"])
     running = Window.partitionBy(*_OF_CHUNK).orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-    return both.select(*_OF_CHUNK, F.count("*").over(running).cast("int").alias("group"), "a_pos", "b_pos", "a_id", "b_id")
+    return both.select(*_OF_CHUNK, F.count("*").over(running).cast("int").alias("group"), "a_pos", "b_pos")
 
 
-def _texts(tokens: Column, last: Column, before: Column) -> Column:
+def _texts(tokens: str, last: Column, before: Column) -> Column:
     """Ids of tokens (before, last], between commas."""
     return F.array_join(F.slice(tokens, before + 2, last - before).cast("array<string>"), ",")
 
 
 def _aligned(chunks: DataFrame) -> DataFrame:
-    """block, chunk, words (text of groups, counts of tokens and groups, in order), links (word, a, b, n)."""
+    """block, chunk; texts, n_a, n_b, n_groups of its words, in order; links (word, a, b, n)."""
     found = cuts(chunks).groupBy(*_OF_CHUNK).agg(F.array_sort(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
-    d = chunks.select(*_OF_CHUNK, F.col("lists")[0].alias("a"), F.col("lists")[2].alias("word"), F.col("lists")[3].alias("b"), F.col("lists")[5].alias("times")).join(found, _OF_CHUNK)
+    ids = lambda of: F.transform(F.col("lists")[of], lambda t: F.floor(t / SIZES).cast("int"))
+    owner = F.flatten(F.transform(F.col("lists")[1], lambda n, i: F.array_repeat(i, n)))
+    d = chunks.select(*_OF_CHUNK, ids(0).alias("a"), owner.alias("word"), ids(2).alias("b"), F.col("lists")[3].alias("times")).join(found, _OF_CHUNK)
     before = lambda i, side: F.when(i == 0, -1).otherwise(F.get("cuts", i - 1)[side])
     groups = F.transform("cuts", lambda c, i: F.struct(
-        F.get("word", c["a_pos"]).alias("word"), c["a_pos"].alias("a_pos"), c["b_pos"].alias("b_pos"),
-        F.concat(_texts(F.col("a"), c["a_pos"], before(i, "a_pos")), F.lit("|"), _texts(F.col("b"), c["b_pos"], before(i, "b_pos"))).alias("text"),
+        F.get("word", c["a_pos"]).alias("word"), c["a_pos"].alias("a_pos"), c["b_pos"].alias("b_pos"), F.concat(_texts("a", c["a_pos"], before(i, "a_pos")), F.lit("|"), _texts("b", c["b_pos"], before(i, "b_pos"))).alias("text"),
     ))
     d = d.withColumn("groups", groups)
-    last = F.filter(F.sequence(F.lit(0), F.size("groups") - 1), lambda i: F.coalesce(F.get("groups", i + 1)["word"] != F.get("groups", i)["word"], F.lit(True)))
-    d = d.withColumn("last", last)
+    # a word's last group: words end at a cut
+    d = d.withColumn("last", F.filter(F.sequence(F.lit(0), F.size("groups") - 1), lambda i: F.coalesce(F.get("groups", i + 1)["word"] != F.get("groups", i)["word"], F.lit(True))))
     start = lambda k: F.when(k == 0, -1).otherwise(F.get("last", k - 1))
-    words = F.transform("last", lambda x, k: F.struct(
-        F.array_join(F.transform(F.slice("groups", start(k) + 2, x - start(k)), lambda g: g["text"]), ";").alias("text"),
-        (F.get("groups", x)["a_pos"] - F.coalesce(F.get("groups", start(k))["a_pos"], F.lit(-1))).alias("n_a"),
-        (F.get("groups", x)["b_pos"] - F.coalesce(F.get("groups", start(k))["b_pos"], F.lit(-1))).alias("n_b"),
-        (x - start(k)).alias("n_groups"),
-    ))
-    links = F.transform("groups", lambda g: F.struct(g["word"].alias("word"), F.get("a", g["a_pos"]).alias("a"), F.get("b", g["b_pos"]).alias("b"), F.get("times", g["word"]).alias("n")))
-    return d.select(*_OF_CHUNK, words.alias("words"), links.alias("links"))
+    size = lambda side: F.transform("last", lambda x, k: F.get("groups", x)[side] - F.coalesce(F.get("groups", start(k))[side], F.lit(-1)))
+    return d.select(
+        *_OF_CHUNK, F.transform("last", lambda x, k: F.array_join(F.transform(F.slice("groups", start(k) + 2, x - start(k)), lambda g: g["text"]), ";")).alias("texts"),
+        size("a_pos").alias("n_a"), size("b_pos").alias("n_b"), F.transform("last", lambda x, k: x - start(k)).alias("n_groups"),
+        F.transform("groups", lambda g: F.struct(g["word"].alias("word"), F.get("a", g["a_pos"]).alias("a"), F.get("b", g["b_pos"]).alias("b"), F.get("times", g["word"]).alias("n"))).alias("links"),
+    )
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -233,22 +277,26 @@ def _scores(aligned: DataFrame, pairs: DataFrame, heavy: int) -> DataFrame:
     return scored.groupBy(*_OF_CHUNK).agg(F.array_sort(F.collect_list(F.struct("word", "n_best", "count_sum"))).alias("scores"))
 
 
+def _field(rows: str, name: str) -> Column:
+    return F.transform(rows, lambda x: x[name])
+
+
+_PER_WORD = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    rows = stored(encoded(docs, a_path, b_path, block_bytes))
+    rows = stored(encoded(docs, a_path, b_path, block_bytes), "zstd")
     with set_to(docs.sparkSession, ALL_KEYS, "false"):
         # lists stay whole, so that all uses of the chunks share one exchange; every step over chunks keeps its partitioning
-        aligned = stored(_aligned(rows.where("chunk >= 0").select(*_OF_CHUNK, "lists").repartition(*_OF_CHUNK)))
+        aligned = stored(_aligned(rows.where("chunk >= 0").select(*_OF_CHUNK, "lists").repartition(*_OF_CHUNK)), "zstd")
     pairs = stored(pair_counts(aligned))
-    both = aligned.select(*_OF_CHUNK, "words").join(_scores(aligned, pairs, heavy), _OF_CHUNK)
-    chunks = both.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("chunk", F.arrays_zip("words", "scores").alias("w")))).alias("c"))
-    dictionary = chunks.select(F.col("block").alias("_block"), F.flatten(F.transform("c", lambda c: c["w"])).alias("dictionary"))
+    both = aligned.drop("links").join(_scores(aligned, pairs, heavy), _OF_CHUNK)
+    both = both.select("*", *[_field("scores", c).alias(c) for c in ("n_best", "count_sum")])
+    chunks = both.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("chunk", "texts", *_PER_WORD))).alias("c"))
+    dictionary = chunks.select(F.col("block").alias("_block"), *[F.flatten(_field("c", c)).alias(c) for c in ("texts", *_PER_WORD)])
     blocks = rows.where("chunk < 0").select("block", "doc_ids", "words").join(dictionary, F.col("block") == F.col("_block"), "left")
-    picked = blocks.select(F.transform("doc_ids", lambda d, i: F.struct(d.alias("doc_id"), F.transform(F.get("words", i), lambda w: F.get("dictionary", w)).alias("w"))).alias("docs"), F.lit(0).alias("_"))
-    total = lambda d, of, name: F.aggregate(d["w"], F.lit(0).cast("long"), lambda x, w: x + w[of][name])
-    done = F.transform("docs", lambda d: F.struct(
-        d["doc_id"].alias("doc_id"), total(d, "words", "n_a").alias("n_a"), total(d, "words", "n_b").alias("n_b"), total(d, "words", "n_groups").alias("n_groups"),
-        total(d, "scores", "n_best").alias("n_best"), total(d, "scores", "count_sum").alias("count_sum"),
-        F.when(F.size(d["w"]) == 0, "").otherwise(F.sha2(F.array_join(F.transform(d["w"], lambda w: w["words"]["text"]), ";"), 256)).alias("groups_sha256"),
-    ))
-    return picked.select(F.inline(done)).select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+    total = lambda words, c: F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x + F.get(c, w))
+    digest = lambda words: F.when(F.size(words) == 0, "").otherwise(F.sha2(F.array_join(F.transform(words, lambda w: F.get("texts", w)), ";"), 256))
+    done = F.transform("words", lambda words, i: F.struct(F.get("doc_ids", i).alias("doc_id"), *[total(words, c).alias(c) for c in _PER_WORD], digest(words).alias("groups_sha256")))
+    return blocks.select(F.inline(done)).select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
