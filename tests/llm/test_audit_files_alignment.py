@@ -230,11 +230,14 @@ def test_alignment_query(spark, sf):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in QUERIES["op13_token_alignment"](spark, sf).collect()), key=repr) == plain_alignment(docs)
 
 
-def test_alignment_deals_chunks_once(spark, sf):
-    from tonegauge.llm._common import set_to
+def test_alignment_never_deals_a_block_out(spark, sf):
+    from tonegauge.llm._common import bucketed, set_to
 
-    rows = alignment.stored(alignment.encoded(spark.read.parquet(f"{sf}/documents.parquet"), A, B)).where("chunk >= 0").select("block", "chunk", "lists").repartition("block", "chunk")
     with set_to(spark, alignment.ALL_KEYS, "false"), set_to(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
-        plan = alignment._aligned(rows)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 3 and "SortMergeJoin" in plan
+        rows = bucketed(alignment.encoded(spark.read.parquet(f"{sf}/documents.parquet"), A, B), "block").where("chunk >= 0").select("block", "chunk", "lists")
+        aligned = alignment._aligned(rows)
+        plan = aligned._jdf.queryExecution().executedPlan().toString()
+        known = alignment._scores(bucketed(aligned, "block"), alignment.pair_counts(aligned), 1 << 40)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert all("block" not in line for line in known.split("\n") if "Exchange hashpartitioning" in line)
     assert spark.conf.get(alignment.ALL_KEYS) == "true"

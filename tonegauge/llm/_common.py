@@ -73,6 +73,19 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, codec: str = "zstd") -> DataFrame:
+    """A table in the shared folder, in as many buckets by a column as shuffles have partitions: what needs the rows of
+    a bucket together finds them so."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).option("compression", codec).saveAsTable(name)
+    swept(spark, path)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay
+    return found
+
+
 @contextlib.contextmanager
 def set_to(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A setting of the session while a table is written."""

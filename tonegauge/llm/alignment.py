@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_text, no_cycles, pieces, set_to, stored, tidy
+from ._common import bucketed, id_text, no_cycles, pieces, set_to, stored, tidy
 
 #: Bytes of texts in a block; words in a chunk of its dictionary; occurrences of words in a row of documents; words that the libraries get at a time.
-BLOCK, CHUNK, OCCURRENCES, AT_ONCE = 16_000_000, 4096, 1_000_000, 20_000
+BLOCK, CHUNK, OCCURRENCES, AT_ONCE = 8_000_000, 4096, 1_000_000, 20_000
 #: Pairs that hold at least this part of all links are broadcast.
 HEAVY = 100_000
 #: A token in one number: id * SIZES + bytes.
@@ -126,12 +126,16 @@ class _Block:
 
     def _tokens(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
         """Tokens of some words, end to end, with how many each has, of both sides; and which words they give back."""
-        a, b = self.two.encode(words)
-        good = []
-        for w, x, y in zip(words, a, b, strict=True):
-            raw = f" {w}".encode()
-            good.append(self.two.joined(x, y) == (raw, raw))
-        return [_flat(a), _counts(a)], [_flat(b), _counts(b)], good
+        two = self.two
+        a, b = two.encode(words)
+        sides = [_flat(a), _counts(a)], [_flat(b), _counts(b)]
+        raw = [f" {w}".encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = b"".join(raw)
+        # mostly all do: their bytes end to end, and the length of each, say so
+        if two.joined(*(ids.tolist() for ids, _ in sides)) == (whole, whole) and all((_sums(of[ids], n) == sizes).all() for (ids, n), of in zip(sides, (two.a_sizes, two.b_sizes), strict=True)):
+            return *sides, [True] * len(words)
+        return *sides, [two.joined(x, y) == (w, w) for w, x, y in zip(raw, a, b, strict=True)]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         words = list(self.numbers)
@@ -182,6 +186,12 @@ class _Block:
 _NONE = np.zeros(0, np.int32)
 
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of so many values."""
+    ends = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+    return np.diff(ends)
+
+
 def _flat(lists: list) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int32, sum(map(len, lists)))
 
@@ -231,12 +241,12 @@ def cuts(chunks: DataFrame) -> DataFrame:
 
 def _texts(tokens: str, last: Column, before: Column) -> Column:
     """Ids of tokens (before, last], between commas."""
-    return F.array_join(F.slice(tokens, before + 2, last - before).cast("array<string>"), ",")
+    return F.array_join(F.transform(F.sequence(before + 1, last), lambda i: F.get(tokens, i).cast("string")), ",")
 
 
 def _aligned(chunks: DataFrame) -> DataFrame:
     """block, chunk; texts, n_a, n_b, n_groups of its words, in order; links (word, a, b, n)."""
-    found = cuts(chunks).groupBy(*_OF_CHUNK).agg(F.array_sort(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
+    found = cuts(chunks).groupBy(*_OF_CHUNK).agg(F.sort_array(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
     ids = lambda of: F.transform(F.col("lists")[of], lambda t: F.floor(t / SIZES).cast("int"))
     owner = F.flatten(F.transform(F.col("lists")[1], lambda n, i: F.array_repeat(i, n)))
     d = chunks.select(*_OF_CHUNK, ids(0).alias("a"), owner.alias("word"), ids(2).alias("b"), F.col("lists")[3].alias("times")).join(found, _OF_CHUNK)
@@ -250,7 +260,7 @@ def _aligned(chunks: DataFrame) -> DataFrame:
     start = lambda k: F.when(k == 0, -1).otherwise(F.get("last", k - 1))
     size = lambda side: F.transform("last", lambda x, k: F.get("groups", x)[side] - F.coalesce(F.get("groups", start(k))[side], F.lit(-1)))
     return d.select(
-        *_OF_CHUNK, F.transform("last", lambda x, k: F.array_join(F.transform(F.slice("groups", start(k) + 2, x - start(k)), lambda g: g["text"]), ";")).alias("texts"),
+        *_OF_CHUNK, F.transform("last", lambda x, k: F.array_join(F.transform(F.sequence(start(k) + 1, x), lambda i: F.get("groups", i)["text"]), ";")).alias("texts"),
         size("a_pos").alias("n_a"), size("b_pos").alias("n_b"), F.transform("last", lambda x, k: x - start(k)).alias("n_groups"),
         F.transform("groups", lambda g: F.struct(g["word"].alias("word"), F.get("a", g["a_pos"]).alias("a"), F.get("b", g["b_pos"]).alias("b"), F.get("times", g["word"]).alias("n"))).alias("links"),
     )
@@ -261,42 +271,48 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return aligned.select(F.inline("links")).groupBy("a", "b").agg(F.sum(F.col("n").cast("long")).alias("n"))
 
 
+def _per_block(scored: DataFrame) -> DataFrame:
+    """block, scores: (chunk, word, n_best, count_sum) of its words, in order."""
+    sums = scored.groupBy(*_OF_CHUNK, "word").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return sums.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("chunk", "word", "n_best", "count_sum"))).alias("scores"))
+
+
 def _scores(aligned: DataFrame, pairs: DataFrame, heavy: int) -> DataFrame:
-    """block, chunk, scores: (word, n_best, count_sum) of each word of a chunk, in order."""
     most = pairs.groupBy("b").agg(F.max("n").alias("most"))
-    rated = pairs.join(F.broadcast(most), "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))  # most: as many rows as B has tokens
+    rated = pairs.join(F.broadcast(most), "b").select("a", "b", F.col("n").alias("count_sum"), (F.col("n") == F.col("most")).cast("int").alias("n_best"))  # most: as many rows as B has tokens
     total, many = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bound = -(-total // heavy) if many > heavy else 0
     links = aligned.select(*_OF_CHUNK, F.inline("links")).drop("n")
-    joined = links.join(F.broadcast(rated.where(F.col("n") >= bound)), ["a", "b"], "left")
-    sums = [F.sum("best").cast("int").alias("n_best"), F.sum("n").alias("count_sum")]
-    scored = joined.where("n IS NOT NULL").groupBy(*_OF_CHUNK, "word").agg(*sums)
-    if bound:
-        light = joined.where("n IS NULL").drop("n", "best").join(rated.where(F.col("n") < bound).hint("merge"), ["a", "b"])
-        scored = scored.unionByName(light.groupBy(*_OF_CHUNK, "word").agg(*sums)).groupBy(*_OF_CHUNK, "word").agg(F.sum("n_best").cast("int").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return scored.groupBy(*_OF_CHUNK).agg(F.array_sort(F.collect_list(F.struct("word", "n_best", "count_sum"))).alias("scores"))
+    joined = links.join(F.broadcast(rated.where(F.col("count_sum") >= bound)), ["a", "b"], "left")
+    known = _per_block(joined.where("count_sum IS NOT NULL"))
+    if not bound:
+        return known
+    light = joined.where("count_sum IS NULL").drop("n_best", "count_sum").join(rated.where(F.col("count_sum") < bound).hint("merge"), ["a", "b"])
+    both = known.join(_per_block(light).withColumnRenamed("scores", "more"), "block", "full")
+    none = F.array().cast("array<struct<chunk:int,word:int,n_best:long,count_sum:long>>")
+    return _per_block(both.select("block", F.inline(F.concat(F.coalesce("scores", none), F.coalesce("more", none)))))
 
 
 def _field(rows: str, name: str) -> Column:
     return F.transform(rows, lambda x: x[name])
 
 
-_PER_WORD = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+_COUNTED = ["n_a", "n_b", "n_groups"]
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    rows = stored(encoded(docs, a_path, b_path, block_bytes), "zstd")
     with set_to(docs.sparkSession, ALL_KEYS, "false"):
-        # lists stay whole, so that all uses of the chunks share one exchange; every step over chunks keeps its partitioning
-        aligned = stored(_aligned(rows.where("chunk >= 0").select(*_OF_CHUNK, "lists").repartition(*_OF_CHUNK)), "zstd")
-    pairs = stored(pair_counts(aligned))
-    both = aligned.drop("links").join(_scores(aligned, pairs, heavy), _OF_CHUNK)
-    both = both.select("*", *[_field("scores", c).alias(c) for c in ("n_best", "count_sum")])
-    chunks = both.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("chunk", "texts", *_PER_WORD))).alias("c"))
-    dictionary = chunks.select(F.col("block").alias("_block"), *[F.flatten(_field("c", c)).alias(c) for c in ("texts", *_PER_WORD)])
-    blocks = rows.where("chunk < 0").select("block", "doc_ids", "words").join(dictionary, F.col("block") == F.col("_block"), "left")
-    total = lambda words, c: F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x + F.get(c, w))
-    digest = lambda words: F.when(F.size(words) == 0, "").otherwise(F.sha2(F.array_join(F.transform(words, lambda w: F.get("texts", w)), ";"), 256))
-    done = F.transform("words", lambda words, i: F.struct(F.get("doc_ids", i).alias("doc_id"), *[total(words, c).alias(c) for c in _PER_WORD], digest(words).alias("groups_sha256")))
-    return blocks.select(F.inline(done)).select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+        # a block is written once and never dealt out again: all steps over its chunks, words and documents run where its bucket is read
+        rows = bucketed(encoded(docs, a_path, b_path, block_bytes), "block")
+        aligned = bucketed(_aligned(rows.where("chunk >= 0").select(*_OF_CHUNK, "lists")), "block")
+        pairs = stored(pair_counts(aligned))
+        chunks = aligned.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("chunk", "texts", *_COUNTED))).alias("c"))
+        dictionary = chunks.join(_scores(aligned, pairs, heavy), "block").select(
+            "block", *[F.flatten(_field("c", c)).alias(c) for c in ("texts", *_COUNTED)], *[_field("scores", c).alias(c) for c in ("n_best", "count_sum")]
+        )
+        total = lambda words, c: F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x + F.get(c, w))
+        digest = lambda words: F.when(F.size(words) == 0, "").otherwise(F.sha2(F.array_join(F.transform(words, lambda w: F.get("texts", w)), ";"), 256))
+        done = F.transform("words", lambda words, i: F.struct(F.get("doc_ids", i).alias("doc_id"), *[total(words, c).alias(c) for c in (*_COUNTED, "n_best", "count_sum")], digest(words).alias("groups_sha256")))
+        blocks = rows.where("chunk < 0").select("block", "doc_ids", "words").join(dictionary, "block", "left")
+        return stored(blocks.select(F.inline(done)).select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256"))
