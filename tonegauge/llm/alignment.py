@@ -40,13 +40,11 @@ from ._common import bucketed, id_text, no_cycles, pieces, set_to, stored, tidy
 BLOCK, CHUNK, OCCURRENCES, AT_ONCE = 8_000_000, 4096, 1_000_000, 20_000
 #: Pairs that hold at least this part of all links are broadcast.
 HEAVY = 100_000
-#: A token in one number: id * SIZES + bytes.
-SIZES = 1 << 10
 _BORDER = re.compile(r"(?<=\S) ")
-#: chunk from 0: lists are A's tokens, A's tokens of each word, B's tokens, the words' occurrences. Below 0: documents (doc_ids, words).
+#: chunk from 0: lists are A's ids, their bytes and word numbers, B's ids and their bytes, and each word's occurrences. Below 0: documents (doc_ids, tokens of each side, words).
 _LISTS = pa.list_(pa.list_(pa.int32()))
-_ENCODED = pa.schema([("block", pa.int64()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("words", _LISTS), ("lists", _LISTS)])
-ENCODED = "block long, chunk int, doc_ids array<long>, words array<array<int>>, lists array<array<int>>"
+_ENCODED = pa.schema([("block", pa.int64()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())), ("words", _LISTS), ("lists", _LISTS)])
+ENCODED = "block long, chunk int, doc_ids array<long>, n_a array<long>, n_b array<long>, words array<array<int>>, lists array<array<int>>"
 
 
 class TwoTokenizers:
@@ -70,8 +68,6 @@ class TwoTokenizers:
         self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int32), np.array([len(x) for x in self.b_bytes], np.int32)
         for i, x in self.a_bytes.items():
             self.a_sizes[i] = len(x)
-        if max(self.a_sizes.max(), self.b_sizes.max()) >= SIZES or max(len(self.a_sizes), len(self.b_sizes)) > (1 << 31) // SIZES:
-            raise ValueError("a token doesn't fit into a number")
         self.space = self.b.piece_to_id("▁")
         self.local = not any(re.search("[^▁]▁", p) for p in names)  # else a piece could join two words
 
@@ -167,20 +163,24 @@ class _Block:
         a, b = a[np.repeat(used, n_a)], b[np.repeat(used, n_b)]
         n_a, n_b, times = n_a[used], n_b[used], times[used]
         a_ends, b_ends = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-        a, b = a * SIZES + self.two.a_sizes[a], b * SIZES + self.two.b_sizes[b]
+        a_of, b_of = self.two.a_sizes, self.two.b_sizes
         for chunk, first in enumerate(range(0, len(times), CHUNK)):
             last = min(first + CHUNK, len(times))
-            yield self._batch(chunk, None, None, [a[a_ends[first] : a_ends[last]], n_a[first:last], b[b_ends[first] : b_ends[last]], times[first:last]])
+            x, y = a[a_ends[first] : a_ends[last]], b[b_ends[first] : b_ends[last]]
+            yield self._batch(chunk, None, None, [x, a_of[x], np.repeat(np.arange(last - first), n_a[first:last]), y, b_of[y], times[first:last]])
         ends = np.cumsum([len(d) for d in self.docs])
         part = first = 0
         while first < len(self.docs):
             last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + OCCURRENCES, side="right")))
             part -= 1
-            yield self._batch(part, self.doc_ids[first:last], [renumbered[d] for d in self.docs[first:last]], None)
+            docs = [renumbered[d] for d in self.docs[first:last]]
+            counts = [[int(n[d].sum()) for d in docs] for n in (n_a, n_b)]
+            yield self._batch(part, [self.doc_ids[first:last], *counts], docs, None)
             first = last
 
-    def _batch(self, chunk: int, doc_ids: list | None, words: list | None, lists: list | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([chunk], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), _nested([words]), _nested([lists])], schema=_ENCODED)
+    def _batch(self, chunk: int, about: list | None, words: list | None, lists: list | None) -> pa.RecordBatch:
+        about = [pa.array([x], pa.list_(pa.int64())) for x in about or [None] * 3]
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([chunk], pa.int32()), *about, _nested([words]), _nested([lists])], schema=_ENCODED)
 
 
 _NONE = np.zeros(0, np.int32)
@@ -225,31 +225,30 @@ _OF_CHUNK = ["block", "chunk"]
 ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
-def _ends(chunks: DataFrame, side: str, of: int) -> DataFrame:
+def _ends(chunks: DataFrame, side: str, sizes: int) -> DataFrame:
     """A side's tokens: position, and where they end in the chunk."""
-    tokens = chunks.select(*_OF_CHUNK, F.posexplode(F.col("lists")[of]).alias(f"{side}_pos", "t"))
+    tokens = chunks.select(*_OF_CHUNK, F.posexplode(F.col("lists")[sizes]).alias(f"{side}_pos", "size"))
     before = Window.partitionBy(*_OF_CHUNK).orderBy(f"{side}_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.select(*_OF_CHUNK, f"{side}_pos", F.sum(F.col("t") % SIZES).over(before).alias("end"))
+    return tokens.select(*_OF_CHUNK, f"{side}_pos", F.sum("size").over(before).alias("end"))
 
 
 def cuts(chunks: DataFrame) -> DataFrame:
     """block, chunk, group (from 1), a_pos, b_pos: the tokens that end together."""
-    both = _ends(chunks, "a", 0).join(_ends(chunks, "b", 2), [*_OF_CHUNK, "end"])
+    both = _ends(chunks, "a", 1).join(_ends(chunks, "b", 4), [*_OF_CHUNK, "end"])
     running = Window.partitionBy(*_OF_CHUNK).orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
     return both.select(*_OF_CHUNK, F.count("*").over(running).cast("int").alias("group"), "a_pos", "b_pos")
 
 
 def _texts(tokens: str, last: Column, before: Column) -> Column:
     """Ids of tokens (before, last], between commas."""
-    return F.array_join(F.transform(F.sequence(before + 1, last), lambda i: F.get(tokens, i).cast("string")), ",")
+    one = F.get(tokens, last).cast("string")
+    return F.when(last == before + 1, one).otherwise(F.array_join(F.transform(F.sequence(before + 1, last), lambda i: F.get(tokens, i).cast("string")), ","))
 
 
 def _aligned(chunks: DataFrame) -> DataFrame:
-    """block, chunk; texts, n_a, n_b, n_groups of its words, in order; links (word, a, b, n)."""
+    """block, chunk; texts and n_groups of its words, in order; links (word, a, b, n)."""
     found = cuts(chunks).groupBy(*_OF_CHUNK).agg(F.sort_array(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
-    ids = lambda of: F.transform(F.col("lists")[of], lambda t: F.floor(t / SIZES).cast("int"))
-    owner = F.flatten(F.transform(F.col("lists")[1], lambda n, i: F.array_repeat(i, n)))
-    d = chunks.select(*_OF_CHUNK, ids(0).alias("a"), owner.alias("word"), ids(2).alias("b"), F.col("lists")[3].alias("times")).join(found, _OF_CHUNK)
+    d = chunks.select(*_OF_CHUNK, *[F.col("lists")[i].alias(name) for i, name in ((0, "a"), (2, "word"), (3, "b"), (5, "times"))]).join(found, _OF_CHUNK)
     before = lambda i, side: F.when(i == 0, -1).otherwise(F.get("cuts", i - 1)[side])
     groups = F.transform("cuts", lambda c, i: F.struct(
         F.get("word", c["a_pos"]).alias("word"), c["a_pos"].alias("a_pos"), c["b_pos"].alias("b_pos"), F.concat(_texts("a", c["a_pos"], before(i, "a_pos")), F.lit("|"), _texts("b", c["b_pos"], before(i, "b_pos"))).alias("text"),
@@ -258,10 +257,10 @@ def _aligned(chunks: DataFrame) -> DataFrame:
     # a word's last group: words end at a cut
     d = d.withColumn("last", F.filter(F.sequence(F.lit(0), F.size("groups") - 1), lambda i: F.coalesce(F.get("groups", i + 1)["word"] != F.get("groups", i)["word"], F.lit(True))))
     start = lambda k: F.when(k == 0, -1).otherwise(F.get("last", k - 1))
-    size = lambda side: F.transform("last", lambda x, k: F.get("groups", x)[side] - F.coalesce(F.get("groups", start(k))[side], F.lit(-1)))
+    text = lambda i: F.get("groups", i)["text"]
     return d.select(
-        *_OF_CHUNK, F.transform("last", lambda x, k: F.array_join(F.transform(F.sequence(start(k) + 1, x), lambda i: F.get("groups", i)["text"]), ";")).alias("texts"),
-        size("a_pos").alias("n_a"), size("b_pos").alias("n_b"), F.transform("last", lambda x, k: x - start(k)).alias("n_groups"),
+        *_OF_CHUNK, F.transform("last", lambda x, k: F.when(x == start(k) + 1, text(x)).otherwise(F.array_join(F.transform(F.sequence(start(k) + 1, x), text), ";"))).alias("texts"),
+        F.transform("last", lambda x, k: x - start(k)).alias("n_groups"),
         F.transform("groups", lambda g: F.struct(g["word"].alias("word"), F.get("a", g["a_pos"]).alias("a"), F.get("b", g["b_pos"]).alias("b"), F.get("times", g["word"]).alias("n"))).alias("links"),
     )
 
@@ -297,9 +296,6 @@ def _field(rows: str, name: str) -> Column:
     return F.transform(rows, lambda x: x[name])
 
 
-_COUNTED = ["n_a", "n_b", "n_groups"]
-
-
 def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     with set_to(docs.sparkSession, ALL_KEYS, "false"):
@@ -307,12 +303,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK, h
         rows = bucketed(encoded(docs, a_path, b_path, block_bytes), "block")
         aligned = bucketed(_aligned(rows.where("chunk >= 0").select(*_OF_CHUNK, "lists")), "block")
         pairs = stored(pair_counts(aligned))
-        chunks = aligned.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("chunk", "texts", *_COUNTED))).alias("c"))
+        chunks = aligned.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("chunk", "texts", "n_groups"))).alias("c"))
         dictionary = chunks.join(_scores(aligned, pairs, heavy), "block").select(
-            "block", *[F.flatten(_field("c", c)).alias(c) for c in ("texts", *_COUNTED)], *[_field("scores", c).alias(c) for c in ("n_best", "count_sum")]
+            "block", *[F.flatten(_field("c", c)).alias(c) for c in ("texts", "n_groups")], *[_field("scores", c).alias(c) for c in ("n_best", "count_sum")]
         )
         total = lambda words, c: F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x + F.get(c, w))
         digest = lambda words: F.when(F.size(words) == 0, "").otherwise(F.sha2(F.array_join(F.transform(words, lambda w: F.get("texts", w)), ";"), 256))
-        done = F.transform("words", lambda words, i: F.struct(F.get("doc_ids", i).alias("doc_id"), *[total(words, c).alias(c) for c in (*_COUNTED, "n_best", "count_sum")], digest(words).alias("groups_sha256")))
-        blocks = rows.where("chunk < 0").select("block", "doc_ids", "words").join(dictionary, "block", "left")
+        done = F.transform("words", lambda words, i: F.struct(F.get("doc_ids", i).alias("doc_id"), *[F.get(c, i).alias(c) for c in ("n_a", "n_b")], *[total(words, c).alias(c) for c in ("n_groups", "n_best", "count_sum")], digest(words).alias("groups_sha256")))
+        blocks = rows.where("chunk < 0").select("block", "doc_ids", "n_a", "n_b", "words").join(dictionary, "block", "left")
         return stored(blocks.select(F.inline(done)).select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256"))
