@@ -172,3 +172,77 @@ def test_guard_raises(spark):
     d = spark.createDataFrame([("The sender meant to press you.",)], "t string")
     with pytest.raises(Exception, match="(?i)intent"):
         d.select(guard.assert_no_intent_claims(F.col("t"))).collect()
+
+
+def plain_mentions(rows):
+    """By comparing every message with all before it."""
+    out = {}
+    for t, o, sender, to, sig, _, ms in rows:
+        if t is None or sender is None or not sig:
+            continue
+        prior = sorted((r for r in rows if r[0] == t and r[1] < o), key=lambda r: r[1])
+        chain = []
+        for p in prior:
+            if p[2] == sender:
+                if p[4] and len(set(p[4]) & set(sig)) / len(set(p[4]) | set(sig)) >= 0.3:
+                    chain.append(p)
+            elif p[2] in (to or []) and p[5]:
+                chain = []
+        if chain:
+            replies = [p[6] for p in prior if p[2] in (to or []) and p[6] is not None and ms is not None and p[6] < ms]
+            last = chain[-1][6]
+            answered = last is not None and any(x > last for x in replies)
+            quick = len(chain) > 1 and None not in (ms, last, chain[-2][6]) and ms - last < last - chain[-2][6]
+            out[t, o] = (len(chain), last, chain[-2][6] if len(chain) > 1 else None, not answered, quick)
+    return out
+
+
+_RECORD = "thread_id string, ord long, sender_id string, recipient_ids array<string>, signature array<string>, completion boolean, ms long"
+
+
+def found_mentions(spark, rows):
+    from pyspark.sql import functions as F
+
+    from tonegauge.plans import mentions as M
+
+    d = spark.createDataFrame(rows, _RECORD).repartition(3)
+    times = d.select("thread_id", "ord", "ms")
+    got = M.mentions(d).join(times, ["thread_id", "ord"]).withColumn("u", M.unanswered(F.col("earlier"), F.col("last_ms"), F.col("reply_ms"))).withColumn("a", M.accelerating(F.col("earlier"), F.col("ms"), F.col("last_ms"), F.col("before_ms")))
+    return {(r.thread_id, r.ord): (r.earlier, r.last_ms, r.before_ms, r.u, r.a) for r in got.collect()}
+
+
+def test_mentions_of_random_threads(spark):
+    import random
+
+    rng = random.Random(4)
+    words = "send report plan budget review draft venue notes ticket login".split()
+    rows = []
+    for t in ("x", "y", "z", None):
+        for o in range(0, 240, 2):
+            ms = None if rng.random() < 0.03 else o * 1000 + (0 if t == "x" else rng.randrange(-9000, 9000))  # x is in order of time
+            to = None if rng.random() < 0.05 else rng.sample("ABCD", rng.randrange(0, 4))
+            sig = [rng.choice(words) for _ in range(rng.choice([0, 0, 1, 2, 3, 5, 7]))]
+            rows.append((t, o, None if rng.random() < 0.03 else rng.choice("ABC"), to, sig, rng.random() < 0.1, ms))
+    want = plain_mentions(rows)
+    assert found_mentions(spark, rows) == want and len(want) > 80
+    assert found_mentions(spark, []) == {}
+
+
+def test_mentions_of_equal_times_and_a_long_thread(spark):
+    rows = [("t", o, "AB"[o % 2], ["BA"[o % 2]], ["send", "report"], o == 301, 5) for o in range(600)]
+    assert found_mentions(spark, rows) == plain_mentions(rows)
+    # 100,000 messages: a step of memory for each, no list of those before
+    n = 100_000
+    texts = [["send", "report"], ["send", "report", "now"], ["book", "venue"], []]
+    long = [("t", o, "A" if o % 5 else "B", ["B" if o % 5 else "A"], texts[o % 4], o == n // 2, o * 1000) for o in range(n)]
+    got = found_mentions(spark, long)
+    mine = [o for o in range(n) if o % 5 and o % 4 in (0, 1)]
+    assert got["t", mine[-1]][0] == sum(n // 2 < o < mine[-1] for o in mine) and got["t", mine[9]][0] == 9
+
+
+def test_no_message_carries_its_history(spark):
+    from tonegauge.plans import mentions as M
+
+    plan = M.with_mentions(spark.createDataFrame([], "thread_id string, ord long, text string, sender_id string, recipient_ids array<string>, signature array<string>, completion boolean, ms long"))._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert windows and "collect_list" not in plan and not any("signature" in w.split("Window [")[1].split(" windowspecdefinition")[0] for w in windows)

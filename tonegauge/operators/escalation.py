@@ -1,4 +1,4 @@
-"""Repetition across a thread: follow-up wording, verified restatements, shrinking intervals, silence."""
+"""What repetition across a thread adds: follow-up wording, verified restatements, shrinking intervals, silence."""
 
 from __future__ import annotations
 
@@ -26,38 +26,12 @@ def follow_up(units: str) -> Column:
     return F.array_min(F.transform(found, lambda m: F.struct((-m["value"]).alias("neg"), m["idx"].alias("idx"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"))))
 
 
-def mention_chain(prior: Column, sender: Column, recipients: Column, signature: Column) -> Column:
-    """Earlier messages of the sender that make the same request, since a recipient last said it was done.
-
-    prior: array<struct<ord, sender, signature, completion, ms>> in order of the thread.
-    """
-    resets = F.filter(prior, lambda p: (p["sender"] != sender) & F.array_contains(recipients, p["sender"]) & p["completion"])
-    return T.let(
-        F.coalesce(F.array_max(F.transform(resets, lambda p: p["ord"])), F.lit(-1).cast("long")),
-        lambda last: F.filter(prior, lambda p: (p["ord"] > last) & (p["sender"] == sender) & (T.jaccard(p["signature"], signature) >= rules.SAME_REQUEST)),
-    )
-
-
-def unanswered(prior: Column, chain: Column, recipients: Column, ms: Column) -> Column:
-    """No recipient's message lies between the last mention and this message."""
-    last = F.get(chain, F.size(chain) - 1)["ms"]
-    return (F.size(chain) >= 1) & ~F.exists(prior, lambda p: F.array_contains(recipients, p["sender"]) & (p["ms"] > last) & (p["ms"] < ms))
-
-
-def accelerating(chain: Column, ms: Column) -> Column:
-    """The interval to this message is shorter than the one before."""
-    n = F.size(chain)
-    last, before = F.get(chain, n - 1)["ms"], F.get(chain, n - 2)["ms"]
-    return (n >= 2) & ((ms - last) < (last - before))
-
-
-def restated(chain: Column) -> Column:
-    n = F.size(chain) + 1
+def restated(earlier: Column) -> Column:
     second, third, more = rules.RESTATED
-    return F.when(n >= 4, more).when(n == 3, third).when(n == 2, second).otherwise(0.0)
+    return F.when(earlier >= 3, more).when(earlier == 2, third).when(earlier == 1, second).otherwise(0.0)
 
 
-def escalation(message: Column, masked: Column, units: str, spot: Column, clause_start: Column, clause_end: Column, chain: Column, prior: Column, recipients: Column, ms: Column) -> Column:
+def escalation(message: Column, masked: Column, units: str, spot: Column, clause_start: Column, clause_end: Column, earlier: Column, accelerating: Column, unanswered: Column) -> Column:
     """Evidence rows of one event; their sum is bounded, and a bound shrinks all of them."""
     part = "array<struct<category:string,subcategory:string,value:double,start:int,end:int,raw:double,capped:boolean>>"
     none = F.array().cast(part)
@@ -81,9 +55,9 @@ def escalation(message: Column, masked: Column, units: str, spot: Column, clause
     )
     parts = F.concat(
         wording,
-        threaded("verified_restatement", restated(chain), restated(chain) > 0),
-        threaded("accelerating_intervals", F.lit(rules.ACCELERATING), F.coalesce(accelerating(chain, ms), F.lit(False))),
-        threaded("unanswered", F.lit(rules.UNANSWERED), F.coalesce(unanswered(prior, chain, recipients, ms), F.lit(False))),
+        threaded("verified_restatement", restated(earlier), earlier > 0),
+        threaded("accelerating_intervals", F.lit(rules.ACCELERATING), accelerating),
+        threaded("unanswered", F.lit(rules.UNANSWERED), unanswered),
     )
     event = evidence_id(message, "force", F.lit("escalation"), F.lit("component"), clause_start, clause_end)
 

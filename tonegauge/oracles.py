@@ -217,7 +217,23 @@ SELECT b.band, s.suppressed, count(*) AS messages FROM s LEFT JOIN b ON b.thread
     "suppression_counts": f"{_BASIC} SELECT CASE WHEN level = 0 THEN 'no_head_act' WHEN recipient IS NULL THEN 'unresolved_addressee' ELSE 'scored' END AS outcome, count(*) AS messages FROM m GROUP BY ALL",
     "widest_gap": f"""{_WITH}
 SELECT thread_id, arg_max(ord, (abs(round(gap, 1)), -ord)) AS ord, round(arg_max(gap, (abs(round(gap, 1)), -ord)), 1) AS gap, count(*) AS scored FROM b GROUP BY thread_id""",
-    "mention_chain": f"{_WITH} SELECT thread_id, ord, CAST(earlier AS INTEGER) AS earlier, unanswered, accelerating FROM e WHERE suppressed IS NULL",
+    "mention_chain": f"{_WITH} SELECT thread_id, ord, earlier, unanswered, accelerating FROM e WHERE suppressed IS NULL",
+    "text_mentions": f"""WITH said AS (SELECT conv_id * 8 + turn AS place, min(coalesce(text, '')) AS text FROM conversations GROUP BY 1),
+m AS (
+  SELECT 'u' || (e.user_id % 7) AS thread_id, e.event_id AS ord, e.event_id % 5 AS who, epoch_us(e.ts) // 1000 AS ms, e.event_id % 97 = 0 AS done,
+    CASE WHEN e.event_id % 2 = 0 THEN list_distinct(list_slice({_signature("coalesce(s.text, '')")}, 1, 6)) ELSE [] END AS sig
+  FROM events e LEFT JOIN said s ON s.place = e.user_id % 211
+), sigs AS (SELECT DISTINCT list_sort(sig) AS sig FROM m WHERE len(sig) > 0),
+alike AS (SELECT a.sig AS one, b.sig AS other FROM sigs a, sigs b WHERE len(list_intersect(a.sig, b.sig)) >= 0.3 * len(list_distinct(list_concat(a.sig, b.sig)))),
+r AS (SELECT thread_id, who, ord, ms, done, list_sort(sig) AS sig FROM m),
+last_done AS (SELECT c.thread_id, c.ord, max(p.ord) AS reset FROM r c JOIN r p ON p.thread_id = c.thread_id AND p.done AND p.ord < c.ord AND p.who IN ((c.who + 1) % 5, (c.who + 2) % 5) WHERE len(c.sig) > 0 GROUP BY ALL),
+pairs AS (
+  SELECT c.thread_id, c.ord, c.who, c.ms, p.ord AS p_ord, p.ms AS p_ms, row_number() OVER (PARTITION BY c.thread_id, c.ord ORDER BY p.ord DESC) AS back
+  FROM r c JOIN alike ON alike.one = c.sig JOIN r p ON p.thread_id = c.thread_id AND p.who = c.who AND p.sig = alike.other AND p.ord < c.ord
+  LEFT JOIN last_done d ON d.thread_id = c.thread_id AND d.ord = c.ord WHERE p.ord > coalesce(d.reset, -1)
+), chains AS (SELECT thread_id, ord, who, ms, count(*) AS earlier, max(p_ms) FILTER (back = 1) AS last_ms, coalesce(max(p_ms) FILTER (back = 2), -1) AS before_ms FROM pairs GROUP BY ALL)
+SELECT thread_id, ord, earlier, last_ms, before_ms,
+  NOT EXISTS (SELECT 1 FROM r p WHERE p.thread_id = c.thread_id AND p.ord < c.ord AND p.who IN ((c.who + 1) % 5, (c.who + 2) % 5) AND p.ms > c.last_ms AND p.ms < c.ms) AS unanswered FROM chains c""",
     "partition_overlap": f"{_WITH} SELECT count(*) AS messages, CAST(0 AS BIGINT) AS overlapping FROM b",
     "local_segments": r"""WITH p AS (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), '(?i)[,;—]|\bbut\b') AS p FROM conversations)
 SELECT conv_id, turn, len(p) AS segments, list_max(list_transform(p, lambda x: length(x))) AS longest FROM p""",

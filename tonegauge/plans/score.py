@@ -1,10 +1,10 @@
 """Scores of every message of every thread.
 
-Everything up to the masked text depends on a message alone and runs where the
-row is read, in expressions without a shuffle. Repetition looks at earlier
-messages of the thread: one shuffle by thread, in which each message carries a
-small record of itself (sender, signature, whether it says something is done,
-time) instead of its text.
+Everything up to the masked text depends on a message alone, in expressions
+without a shuffle. Messages are dealt out before it, since splits of a file go by
+bytes and the work goes by messages. Repetition looks at earlier messages of the
+thread (``mentions``): rows are written to a table, and small records of them (sender,
+signature, whether something is done, time) meet in windows and joins.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..functions import dates, formats, rules
 from ..functions import text as T
 from ..operators import confidence as C
 from ..operators import escalation, force, head_act, surface
+from . import mentions as M
 
 MESSAGES = "thread_id string, ord long, msg_id string, sender_id string, recipient_ids array<string>, ts string, text string"
 
@@ -29,7 +30,8 @@ def _settled(value: Column) -> Column:
 def prepared(messages: DataFrame) -> DataFrame:
     """The columns the plan reads, nulls defined: a null text is empty, null recipients are nobody."""
     text = F.coalesce("text", F.lit(""))
-    return messages.select(
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.repartition(parts, "thread_id", "ord").select(
         "thread_id", F.col("ord").cast("long").alias("ord"), "msg_id", F.coalesce("sender_id", F.lit("")).alias("sender_id"),
         F.coalesce("recipient_ids", F.array().cast("array<string>")).alias("recipient_ids"), "ts", text.alias("text"), T.stable(text).alias("stable"),
     )
@@ -75,27 +77,20 @@ def with_mask(scored: DataFrame) -> DataFrame:
     return d.withColumn("completion", T.has_completion(F.col("masked"))).withColumn("ms", dates.epoch_ms(F.col("ts"))).withColumn("offset", dates.offset_minutes(F.col("ts")))
 
 
-def with_prior(masked: DataFrame) -> DataFrame:
-    """Adds prior: records of the thread's earlier messages, in order."""
-    record = F.struct("ord", F.col("sender_id").alias("sender"), "signature", "completion", "ms")
-    before = Window.partitionBy("thread_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return masked.withColumn("prior", F.collect_list(record).over(before))
-
-
 def with_force(masked: DataFrame, business_day_end: str | None) -> DataFrame:
-    """Adds force, force_evidence and the mention chain to messages that are scored."""
+    """Adds force and force_evidence to messages that are scored."""
     scored = F.col("suppressed").isNull()
     text, message, head = F.col("masked"), F.col("msg_id"), F.col("head")
     local = F.col("ms") + F.col("offset").cast("long") * dates.MINUTE
     d = masked.withColumn("units", F.when(scored, force.clauses(text, T.sentences(text))))
     d = d.withColumn("deadline", F.when(scored, force.temporal_winner(text, "units", local, business_day_end)))
-    d = d.withColumn("chain", F.when(scored, escalation.mention_chain(F.col("prior"), F.col("sender_id"), F.col("recipient_ids"), F.col("signature"))))
+    d = d.withColumn("unanswered", M.unanswered(F.col("earlier"), F.col("last_ms"), F.col("reply_ms"))).withColumn("accelerating", M.accelerating(F.col("earlier"), F.col("ms"), F.col("last_ms"), F.col("before_ms")))
     d = d.withColumn("spot", F.when(scored, escalation.anchor(text, head["start"], head["end"])))
     parts = [
         force.temporal(message, text, F.col("deadline"), local, F.col("offset"), business_day_end),
         force.consequence(message, text, "units", head["start"], head["end"]),
         force.dependency(message, text, "units"),
-        escalation.escalation(message, text, "units", F.col("spot"), head["start"], head["end"], F.col("chain"), F.col("prior"), F.col("recipient_ids"), F.col("ms")),
+        escalation.escalation(message, text, "units", F.col("spot"), head["start"], head["end"], F.col("earlier"), F.col("accelerating"), F.col("unanswered")),
     ]
     d = d.withColumn("_parts", F.when(scored, F.concat(*parts))).withColumn("_force", F.when(scored, force.force_score(F.col("_parts"))))
     rows = F.coalesce(F.col("_force")["evidence"], F.array().cast(surface.EVIDENCE))
@@ -104,7 +99,7 @@ def with_force(masked: DataFrame, business_day_end: str | None) -> DataFrame:
 
 def stages(messages: DataFrame, business_day_end: str | None = None) -> DataFrame:
     """All intermediate columns."""
-    return with_force(with_prior(with_mask(with_surface(with_head_act(prepared(messages))))), business_day_end)
+    return with_force(M.with_mentions(with_mask(with_surface(with_head_act(prepared(messages))))), business_day_end)
 
 
 def result(d: DataFrame) -> DataFrame:

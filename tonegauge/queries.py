@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dates, formats, rules
 from .functions import text as T
 from .operators import guard
-from .plans import report, score
+from .plans import mentions, report, score
 from .sources import adapters, corpus, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,12 +81,27 @@ def widest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mention_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each request was made before, and whether it went unanswered or came faster."""
-    from .operators import escalation
-
-    d = score.stages(_messages(spark, sf_dir), corpus.DAY_END).where("suppressed IS NULL")
-    return d.select(
-        "thread_id", "ord", F.size("chain").alias("earlier"), escalation.unanswered(F.col("prior"), F.col("chain"), F.col("recipient_ids"), F.col("ms")).alias("unanswered"),
-        F.coalesce(escalation.accelerating(F.col("chain"), F.col("ms")), F.lit(False)).alias("accelerating"),
+    d = mentions.with_mentions(score.with_mask(score.with_surface(score.with_head_act(score.prepared(_messages(spark, sf_dir)))))).where("suppressed IS NULL")
+    return d.select("thread_id", "ord", "earlier", mentions.unanswered(F.col("earlier"), F.col("last_ms"), F.col("reply_ms")).alias("unanswered"), mentions.accelerating(F.col("earlier"), F.col("ms"), F.col("last_ms"), F.col("before_ms")).alias("accelerating"))
+
+
+def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of conversations that say the same again: as one sender's messages of seven long threads, timed by events.
+
+    A text's words are its signature; each event is a message with the text of a conversation's turn, from one of five
+    people to two others.
+    """
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    said = turns.groupBy((F.col("conv_id") * 8 + F.col("turn")).alias("place")).agg(F.min("text").alias("text"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    person = lambda k: F.concat(F.lit("p"), ((F.col("event_id") + k) % 5).cast("string"))
+    asked = events.join(said, F.col("place") == F.col("user_id") % 211, "left").select(
+        F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("thread_id"), F.col("event_id").alias("ord"), person(0).alias("sender_id"), F.array(person(1), person(2)).alias("recipient_ids"),
+        F.when(F.col("event_id") % 2 == 0, F.slice(T.signature(F.coalesce("text", F.lit(""))), 1, 6)).otherwise(F.array().cast("array<string>")).alias("signature"), (F.col("event_id") % 97 == 0).alias("completion"), "ms",
+    )
+    found = mentions.mentions(asked)
+    return found.select(
+        "thread_id", "ord", "earlier", "last_ms", F.coalesce("before_ms", F.lit(-1)).alias("before_ms"), mentions.unanswered(F.col("earlier"), F.col("last_ms"), F.col("reply_ms")).alias("unanswered"),
     )
 
 
@@ -330,7 +345,7 @@ def editor_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, masked_text, surface_evidence, evidence_overlay, partition_overlap,
+    thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, text_mentions, masked_text, surface_evidence, evidence_overlay, partition_overlap,
     release_metrics, pair_checks, gap_direction, level_order, event_dedupe, determinism, release_report, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, rule_hits_around, caps_hits, reduplication_hits,
     intent_guard, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
 )
