@@ -130,16 +130,19 @@ SELECT event_id, phrase, coalesce(CAST(CASE phrase {cases} END AS BIGINT), -1) A
 
 def _pairs() -> str:
     """pair: what the sides are worth by hand; gap and checks worked out here."""
-    rows = ",\n".join(f"('{pairs.pair_id(n, k)}', '{family}', {a.surface}::DOUBLE, {b.surface}::DOUBLE, ({a.force})::DOUBLE, ({b.force})::DOUBLE)" for n, (family, a, b) in enumerate(pairs.PAIRS) for k in range(len(pairs.OBJECTS)))
+    rows = ",\n".join(f"({n * len(pairs.OBJECTS) + k}, '{family}', {a.surface}::DOUBLE, {b.surface}::DOUBLE, ({a.force})::DOUBLE, ({b.force})::DOUBLE)" for n, (family, a, b) in enumerate(pairs.PAIRS) for k in range(len(pairs.OBJECTS)))
     gap = lambda end: f"floor((floor(force_{end} * 10 + 0.5) / 10 - floor(surface_{end} * 10 + 0.5) / 10) * 10 + 0.5) / 10"
-    return f"""pair(pair_id, family, surface_a, surface_b, force_a, force_b) AS (VALUES {rows}),
+    return f"""keys AS (SELECT DISTINCT conv_id AS key FROM conversations),
+bank_of_pairs(number, family, surface_a, surface_b, force_a, force_b) AS (VALUES {rows}),
+pair AS (SELECT key AS pair_id, p.* EXCLUDE number FROM keys JOIN bank_of_pairs p ON number = key % {pairs.N_PAIRS}),
 worth AS (SELECT *, {gap("a")} AS gap_a, {gap("b")} AS gap_b, family IN ('modality', 'strategy', 'modification') AS wording FROM pair),
 checked AS (
   SELECT *, CASE WHEN wording THEN force_a = force_b ELSE surface_a = surface_b END AS stays, CASE WHEN wording THEN surface_a - surface_b ELSE force_b - force_a END >= 1 - 1e-9 AS moves, gap_a < gap_b AS direction FROM worth
 )"""
 
 
-_LEVEL_WORTH = "level_worth(level, surface) AS (VALUES (1, 10.0::DOUBLE), (2, 9.0), (3, 8.0), (4, 7.0), (5, 6.0), (6, 4.5), (7, 3.1))"
+_KEYS = "keys AS (SELECT DISTINCT conv_id AS key FROM conversations)"
+_LEVEL_WORTH = "level_bank(level, surface) AS (VALUES (1, 10.0::DOUBLE), (2, 9.0), (3, 8.0), (4, 7.0), (5, 6.0), (6, 4.5), (7, 3.1)), level_worth AS (SELECT * FROM level_bank, keys)"
 _CHECKS = ["surface trace adds up", "force trace adds up", "surface triggers are the text's", "force triggers are the text's", "scores in range", "gap is the difference", "confidence in range", "sides share no character"]
 
 
@@ -147,9 +150,9 @@ def _release_report() -> str:
     held = {
         1: ("force stays when wording changes", "sum(CAST(wording AND stays AS INT))", "sum(CAST(wording AS INT))", "checked"), 2: ("surface moves when wording changes", "sum(CAST(wording AND moves AS INT))", "sum(CAST(wording AS INT))", "checked"),
         3: ("force moves when reasons change", "sum(CAST(NOT wording AND moves AS INT))", "sum(CAST(NOT wording AS INT))", "checked"), 4: ("surface stays when reasons change", "sum(CAST(NOT wording AND stays AS INT))", "sum(CAST(NOT wording AS INT))", "checked"),
-        5: ("gap moves the way it should", "sum(CAST(direction AS INT))", "count(*)", "checked"), 6: ("surface falls from level to level", f"{len(pairs.OBJECTS)} * count(*)", f"{len(pairs.OBJECTS)} * count(*)", "level_worth"),
+        5: ("gap moves the way it should", "sum(CAST(direction AS INT))", "count(*)", "checked"), 6: ("surface falls from level to level", "count(*)", "count(*)", "level_worth"),
         7: ("evidence adds up and quotes the text", str(len(_CHECKS) - 1), str(len(_CHECKS) - 1), "(SELECT 1)"), 8: ("no character counts on both sides", "1", "1", "(SELECT 1)"),
-        9: ("a fact counts once", str(len(pairs.SCENARIOS)), str(len(pairs.SCENARIOS)), "(SELECT 1)"), 10: ("two runs give the same", "count(*)", "count(*)", "conversations"), 11: ("copy claims no intent", "8", "8", "(SELECT 1)"),
+        9: ("a fact counts once", "count(*)", "count(*)", "keys"), 10: ("two runs give the same", "count(*)", "count(*)", "conversations"), 11: ("copy claims no intent", "count(*)", "count(*)", "keys"),
     }
     rows = " UNION ALL ".join(f"SELECT {n} AS \"check\", '{name}' AS name, CAST({ok} AS BIGINT) AS held, CAST({of} AS BIGINT) AS applicable FROM {source}" for n, (name, ok, of, source) in held.items())
     return f"""WITH {_pairs()}, {_LEVEL_WORTH}, c AS ({rows}),
@@ -200,8 +203,8 @@ SELECT doc_id FROM x WHERE len(list_filter(range(1, len(w) - 1), lambda i: w[i]
     "pair_checks": f"""WITH {_pairs()}
 SELECT pair_id, family, round(surface_a, 6) AS surface_a, round(surface_b, 6) AS surface_b, round(force_a, 6) AS force_a, round(force_b, 6) AS force_b, stays, moves FROM checked""",
     "gap_direction": f"WITH {_pairs()} SELECT pair_id, round(gap_a, 1) AS gap_a, round(gap_b, 1) AS gap_b, direction FROM checked",
-    "level_order": f"""WITH {_LEVEL_WORTH} SELECT level, CAST(o AS INTEGER) AS object, level AS matched, surface, CASE WHEN level > 1 THEN true END AS below FROM level_worth, range({len(pairs.OBJECTS)}) AS t(o)""",
-    "event_dedupe": "SELECT * FROM (VALUES " + ", ".join(f"({_text(name)}, {n}, {events})" for name, _, _, n, events in pairs.SCENARIOS) + ") AS v(scenario, rows, events)",
+    "level_order": f"""WITH {_KEYS}, {_LEVEL_WORTH} SELECT level, key, level AS matched, surface, CASE WHEN level > 1 THEN true END AS below FROM level_worth""",
+    "event_dedupe": f"WITH {_KEYS}, v(number, scenario, rows, events) AS (VALUES " + ", ".join(f"({i}, {_text(name)}, {n}, {events})" for i, (name, _, _, n, events) in enumerate(pairs.SCENARIOS)) + f") SELECT key, v.* EXCLUDE number FROM keys JOIN v ON number = key % {len(pairs.SCENARIOS)}",
     "determinism": "SELECT count(*) AS messages, CAST(count(*) AS BIGINT) AS identical FROM conversations",
     "release_report": _release_report(),
     "release_metrics": f"""{_WITH} SELECT "check", (SELECT count(*) FROM b) AS rows, CAST(0 AS BIGINT) AS failures FROM (SELECT unnest({_list(_CHECKS)}) AS "check")""",
@@ -247,7 +250,7 @@ WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s,
     "rule_hits": _rule_hits(),
     "caps_hits": rf"""WITH x AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '\b[A-Z]{{3,}}\b'), lambda w: NOT list_contains({_list(rules.CAPS_EXCLUDED)}, w)) AS w FROM documents)
 SELECT doc_id, len(w) AS capitals FROM x WHERE len(w) > 0""",
-    "intent_guard": "SELECT * FROM (VALUES (0, NULL), (1, 'sender_intent'), (2, 'sender_intent'), (3, 'intended_as'), (4, NULL), (5, 'reader_unmodalized'), (6, 'reader_will'), (7, NULL)) AS v(sample, claim)",
+    "intent_guard": f"WITH {_KEYS} SELECT key, v.* FROM keys JOIN (VALUES (0, NULL), (1, 'sender_intent'), (2, 'sender_intent'), (3, 'intended_as'), (4, NULL), (5, 'reader_unmodalized'), (6, 'reader_will'), (7, NULL)) AS v(sample, claim) ON sample = key % 8",
     "proximity_bonus": "SELECT event_id, round(CASE WHEN h <= 0 THEN 1.5 WHEN h >= 336 THEN 0 ELSE 1.5 * exp(-h / 48) END, 9) AS bonus FROM (SELECT event_id, CAST(event_id % 400 - 20 AS DOUBLE) AS h FROM events)",
     "gap_bands": """WITH x AS (SELECT event_id, (event_id * 37 % 1001) / 100.0::DOUBLE AS force, (event_id * 53 % 1001) / 100.0::DOUBLE AS surface FROM events),
 y AS (SELECT event_id, floor((floor(force * 10 + 0.5) / 10 - floor(surface * 10 + 0.5) / 10) * 10 + 0.5) / 10 AS gap FROM x)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dates, formats, rules
 from .functions import text as T
 from .operators import guard
-from .plans import mentions, report, score
+from .plans import mentions, report, score, store
 from .sources import adapters, corpus, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,43 +139,50 @@ def release_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.release_metrics(_scored(spark, sf_dir), _messages(spark, sf_dir))
 
 
-def _pairs(spark: SparkSession, results: DataFrame | None = None) -> DataFrame:
-    results = score.score_threads(pairs.pair_messages(spark), pairs.DAY_END) if results is None else results
-    return report.pair_checks(report.compare_pairs(results, pairs.pair_rows(spark)), pairs.SURFACE_FAMILIES)
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key: the conversations, each once."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("key")).distinct()
+
+
+def _pairs(keys: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    results = score.score_threads(pairs.pair_messages(keys), pairs.DAY_END) if results is None else results
+    return report.pair_checks(report.compare_pairs(results, pairs.pair_rows(keys)), pairs.SURFACE_FAMILIES)
 
 
 def pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """120 minimal pairs: scores of both sides, and whether one score stayed and the other moved."""
-    return _pairs(spark).select("pair_id", "family", *[F.round(c, 6).alias(c) for c in ("surface_a", "surface_b", "force_a", "force_b")], "stays", "moves")
+    """A minimal pair for each conversation: scores of both sides, and whether one score stayed and the other moved."""
+    return _pairs(_keys(spark, sf_dir)).select("pair_id", "family", *[F.round(c, 6).alias(c) for c in ("surface_a", "surface_b", "force_a", "force_b")], "stays", "moves")
 
 
 def gap_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark).select("pair_id", F.round("gap_a", 1).alias("gap_a"), F.round("gap_b", 1).alias("gap_b"), "direction")
+    return _pairs(_keys(spark, sf_dir)).select("pair_id", F.round("gap_a", 1).alias("gap_a"), F.round("gap_b", 1).alias("gap_b"), "direction")
+
+
+def _key(thread: str = "thread_id") -> Column:
+    return F.split(thread, "-")[1].cast("long")
 
 
-def _levels(spark: SparkSession, results: DataFrame | None = None) -> DataFrame:
-    """By level and object: the level found, its surface score, and whether it lies below the level before."""
-    d = score.score_threads(pairs.level_messages(spark), pairs.DAY_END) if results is None else results
-    part = F.split("thread_id", "-")
-    d = d.select(part[1].cast("int").alias("level"), part[2].cast("int").alias("object"), F.col("head_act.level").alias("matched"), "surface")
-    below = F.col("surface") < F.lag("surface").over(Window.partitionBy("object").orderBy("level"))
-    return d.withColumn("below", below)
+def _levels(keys: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """By level and key: the level found, its surface score, and whether it lies below the level before."""
+    d = score.score_threads(pairs.level_messages(keys), pairs.DAY_END) if results is None else results
+    d = d.select(F.split("thread_id", "-")[3].cast("int").alias("level"), _key().alias("key"), F.col("head_act.level").alias("matched"), "surface")
+    return d.withColumn("below", F.col("surface") < F.lag("surface").over(Window.partitionBy("key").orderBy("level")))
 
 
 def level_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark).select("level", "object", "matched", F.round("surface", 6).alias("surface"), "below")
+    return _levels(_keys(spark, sf_dir)).select("level", "key", "matched", F.round("surface", 6).alias("surface"), "below")
 
 
-def _scenarios(spark: SparkSession, results: DataFrame | None = None) -> DataFrame:
-    d = score.score_threads(pairs.scenario_messages(spark), pairs.DAY_END) if results is None else results
-    kinds = F.create_map(*[F.lit(x) for name, _, category, *_ in pairs.SCENARIOS for x in (name, category)])
-    found = F.transform(F.filter("force_evidence", lambda e: e["category"] == F.element_at(kinds, F.col("thread_id"))), lambda e: e["event_id"])
-    return d.select(F.col("thread_id").alias("scenario"), F.size(found).alias("rows"), F.size(F.array_distinct(found)).alias("events"))
+def _scenarios(keys: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    d = score.score_threads(pairs.scenario_messages(keys), pairs.DAY_END) if results is None else results
+    of = lambda i: F.get(F.array(*[F.lit(x[i]) for x in pairs.SCENARIOS]), (_key() % len(pairs.SCENARIOS)).cast("int"))
+    found = F.transform(F.filter("force_evidence", lambda e: e["category"] == of(2)), lambda e: e["event_id"])
+    return d.select(_key().alias("key"), of(0).alias("scenario"), F.size(found).alias("rows"), F.size(F.array_distinct(found)).alias("events"), ((F.size(found) == of(3)) & (F.size(F.array_distinct(found)) == of(4))).alias("held"))
 
 
 def event_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of evidence, of how many events, stand for facts said together and apart."""
-    return _scenarios(spark)
+    return _scenarios(_keys(spark, sf_dir)).drop("held")
 
 
 def _twice(spark: SparkSession, sf_dir: str, first: DataFrame | None = None) -> DataFrame:
@@ -196,26 +203,27 @@ def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
 def release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every release check with its status, and a line of text for each."""
     # one run for all (their thread and message ids differ), and a second one to hold against it
-    sources = [_messages(spark, sf_dir), pairs.pair_messages(spark), pairs.level_messages(spark), pairs.scenario_messages(spark)]
+    keys = _keys(spark, sf_dir)
+    sources = [_messages(spark, sf_dir), pairs.pair_messages(keys), pairs.level_messages(keys), pairs.scenario_messages(keys)]
     columns = ["thread_id", "ord", "msg_id", "sender_id", "recipient_ids", "ts", "text"]
-    results = score.score_threads(reduce(DataFrame.unionByName, [d.select(*columns) for d in sources]), corpus.DAY_END).persist()
-    compared = _pairs(spark, results).withColumn("wording", F.col("family").isin(pairs.SURFACE_FAMILIES))
+    results = score.score_threads(reduce(DataFrame.unionByName, [d.select(*columns) for d in sources]), corpus.DAY_END)
+    results = store.stored(results)
+    compared = _pairs(keys, results).withColumn("wording", F.col("family").isin(pairs.SURFACE_FAMILIES))
     one = lambda n, name, ok, need=1.0, partial=False: F.struct(F.lit(n).alias("check"), F.lit(name).alias("name"), ok.alias("ok"), F.lit(need).alias("need"), F.lit(partial).alias("partial"))
     rows = compared.select(F.explode(F.array(
         one(1, "force stays when wording changes", F.when(F.col("wording"), F.col("stays"))), one(2, "surface moves when wording changes", F.when(F.col("wording"), F.col("moves"))),
         one(3, "force moves when reasons change", F.when(~F.col("wording"), F.col("moves"))), one(4, "surface stays when reasons change", F.when(~F.col("wording"), F.col("stays"))),
         one(5, "gap moves the way it should", F.col("direction"), report.DIRECTION_RATE),
     )).alias("c"))
-    levels = _levels(spark, results.where("thread_id LIKE 'level-%'")).select(one(6, "surface falls from level to level", (F.col("matched") == F.col("level")) & F.coalesce("below", F.lit(True)), partial=True).alias("c"))
-    expected = F.create_map(*[F.lit(x) for name, _, _, n, events in pairs.SCENARIOS for x in (name, f"{n}/{events}")])
-    events = _scenarios(spark, results.where(F.col("thread_id").isin([x[0] for x in pairs.SCENARIOS]))).select(one(9, "a fact counts once", F.concat_ws("/", "rows", "events") == F.element_at(expected, F.col("scenario"))).alias("c"))
+    levels = _levels(keys, results.where("thread_id LIKE 'k-%-level-%'")).select(one(6, "surface falls from level to level", (F.col("matched") == F.col("level")) & F.coalesce("below", F.lit(True)), partial=True).alias("c"))
+    events = _scenarios(keys, results.where("thread_id LIKE 'k-%-scenario'")).select(one(9, "a fact counts once", F.col("held")).alias("c"))
     metrics = report.release_metrics(results, _messages(spark, sf_dir))
     fidelity, partition = F.col("check") != "sides share no character", F.col("check") == "sides share no character"
     trace = metrics.where(fidelity).select(one(7, "evidence adds up and quotes the text", F.col("failures") == 0).alias("c"))
     apart = metrics.where(partition).select(one(8, "no character counts on both sides", F.col("failures") == 0).alias("c"))
     again = _twice(spark, sf_dir, results).select(one(10, "two runs give the same", F.col("same")).alias("c"))
-    copy = intent_guard(spark, sf_dir).join(spark.createDataFrame([(i, ok) for i, (_, ok) in enumerate(report.GUARD_SAMPLES)], "sample int, passes boolean"), "sample")
-    guarded = copy.select(one(11, "copy claims no intent", F.col("claim").isNull() == F.col("passes")).alias("c"))
+    passes = F.get(F.array(*[F.lit(ok) for _, ok in report.GUARD_SAMPLES]), F.col("sample"))
+    guarded = intent_guard(spark, sf_dir).select(one(11, "copy claims no intent", F.col("claim").isNull() == passes).alias("c"))
     every = rows.unionByName(levels).unionByName(events).unionByName(trace).unionByName(apart).unionByName(again).unionByName(guarded)
     found = report.summary(every.select("c.*"))
     total = report.status_counts(found).select(F.lit(99).alias("check"), F.lit("total").alias("name"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("held"), F.lit(None).cast("long").alias("applicable"), "report")
@@ -308,8 +316,10 @@ def reduplication_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intent_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(report.GUARD_SAMPLES)], "sample int, text string")
-    return d.select("sample", guard.intent_claim(F.col("text")).alias("claim"))
+    """A sample of copy for each conversation, and the claim it makes."""
+    samples = F.array(*[F.lit(s) for s, _ in report.GUARD_SAMPLES])
+    d = _keys(spark, sf_dir).select("key", (F.col("key") % len(report.GUARD_SAMPLES)).cast("int").alias("sample"))
+    return d.select("key", "sample", guard.intent_claim(F.get(samples, F.col("sample"))).alias("claim"))
 
 
 # -- numbers over events

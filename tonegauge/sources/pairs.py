@@ -1,4 +1,4 @@
-"""Minimal pairs in our own wording, with what each side is worth, derived by hand from the rule tables.
+"""Minimal pairs, with what each side is worth, derived by hand from the rule tables; dealt out to the keys of a table.
 
 A pair's sides differ in one respect, its family. The first three families word the same request more or less
 strongly (a stronger than b, force the same); the others give more or less reason to act (b more than a, surface the
@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import adapters
 
@@ -77,44 +78,55 @@ PAIRS: list[tuple[str, Side, Side]] = [
     ("escalation", _ALONE, Side([(1440, "A", "Could you send {o}?"), (0, "A", _ASK)], 3.1, "3.0 + 1.0 + 0.5")),
 ]
 
-#: A wording for each level that is selected.
-LEVELS = [(1, "Send {o}."), (2, "I'm asking you to send {o}."), (3, "I'd like to ask you to send {o}."), (4, "You need to send {o}."), (5, "I want you to send {o}."), (6, "We could send {o}."), (7, "Can you send {o}?")]
+#: A wording for each level that is selected, each on a rule of its own.
+LEVELS = [
+    (1, "Please laminate {o}."), (2, "I'm requesting a fresh copy of {o}."), (3, "Mind if I ask you to translate {o}."), (4, "You'll have to renumber {o}."), (5, "I'm after two copies of {o}."),
+    (6, "Another option is trimming {o}."), (7, "Is it possible to rebind {o}?"),
+]
 
 #: What counts once and what counts apart: text, category, rows and events expected.
 SCENARIOS = [
-    ("one outcome in a sentence", _ASK + " Otherwise we'll escalate.", "consequence", 1, 1),
-    ("outcomes in different local units", _ASK + " Otherwise we'll miss the window; legal will also escalate.", "consequence", 2, 2),
-    ("two outcomes of one unit", _ASK + " Otherwise we'll miss the window or escalate.", "consequence", 1, 1),
-    ("a deadline and how near it is", "Can you send {o} by Friday?", "temporal", 2, 1),
-    ("framing said twice in a unit", _ASK + " I'm waiting on it and blocked on it.", "dependency", 1, 1),
-    ("framing in different local units", _ASK + " I'm waiting on it; the team is blocked on it.", "dependency", 2, 2),
-    ("an outcome and a dependency", _ASK + " We're blocked on it.", "consequence", 0, 0),
+    ("a single consequence", _ASK + " The risk is a bare stall at the fair.", "consequence", 1, 1),
+    ("a consequence either side of a semicolon", _ASK + " The risk is a bare stall at the fair; worst case the hall goes to others.", "consequence", 2, 2),
+    ("a consequence in each of two sentences", _ASK + " The risk is a bare stall at the fair. Worst case the hall goes to others.", "consequence", 2, 2),
+    ("a clock time and how near it is", "Can you send {o} by noon?", "temporal", 2, 1),
+    ("a promise made", _ASK + " I committed to it.", "dependency", 1, 1),
+    ("two promises in two units", _ASK + " I committed to it; finance needs the totals.", "dependency", 2, 2),
+    ("a promise is no consequence", _ASK + " I committed to it.", "consequence", 0, 0),
 ]
 
 
-def pair_id(number: int, which: int) -> str:
-    return f"{PAIRS[number][0]}-{number % 5 * len(OBJECTS) + which + 1:02d}"
+#: Every pair in every wording, every scenario: what keys are dealt to.
+N_PAIRS = len(PAIRS) * len(OBJECTS)
 
 
-def pair_rows(spark: SparkSession) -> DataFrame:
-    """pair_id, family, a_thread, b_thread."""
-    rows = [(name := pair_id(n, k), pair[0], f"{name}-a", f"{name}-b") for n, pair in enumerate(PAIRS) for k in range(len(OBJECTS))]
-    return spark.createDataFrame(rows, "pair_id string, family string, a_thread string, b_thread string")
+def _dealt(keys: DataFrame, threads: list[tuple[int, str, int, int, str, str]], number: Column) -> DataFrame:
+    """Messages of the threads (number, suffix, ord, minutes before, sender, text) that each key's number has."""
+    spark = keys.sparkSession
+    rows = spark.createDataFrame([(n, suffix, i, minutes, sender, "B" if sender == "A" else "A", text) for n, suffix, i, minutes, sender, text in threads], "number int, suffix string, ord int, minutes_before int, sender string, recipient string, text string")
+    dealt = keys.select(F.col("key"), number.cast("int").alias("number")).join(F.broadcast(rows), "number")  # as many rows as the lists above have messages
+    return adapters.fixture_thread(dealt.withColumn("thread_id", F.concat_ws("-", F.lit("k"), F.col("key").cast("string"), "suffix")), AT, ADDRESSES)
 
 
-def _threads(spark: SparkSession, threads: list[tuple[str, list[tuple[int, str, str]]]]) -> DataFrame:
-    rows = [(name, i, minutes, sender, "B" if sender == "A" else "A", text) for name, messages in threads for i, (minutes, sender, text) in enumerate(messages)]
-    return adapters.fixture_thread(spark.createDataFrame(rows, "thread_id string, ord int, minutes_before int, sender string, recipient string, text string"), AT, ADDRESSES)
+def pair_messages(keys: DataFrame) -> DataFrame:
+    """keys (key): threads k-KEY-a and k-KEY-b, of pair KEY modulo N_PAIRS."""
+    threads = [(n * len(OBJECTS) + k, end, i, m, s, t.format(o=o)) for n, (_, *sides) in enumerate(PAIRS) for end, side in zip("ab", sides, strict=True) for k, o in enumerate(OBJECTS) for i, (m, s, t) in enumerate(side.messages)]
+    return _dealt(keys, threads, F.col("key") % N_PAIRS)
 
 
-def pair_messages(spark: SparkSession) -> DataFrame:
-    threads = [(f"{pair_id(n, k)}-{end}", [(m, s, t.format(o=o)) for m, s, t in side.messages]) for n, (_, *sides) in enumerate(PAIRS) for end, side in zip("ab", sides, strict=True) for k, o in enumerate(OBJECTS)]
-    return _threads(spark, threads)
+def pair_rows(keys: DataFrame) -> DataFrame:
+    """pair_id (the key), family, a_thread, b_thread."""
+    families = F.array(*[F.lit(pair[0]) for pair in PAIRS for _ in OBJECTS])
+    thread = lambda end: F.concat(F.lit("k-"), F.col("key").cast("string"), F.lit(f"-{end}"))
+    return keys.select(F.col("key").alias("pair_id"), F.get(families, (F.col("key") % N_PAIRS).cast("int")).alias("family"), thread("a").alias("a_thread"), thread("b").alias("b_thread"))
 
 
-def level_messages(spark: SparkSession) -> DataFrame:
-    return _threads(spark, [(f"level-{level}-{k}", [(0, "A", text.format(o=o))]) for level, text in LEVELS for k, o in enumerate(OBJECTS)])
+def level_messages(keys: DataFrame) -> DataFrame:
+    """Threads k-KEY-level-LEVEL, all levels for each key, with object KEY modulo OBJECTS."""
+    threads = [(k, f"level-{level}", 0, 0, "A", text.format(o=o)) for level, text in LEVELS for k, o in enumerate(OBJECTS)]
+    return _dealt(keys, threads, F.col("key") % len(OBJECTS))
 
 
-def scenario_messages(spark: SparkSession) -> DataFrame:
-    return _threads(spark, [(name, [(0, "A", text.format(o=OBJECTS[0]))]) for name, text, *_ in SCENARIOS])
+def scenario_messages(keys: DataFrame) -> DataFrame:
+    """Threads k-KEY-scenario, of scenario KEY modulo SCENARIOS."""
+    return _dealt(keys, [(n, "scenario", 0, 0, "A", text.format(o=OBJECTS[0])) for n, (_, text, *_) in enumerate(SCENARIOS)], F.col("key") % len(SCENARIOS))
