@@ -181,3 +181,21 @@ def test_components_say_when_they_are_not_complete(spark):
     assert {r.component for r in components(chain).collect()} == {0}
     with pytest.raises(RuntimeError):
         components(chain, most_rounds=1)
+
+
+def test_a_doc_id_with_several_texts(spark):
+    """Each text is a document of its own; none loses words that it doesn't repeat."""
+    common = " ".join(f"c{i}" for i in range(70))
+    own = " ".join(f"o{i}" for i in range(400))
+    lines_ = "\n".join(f"line {i}" for i in range(9))
+    rows = [(1, common + " " + own), (1, "short and " + common), (1, "short and " + common), (2, common), (3, "x\n" + lines_), (3, "y\nz\n" + lines_ + "\nw"), (3, "alone"), (4, "alone"), (None, common)]
+    d = spark.createDataFrame([(*r, len(r[1]), 7, "h") for r in rows], "doc_id long, text string, n_chars long, _id int, _hash string").repartition(3)
+    for left in (suffix_dedup.without_repeats(d), line_dedup.clean(d)):
+        assert left.columns == d.columns
+        assert all(r.n_chars == len(r.text) and r._id == 7 for r in left.collect())
+    texts = [r.text for r in suffix_dedup.without_repeats(d.where("doc_id < 3 OR doc_id IS NULL")).collect()]
+    # the first of doc_id 1's texts, by hash, keeps the passage; doc_id 2 was nothing else, the null doc_id takes no part
+    assert len(texts) == 4 and sum(common in t for t in texts) in (2, 3) and sum(own in t for t in texts) == 1 and common in texts
+    kept = [r.text for r in line_dedup.clean(d.where("doc_id IN (3, 4)")).collect()]
+    assert sum(lines_ in t for t in kept) == 1 and sorted(t for t in kept if lines_ not in t)[0] == "alone" and kept.count("alone") == 1
+    assert {r.doc_id for r in suffix_dedup.passages(d).collect()} == {1, 2} and line_dedup.digests(d).count() == len(rows)

@@ -197,3 +197,9 @@ def test_pipeline(spark, sf):
     for r in docs.orderBy("doc_id").collect():
         first.setdefault(r.text, r.doc_id)
     assert all(i in set(first.values()) for i in kept)  # of exact copies the least doc_id alone may stay
+
+
+def test_events_without_a_turn_are_a_message_of_their_own(spark):
+    rows = [(1, 1, "start", 0, "user", "first"), (1, 2, "start", None, "assistant", "no "), (1, 3, "delta", None, None, "turn"), (1, 4, "start", 5, "user", "later")]
+    turns = chat.format_log(spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string")).collect()
+    assert [chat.parse(r.formatted)[0] for r in sorted(turns, key=lambda r: r.turn_no)] == [("user", "first"), ("user", "later"), ("assistant", "no turn")]

@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces, record_batch, tidy
+from ._common import id_text, pieces, record_batch, stored, tidy, unused
 from ._text import U64, grams, mix
 
 #: (hash, number of the text, first byte, byte after the last) of every unit of some texts.
@@ -200,6 +200,42 @@ def repeats(docs: DataFrame, units: Units, least: int, gram: int) -> DataFrame:
     return merged(spans)
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text) in which a doc_id has one text, and None; where one has several, each text gets an id of
+    its own, in order of doc_id and the text's hash, and the second is their table (at, doc_id, hash)."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"))
+    if hashed.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").isEmpty():
+        return docs, None
+    # sorted ranges, so numbers by partition and place are in order; a doc_id of many texts may lie in several
+    ids = stored(hashed.distinct().repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").withColumn("at", F.monotonically_increasing_id()))
+    return docs.withColumn("hash", F.xxhash64("text")).join(ids, ["doc_id", "hash"]).select(F.col("at").alias("doc_id"), "text"), ids
+
+
+#: doc_id, start, stop, is_first of doc_id, text.
+Find = Callable[[DataFrame], DataFrame]
+
+
+def by_doc_id(docs: DataFrame, find: Find) -> DataFrame:
+    """What is found, under the documents' own ids."""
+    own, ids = identified(id_text(docs).where("doc_id IS NOT NULL"))
+    found = find(own)
+    return found if ids is None else found.withColumnRenamed("doc_id", "at").join(ids, "at").select("doc_id", "start", "stop", "is_first")
+
+
+def with_spans(docs: DataFrame, find: Find, id_col: str, text_col: str, name: str) -> DataFrame:
+    """docs with a column of what to delete from each row's text (null: nothing)."""
+    own, ids = identified(id_text(docs, id_col, text_col).where("doc_id IS NOT NULL"))
+    at, digest = unused(docs, "_id"), unused(docs, "_hash")
+    spans = later_spans(find(own))
+    same = F.col(id_col).cast("long") == F.col(at)
+    if ids is None:
+        found = spans.select(F.col("doc_id").alias(at), F.col("spans").alias(name))
+    else:
+        found = spans.withColumnRenamed("doc_id", "at").join(ids, "at").select(F.col("doc_id").alias(at), F.col("hash").alias(digest), F.col("spans").alias(name))
+        same = same & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(digest))
+    return docs.join(found, same, "left").select(*docs.columns, name)
+
+
 def later_spans(spans: DataFrame) -> DataFrame:
     """doc_id, spans: array<struct<start, stop>> of what to delete."""
     return spans.where("NOT is_first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))

@@ -23,7 +23,7 @@ roles are written ``\\n`` and ``\\\\``. The loss mask covers the escaped texts o
 
 Defined results: a null text is empty, a null role is ``user``; events of equal
 sequence number are taken in the order kind, turn, role, text; a message whose
-``start`` is missing is a user's; rows of a null conv_id are one conversation; an
+``start`` is missing is a user's; events without a turn are of one more message, after all others; rows of a null conv_id are one conversation; an
 empty log gives no rows; further columns are ignored.
 """
 
@@ -78,6 +78,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+#: The turn of events that name none: a message of its own, after all others.
+NO_TURN = (1 << 63) - 1
 EVENTS = ("conv_id", "seq", "kind", "turn", "role", "text")
 _LIVE = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("seq", pa.int64()), ("at", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 _TURNS = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
@@ -144,7 +146,7 @@ def format_log(events: DataFrame) -> DataFrame:
     order, end to end, are its formatted text; loss bounds are code points within the row (null: no loss)."""
     log = events.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "kind",
-        F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"),
     )
     backwards = log.repartition("conv_id").sortWithinPartitions(
         "conv_id", F.col("seq").desc(), F.col("kind").desc(), F.col("turn").desc(), F.col("role").desc(), F.col("text").desc()

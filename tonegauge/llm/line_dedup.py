@@ -14,8 +14,8 @@ lines that are short stay where they stand among others.
 
 Defined results: null and empty texts have no lines and stay; equal texts repeat
 whole (without ``words``, those of ``least`` lines and more); a document of which no line is left has the empty text (``clean`` drops
-it); repeated rows of one doc_id count as that document; a null doc_id takes no
-part; an empty table gives an empty table; further columns are kept by ``clean``.
+it); rows that repeat a doc_id with its text count as that document, of a doc_id
+with several texts each is a document of its own; a null doc_id takes no part; an empty table gives an empty table; further columns are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -27,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import id_text, pieces, record_batch, tidy
-from ._repeats import islands, later_spans, merged, repeats
+from ._repeats import by_doc_id, islands, merged, repeats, with_spans
 from ._text import U64, mix
 from .suffix_dedup import rewritten
 
@@ -116,16 +115,19 @@ def _short_repeats(docs: DataFrame, least: int, words: int) -> DataFrame:
     return judged.selectExpr("doc_id", "cast(start AS long) AS start", "cast(start + size AS long) AS stop", is_first)
 
 
+def _runs(docs: DataFrame, least: int, gram: int, words: int | None) -> DataFrame:
+    long = repeats(docs, lines, least, gram)
+    return long if words is None else merged(long.unionByName(_short_repeats(docs, least, words)))
+
+
 def repeated_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """doc_id, start, stop (numbers of lines that aren't blank), is_first. words: of shorter runs that count as well."""
-    d = id_text(docs).where("doc_id IS NOT NULL")
-    long = repeats(d, lines, least, gram)
-    return long if words is None else merged(long.unionByName(_short_repeats(d, least, words)))
+    return by_doc_id(docs, lambda d: _runs(d, least, gram, words))
 
 
 def clean(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = WORDS) -> DataFrame:
     """docs without later repeated runs; documents of which nothing is left go."""
-    return rewritten(docs, later_spans(repeated_runs(docs, least, gram, words)), cut)
+    return rewritten(docs, lambda d: _runs(d, least, gram, words), cut)
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("deleted_lines", pa.int64()), ("kept_chars", pa.int64()), ("kept_sha256", pa.string())])
@@ -133,9 +135,7 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("deleted
 
 def digests(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """doc_id, n_lines (blank ones not), deleted_lines, kept_chars, kept_sha256 of the text that is left, of every row."""
-    gone = later_spans(repeated_runs(docs, least, gram, words)).withColumnRenamed("doc_id", "_id")
-    d = id_text(docs)
-    joined = d.join(gone, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
+    joined = with_spans(id_text(docs), lambda d: _runs(d, least, gram, words), "doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,22 +10,22 @@ the order of occurrences and for skew).
 
 Defined results: null and empty texts, and texts of fewer words, have no
 passages; equal texts repeat whole, the least doc_id's is the first; rows that
-repeat a doc_id with its text count as that document; a null doc_id takes no part
+repeat a doc_id with its text count as that document; of a doc_id with several texts
+each is a document of its own, in order of the texts' hashes; a null doc_id takes no part
 (its row is never changed); an empty table gives no rows; further columns are
 ignored by ``passages`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._common import id_text, tidy, unused
-from ._repeats import later_spans, repeats
+from ._common import tidy, unused
+from ._repeats import by_doc_id, repeats, with_spans
 from ._text import words
 
 LEAST, GRAM = 50, 25
@@ -34,7 +34,7 @@ _words = partial(words, lower=True)
 
 def passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """doc_id, start, stop (word numbers), is_first."""
-    return repeats(id_text(docs).where("doc_id IS NOT NULL"), _words, least, gram)
+    return by_doc_id(docs, lambda d: repeats(d, _words, least, gram))
 
 
 def cut(text: bytes, spans: list[dict]) -> bytes:
@@ -51,14 +51,13 @@ def cut(text: bytes, spans: list[dict]) -> bytes:
 def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """docs with later occurrences cut out of text (n_chars follows, if there is one); documents of which
     nothing is left go."""
-    return rewritten(docs, later_spans(passages(docs, least, gram)), cut)
+    return rewritten(docs, lambda d: repeats(d, _words, least, gram), cut)
 
 
-def rewritten(docs: DataFrame, spans: DataFrame, cutter) -> DataFrame:
-    """docs with cutter(text, spans) as text where spans (doc_id, spans) has the document."""
+def rewritten(docs: DataFrame, find: Callable[[DataFrame], DataFrame], cutter: Callable[[bytes, list], bytes]) -> DataFrame:
+    """docs with cutter(text, spans) as text where find (doc_id, start, stop, is_first of doc_id, text) has later spans."""
     names = docs.columns
-    own, cuts = unused(docs, "id"), unused(docs, "cuts")
-    joined = docs.join(spans.select(F.col("doc_id").alias(own), F.col("spans").alias(cuts)), F.col("doc_id") == F.col(own), "left").select(*names, cuts)
+    joined = with_spans(docs, find, "doc_id", "text", unused(docs, "cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
