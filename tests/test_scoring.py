@@ -246,3 +246,23 @@ def test_no_message_carries_its_history(spark):
     plan = M.with_mentions(spark.createDataFrame([], "thread_id string, ord long, text string, sender_id string, recipient_ids array<string>, signature array<string>, completion boolean, ms long"))._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window [" in line]
     assert windows and "collect_list" not in plan and not any("signature" in w.split("Window [")[1].split(" windowspecdefinition")[0] for w in windows)
+
+
+def test_sweep_of_random_spans(spark):
+    import random
+
+    from tonegauge.plans import report
+
+    rng = random.Random(1)
+    texts = [(i, size, [(a, min(size, a + rng.choice([0, 1, 3, 9, 40])), f"{i}.{k}") for k in range(rng.randrange(9)) for a in [rng.randrange(size + 1)]]) for i, size in enumerate([0, 1, 2, 7, 30, 30, 80, 200])]
+    texts.append((99, 5000, [(0, 5000, "all")] + [(k, k + 7, f"w{k}") for k in range(0, 4990, 3)]))
+    want = set()
+    for i, size, spans in texts:
+        at = sorted({0, size, *[x for a, b, _ in spans for x in (a, b)]})
+        for a, b in zip(at, at[1:], strict=False):
+            ids = [n for x, y, n in spans if x <= a and y >= b]
+            want.add((i, a, b, len(ids), tuple(ids)))
+    d = spark.createDataFrame(texts, "key int, size int, spans array<struct<start:int,end:int,id:string>>")
+    found = report.swept(d, "key")
+    assert {(r.key, r.start, r.end, r.covering, tuple(r.evidence)) for r in found.collect()} == want
+    assert "exists(" not in found._jdf.queryExecution().executedPlan().toString()

@@ -237,6 +237,20 @@ pairs AS (
 ), chains AS (SELECT thread_id, ord, who, ms, count(*) AS earlier, max(p_ms) FILTER (back = 1) AS last_ms, coalesce(max(p_ms) FILTER (back = 2), -1) AS before_ms FROM pairs GROUP BY ALL)
 SELECT thread_id, ord, earlier, last_ms, before_ms,
   NOT EXISTS (SELECT 1 FROM r p WHERE p.thread_id = c.thread_id AND p.ord < c.ord AND p.who IN ((c.who + 1) % 5, (c.who + 2) % 5) AND p.ms > c.last_ms AND p.ms < c.ms) AS unanswered FROM chains c""",
+    "document_overlay": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS size FROM documents),
+c AS (SELECT doc_id, unnest(string_split_regex(text, '[A-Z][A-Za-z]*')) AS gap, generate_subscripts(string_split_regex(text, '[A-Z][A-Za-z]*'), 1) AS no, regexp_extract_all(text, '[A-Z][A-Za-z]*') AS words FROM d),
+l AS (SELECT doc_id, no, length(gap) AS gap, coalesce(length(words[no]), 0) AS word, no <= len(words) AS hit FROM c),
+w AS (SELECT doc_id, hit, CAST(sum(gap + word) OVER (PARTITION BY doc_id ORDER BY no) AS BIGINT) AS stop, word FROM l),
+s AS (
+  SELECT doc_id, stop - word AS start, stop, true AS is_word FROM w WHERE hit
+  UNION ALL SELECT doc_id, (doc_id * 37 + k * 911) % size, least(size, (doc_id * 37 + k * 911) % size + 40 * k), false FROM d, range(8) r(k) WHERE size > 0
+), b AS (SELECT doc_id, start AS spot FROM s UNION SELECT doc_id, stop FROM s UNION SELECT doc_id, 0 FROM d UNION SELECT doc_id, size FROM d),
+p AS (SELECT doc_id, spot, lead(spot) OVER (PARTITION BY doc_id ORDER BY spot) AS next FROM b),
+x AS (
+  SELECT p.doc_id, p.spot, p.next, count(s.start) AS covering, count(*) FILTER (s.is_word) AS words
+  FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.start <= p.spot AND s.stop >= p.next WHERE p.next IS NOT NULL GROUP BY ALL
+)
+SELECT doc_id, CAST(covering AS INTEGER) AS covering, count(*) AS parts, CAST(sum(next - spot) AS BIGINT) AS chars, CAST(sum(words) AS BIGINT) AS words FROM x GROUP BY ALL""",
     "partition_overlap": f"{_WITH} SELECT count(*) AS messages, CAST(0 AS BIGINT) AS overlapping FROM b",
     "local_segments": r"""WITH p AS (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), '(?i)[,;—]|\bbut\b') AS p FROM conversations)
 SELECT conv_id, turn, len(p) AS segments, list_max(list_transform(p, lambda x: length(x))) AS longest FROM p""",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, rules
 from ..functions import text as T
+from .store import stored
 
 PHRASES = ["by friday", "tomorrow", "day after tomorrow", "this week", "next week", "end of week", "end of the month", "end of quarter", "by noon", "by 5pm", "within 3 days", "in 20 minutes", "by the 15th", "2026-09-30", "sometime", "next monday", "thursday at 9am", "sep 3"]
 #: Copy to hold against the guard, and whether it may pass.
@@ -16,18 +17,37 @@ GUARD_SAMPLES = [
 ]
 
 
+def swept(texts: DataFrame, key: str) -> DataFrame:
+    """key, start, end, covering, evidence: parts of texts (key, size, spans: array<struct<start, end, id>>) between the
+    bounds of spans, with the number of spans that cover each and their ids, in the spans' order.
+
+    A sweep: a span adds one where it begins and takes it off where it ends, and a running sum over a text's bounds is
+    what covers the part from each bound to the next. Spans find the numbers of their bounds by an equi-join and give
+    their ids to the parts between. Spans lie within the text; empty ones cover nothing; of an empty text there is no part.
+    """
+    spans = texts.select(key, F.posexplode("spans").alias("place", "s")).select(key, "place", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.id").alias("id"))
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))
+    borders = texts.select(key, F.explode(F.array(F.lit(0), F.col("size"))).alias("at"), F.lit(0).alias("step"))
+    steps = spans.select(key, F.inline(ends)).unionByName(borders).groupBy(key, "at").agg(F.sum("step").alias("step"))
+    along = Window.partitionBy(key).orderBy("at")
+    bounds = steps.select(key, "at", F.lead("at").over(along).alias("next"), F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("covering"), F.row_number().over(along).alias("number"))
+    first = bounds.select(key, F.col("at").alias("start"), F.col("number").alias("first"))
+    last = bounds.select(key, F.col("at").alias("end"), F.col("number").alias("last"))
+    covered = spans.where("start < end").join(first, [key, "start"]).join(last, [key, "end"]).select(key, "place", "id", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("number"))
+    ids = covered.groupBy(key, "number").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("ids"))
+    parts = bounds.where("next IS NOT NULL").join(ids, [key, "number"], "left")
+    evidence = F.coalesce(F.transform("ids", lambda x: x["id"]), F.array().cast("array<string>"))
+    return parts.select(key, F.col("at").alias("start"), F.col("next").alias("end"), F.col("covering").cast("int").alias("covering"), evidence.alias("evidence"))
+
+
 def overlay(rows: DataFrame) -> DataFrame:
     """Parts of each text between the bounds of its evidence: start, end, part, and the rows that cover it."""
     every = F.concat("surface_evidence", "force_evidence")
     spans = F.transform(every, lambda e: F.struct(e["span"]["start"].alias("start"), e["span"]["end"].alias("end"), e["id"].alias("id")))
-    d = rows.withColumn("stable", T.stable(F.coalesce("text", F.lit("")))).withColumn("spans", spans)
-    size = F.length("stable")
-    bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), size), F.transform("spans", lambda s: s["start"]), F.transform("spans", lambda s: s["end"]))))
-    d = d.withColumn("bounds", bounds)
-    cuts = F.transform(F.slice("bounds", F.lit(1), F.size("bounds") - 1), lambda b, i: F.struct(b.alias("start"), F.get("bounds", i + 1).alias("end")))
-    parts = d.select("msg_id", "text", "stable", "spans", F.explode(F.when(F.size("bounds") > 1, cuts)).alias("c"))
-    covering = F.filter("spans", lambda s: (s["start"] <= F.col("c.start")) & (s["end"] >= F.col("c.end")))
-    return parts.select("msg_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"), T.original_slice(F.col("text"), F.col("stable"), F.col("c.start"), F.col("c.end")).alias("part"), F.size(covering).alias("covering"), F.transform(covering, lambda s: s["id"]).alias("evidence"))
+    stable = T.stable(F.coalesce("text", F.lit("")))
+    d = stored(rows.select("msg_id", "text", stable.alias("stable"), F.length(stable).alias("size"), spans.alias("spans")))
+    parts = swept(d, "msg_id").join(d.select("msg_id", "text", "stable"), "msg_id")
+    return parts.select("msg_id", "start", "end", T.original_slice(F.col("text"), F.col("stable"), F.col("start"), F.col("end")).alias("part"), "covering", "evidence")
 
 
 def formatted_columns() -> list[Column]:

@@ -127,6 +127,19 @@ def evidence_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.overlay(d.join(texts, "msg_id")).groupBy("covering").agg(F.count("*").alias("parts"))
 
 
+def document_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of documents between the bounds of their capitalised words and of eight stretches dealt by doc_id: how many
+    there are by coverage, and of how many characters."""
+    d = _documents(spark, sf_dir)
+    words = F.transform(F.filter(T.cut_at(F.col("text"), "[A-Z][A-Za-z]*"), lambda p: p["hit"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit("word").alias("id")))
+    size = F.length("text")
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ((F.col("doc_id") * 37 + k * 911) % F.greatest(size, F.lit(1))).cast("int"))
+    stretches = F.transform(dealt, lambda at, k: F.struct(at.alias("start"), F.least(size, at + 40 * k).alias("end"), F.lit("stretch").alias("id")))
+    rows = store.stored(d.select("doc_id", size.alias("size"), F.concat(words, F.when(size > 0, stretches).otherwise(F.array().cast("array<struct<start:int,end:int,id:string>>"))).alias("spans")))
+    parts = report.swept(rows, "doc_id")
+    return parts.groupBy("doc_id", "covering").agg(F.count("*").alias("parts"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"), F.sum(F.size(F.filter("evidence", lambda e: e == "word"))).cast("long").alias("words"))
+
+
 def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that count for both sides: none here."""
     from .operators.confidence import partition_overlap as overlap
@@ -355,7 +368,7 @@ def editor_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, text_mentions, masked_text, surface_evidence, evidence_overlay, partition_overlap,
+    thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, text_mentions, masked_text, surface_evidence, evidence_overlay, document_overlay, partition_overlap,
     release_metrics, pair_checks, gap_direction, level_order, event_dedupe, determinism, release_report, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, rule_hits_around, caps_hits, reduplication_hits,
     intent_guard, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
 )
