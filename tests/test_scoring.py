@@ -266,3 +266,17 @@ def test_sweep_of_random_spans(spark):
     found = report.swept(d, "key")
     assert {(r.key, r.start, r.end, r.covering, tuple(r.evidence)) for r in found.collect()} == want
     assert "exists(" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upper_medians(spark):
+    import random
+
+    from tonegauge.plans import selection
+
+    rng = random.Random(2)
+    groups = {"a": [1.0], "b": [2.0, 1.0], "c": [5.0] * 9 + [-1e308, 1e308], "d": [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(301)], None: [3.0, float("inf"), None, float("nan"), 4.0], "none": [None], "hot": [float(i * 7919 % 5000) / 8 for i in range(5000)], "tiny": [5e-324, 0.0, 1e-323, -5e-324]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    rng.shuffle(rows)
+    got = {r.key: (r.n, r.median) for r in selection.upper_medians(spark.createDataFrame(rows, "key string, value double"), "key", "value").collect()}
+    solid = {k: sorted(v for v in vs if v is not None and abs(v) < float("inf")) for k, vs in groups.items()}
+    assert got == {k: (len(v), v[len(v) // 2]) for k, v in solid.items() if v}

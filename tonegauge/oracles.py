@@ -134,7 +134,7 @@ def _pairs() -> str:
     gap = lambda end: f"floor((floor(force_{end} * 10 + 0.5) / 10 - floor(surface_{end} * 10 + 0.5) / 10) * 10 + 0.5) / 10"
     return f"""keys AS (SELECT DISTINCT conv_id AS key FROM conversations),
 bank_of_pairs(number, family, surface_a, surface_b, force_a, force_b) AS (VALUES {rows}),
-pair AS (SELECT key AS pair_id, p.* EXCLUDE number FROM keys JOIN bank_of_pairs p ON number = key % {pairs.N_PAIRS}),
+pair AS (SELECT key AS pair_id, p.* EXCLUDE number FROM keys JOIN bank_of_pairs p ON number = key * 37 % {pairs.N_PAIRS}),
 worth AS (SELECT *, {gap("a")} AS gap_a, {gap("b")} AS gap_b, family IN ('modality', 'strategy', 'modification') AS wording FROM pair),
 checked AS (
   SELECT *, CASE WHEN wording THEN force_a = force_b ELSE surface_a = surface_b END AS stays, CASE WHEN wording THEN surface_a - surface_b ELSE force_b - force_a END >= 1 - 1e-9 AS moves, gap_a < gap_b AS direction FROM worth
@@ -269,6 +269,9 @@ SELECT doc_id, len(w) AS capitals FROM x WHERE len(w) > 0""",
     "gap_bands": """WITH x AS (SELECT event_id, (event_id * 37 % 1001) / 100.0::DOUBLE AS force, (event_id * 53 % 1001) / 100.0::DOUBLE AS surface FROM events),
 y AS (SELECT event_id, floor((floor(force * 10 + 0.5) / 10 - floor(surface * 10 + 0.5) / 10) * 10 + 0.5) / 10 AS gap FROM x)
 SELECT event_id, round(gap, 1) AS gap, CASE WHEN gap >= 3 THEN 'under-phrased' WHEN gap >= 1 THEN 'mildly-under-phrased' WHEN gap > -1 THEN 'aligned' WHEN gap > -3 THEN 'mildly-over-phrased' ELSE 'over-phrased' END AS band FROM y""",
+    "value_medians": """WITH x AS (
+  SELECT 'user ' || user_id AS key, value FROM events UNION ALL SELECT 'type ' || event_type, value FROM events UNION ALL SELECT 'all', value FROM events
+) SELECT key, count(*) AS n, list(value ORDER BY value)[count(*) // 2 + 1] AS median FROM x WHERE value IS NOT NULL AND isfinite(value) GROUP BY key""",
     "deadline_resolution": _deadlines(),
     "editor_threads": f"""SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn AS ord, CASE WHEN turn % 2 = 0 THEN role ELSE 'Sender ' || (turn + 1) END AS sender_id, CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AS recipients,
   strftime(make_timestamp(CAST(1767621600000 + turn * 3600000 AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM conversations""",

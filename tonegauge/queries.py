@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dates, formats, rules
 from .functions import text as T
 from .operators import guard
-from .plans import mentions, report, score, store
+from .plans import mentions, report, score, selection, store
 from .sources import adapters, corpus, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,6 +353,13 @@ def gap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", F.round(gap, 1).alias("gap"), formats.band(gap).alias("band"))
 
 
+def value_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper median of the events' values: of each user, of each type, and of all, which is one group."""
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value")
+    keys = F.array(F.concat(F.lit("user "), F.col("user_id").cast("string")), F.concat(F.lit("type "), F.col("event_type")), F.lit("all"))
+    return selection.upper_medians(d.select(F.explode(keys).alias("key"), "value"), "key", "value")
+
+
 def deadline_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases resolved at the times of events."""
     phrases = F.expr(f"array({T.literals(report.PHRASES)})")
@@ -370,6 +377,6 @@ def editor_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, text_mentions, masked_text, surface_evidence, evidence_overlay, document_overlay, partition_overlap,
     release_metrics, pair_checks, gap_direction, level_order, event_dedupe, determinism, release_report, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, rule_hits_around, caps_hits, reduplication_hits,
-    intent_guard, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
+    intent_guard, value_medians, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

@@ -109,16 +109,16 @@ def _dealt(keys: DataFrame, threads: list[tuple[int, str, int, int, str, str]],
 
 
 def pair_messages(keys: DataFrame) -> DataFrame:
-    """keys (key): threads k-KEY-a and k-KEY-b, of pair KEY modulo N_PAIRS."""
+    """keys (key): threads k-KEY-a and k-KEY-b, of pair 37 KEY modulo N_PAIRS, so that few keys have all families."""
     threads = [(n * len(OBJECTS) + k, end, i, m, s, t.format(o=o)) for n, (_, *sides) in enumerate(PAIRS) for end, side in zip("ab", sides, strict=True) for k, o in enumerate(OBJECTS) for i, (m, s, t) in enumerate(side.messages)]
-    return _dealt(keys, threads, F.col("key") % N_PAIRS)
+    return _dealt(keys, threads, F.col("key") * 37 % N_PAIRS)
 
 
 def pair_rows(keys: DataFrame) -> DataFrame:
     """pair_id (the key), family, a_thread, b_thread."""
     families = F.array(*[F.lit(pair[0]) for pair in PAIRS for _ in OBJECTS])
     thread = lambda end: F.concat(F.lit("k-"), F.col("key").cast("string"), F.lit(f"-{end}"))
-    return keys.select(F.col("key").alias("pair_id"), F.get(families, (F.col("key") % N_PAIRS).cast("int")).alias("family"), thread("a").alias("a_thread"), thread("b").alias("b_thread"))
+    return keys.select(F.col("key").alias("pair_id"), F.get(families, (F.col("key") * 37 % N_PAIRS).cast("int")).alias("family"), thread("a").alias("a_thread"), thread("b").alias("b_thread"))
 
 
 def level_messages(keys: DataFrame) -> DataFrame:
