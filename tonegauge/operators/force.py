@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules
 from ..functions import text as T
+from ..functions.needed import hits_sql, needed
 from .surface import EVIDENCE, clamp, evidence, evidence_id
 
 _EOD_GAP = "|".join(f"{d}day[{T.SPACE}]{{0,{12 - len(d) - 3}}}" for d in "mon tues wednes thurs fri satur sun".split())
@@ -23,14 +24,11 @@ def clauses(text: Column, sentences: Column) -> Column:
 
 def collect(units: str, table: list[rules.Rule], scale: float) -> Column:
     """First match of each rule in each sentence of a column of clauses; idx keeps the order of collection."""
-    found = [
-        T.match_sql(
-            "u.clause", T.java(r.pattern, r.case), idx=f"i * 1000 + {r.ord}", start="u.start + {start}", end="u.start + {end}", raw=f"{r.weight}D",
-            value=f"{r.weight}D * {scale}D", subcategory=f"'{r.subcategory}'", sentence="i", at="{start}",
-        )
-        for r in table
-    ]
-    return F.expr(f"flatten(transform({units}, (u, i) -> filter(array({', '.join(found)}), m -> m IS NOT NULL)))")
+    rows = [(T.java(r.pattern, r.case), needed(r.pattern), {"ord": str(r.ord), "raw": f"{r.weight}D", "value": f"{r.weight}D * {scale}D", "subcategory": f"'{r.subcategory}'"}) for r in table]
+    found = hits_sql(
+        "u.clause", rows, idx="i * 1000 + {ord}", start="u.start + {start}", end="u.start + {end}", raw="{raw}", value="{value}", subcategory="{subcategory}", sentence="i", at="{start}",
+    )
+    return F.expr(f"flatten(transform({units}, (u, i) -> array_sort({found})))")
 
 
 _MATCH = "struct<idx:int,start:int,end:int,raw:double,value:double,subcategory:string,sentence:int,at:int>"
@@ -100,15 +98,9 @@ def temporal_winner(text: Column, units: str, local: Column, business_day_end: s
     """struct<neg, start, idx, end, subcategory, weight>: the highest rung, the earliest of it; null without one."""
     hour, minute, _ = dates.business_end(business_day_end)
 
-    rungs = []
-    for weight in sorted(rules.RUNG_OF_WEIGHT, reverse=True):
-        found = [
-            T.match_sql("u.clause", T.java(r.pattern, r.case), neg=f"{-weight}D", start="u.start + {start}", idx=str(r.ord), end="u.start + {end}", subcategory=f"'{r.subcategory}'")
-            for r in rules.TEMPORAL
-            if r.weight == weight
-        ]
-        rungs.append(f"array_min(array({', '.join(found)}))")
-    own = F.expr(f"transform({units}, u -> coalesce({', '.join(rungs)}))")
+    rows = [(T.java(r.pattern, r.case), needed(r.pattern), {"neg": f"{-r.weight}D", "ord": str(r.ord), "subcategory": f"'{r.subcategory}'"}) for r in rules.TEMPORAL]
+    found = hits_sql("u.clause", rows, neg="{neg}", start="u.start + {start}", idx="{ord}", end="u.start + {end}", subcategory="{subcategory}")
+    own = F.expr(f"transform({units}, u -> array_min({found}))")
 
     left = (dates.at_clock(dates.day_of(local), hour, minute) - local) / 3_600_000
     rung = F.when(left > 6, 3.0).when(left >= 2, 4.0).otherwise(5.0)

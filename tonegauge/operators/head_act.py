@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..functions.needed import hits_sql, needed
 
 
 def directness_sql(clause: str) -> str:
-    """SQL of struct<start, ord, end, level>: the variable's most direct match, the earliest of its level; null without one.
-
-    Levels are tried in order and the rest of the patterns is left alone once one has a match.
-    """
-    levels = []
-    for level, group in groupby(rules.DIRECTNESS, key=rules.level_of):
-        found = [T.match_sql(clause, T.java(r.pattern, r.case), start="{start}", ord=str(r.ord), end="{end}", level=str(level)) for r in group]
-        levels.append(f"array_min(array({', '.join(found)}))")
-    return f"coalesce({', '.join(levels)})"
+    """SQL of struct<level, start, ord, end>: the variable's most direct match, the earliest of its level; null without one."""
+    rows = [(T.java(r.pattern, r.case), needed(r.pattern), {"ord": str(r.ord), "level": str(rules.level_of(r))}) for r in rules.DIRECTNESS]
+    return f"array_min({hits_sql(clause, rows, level='{level}', start='{start}', ord='{ord}', end='{end}')})"
 
 
 def clauses(text: Column, sentences: Column) -> Column:

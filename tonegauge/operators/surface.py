@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..functions.needed import hits_sql, needed
 
 _MODIFIERS = [*rules.DOWNGRADERS, *rules.UPGRADERS]
 _SPAN = "struct<ord:int,start:int,end:int,raw:double,scale:double,category:string,subcategory:string>"
@@ -24,13 +25,14 @@ def caps_pattern() -> str:
 def modifiers(clause: str) -> Column:
     """All modifier rules that match a column, each with its first match, less those nested in a longer one
     (of equal spans the first rule stays); in rule order. Null for a null clause."""
-    found = []
+    rows = []
     for n, r in enumerate(_MODIFIERS):
         caps = r.subcategory == "emphatic_orthography" and "A-Z" in r.pattern
         pattern = caps_pattern() if caps else T.java(r.pattern, r.case)
-        about = {"raw": f"{r.weight}D", "scale": f"{rules.SCALE[r.category]}D", "category": f"'{r.category}'", "subcategory": f"'{r.subcategory}'"}
-        found.append(T.match_sql(clause, pattern, ord=str(n), start="{start}", end="{end}", **about))
-    every = F.expr(f"filter(array({', '.join(found)}), m -> m IS NOT NULL)")
+        about = {"ord": str(n), "raw": f"{r.weight}D", "scale": f"{rules.SCALE[r.category]}D", "category": f"'{r.category}'", "subcategory": f"'{r.subcategory}'"}
+        rows.append((pattern, () if caps else needed(r.pattern), about))
+    fields = ["ord", "start", "end", "raw", "scale", "category", "subcategory"]
+    every = F.array_sort(F.expr(hits_sql(clause, rows, **{f: f"{{{f}}}" for f in fields})))
 
     def outermost(all_: Column) -> Column:
         def nested(m: Column, k: Column) -> Column:

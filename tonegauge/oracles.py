@@ -7,6 +7,7 @@ deadlines, chains and bands are worked out here in SQL on its own terms.
 from __future__ import annotations
 
 from .functions import rules
+from .plans import labelled
 from .plans.report import PHRASES
 from .sources import corpus, pairs
 
@@ -94,12 +95,44 @@ _BASIC = f"WITH {MESSAGES}"
 _LEVEL_NAMES = ", ".join(f"({i + 1}, '{name}')" for i, name in enumerate(rules.LEVELS))
 
 
-def _rule_hits() -> str:
+def _safe_rules() -> str:
+    """Rules whose patterns DuckDB can read."""
     unsafe = ("(?!", "(?=", "(?<", "\\1")
     safe = [(name, r) for name, table in rules.TABLES.items() for r in table if not any(x in r.pattern for x in unsafe)]
     values = ",\n".join(f"('{name}', {r.ord}, {_text(r.pattern if r.case else '(?i)' + r.pattern)})" for name, r in safe)
+    return f"rule(lexicon, rule, pattern) AS (VALUES {values})"
+
+
+def _document_rule_hits() -> str:
+    said = corpus.examples()
+    example = lambda k: f"said[doc_id * {k} % {len(said)} + 1]"
+    return f"""WITH {_safe_rules()}, e AS (SELECT {_list(said)} AS said),
+d AS (SELECT {example(1)} || ' ' || coalesce(text, '') || ' ' || {example(7)} AS text FROM documents, e)
+SELECT lexicon, rule, count(*) AS documents FROM d JOIN rule ON regexp_matches(d.text, rule.pattern) GROUP BY lexicon, rule"""
+
+
+def _labelled_levels() -> str:
+    bounds = "[" + ", ".join(str(b) for b in labelled.poisson_bounds()) + "]"
+    cut = lambda name, low: f"list_sort(list({name}) FILTER (replicate > 0 AND {name} IS NOT NULL))[{{}}]".format(
+        f"count({name}) FILTER (replicate > 0) // 40 + 1" if low else f"count({name}) FILTER (replicate > 0) - count({name}) FILTER (replicate > 0) // 40"
+    )
+    shares = ", ".join(f"round({cut(name, low)}, 9) AS {name}_{'low' if low else 'high'}" for name in ("precision", "recall") for low in (True, False))
+    return f"""{_BASIC},
+l AS (SELECT thread_id || '-' || ord AS msg, level, CASE WHEN (CAST(substr(thread_id, 2) AS BIGINT) * 3 + ord) % 7 = 0 THEN (level + 1) % 8 ELSE level END AS label FROM m),
+w AS (
+  SELECT level, label, replicate, CASE WHEN replicate = 0 THEN 1 ELSE len(list_filter({bounds}, lambda b: CAST('0x' || substr(md5(msg || ':' || replicate), 1, {labelled.DIGITS}) AS BIGINT) >= b)) END AS w
+  FROM l, range({labelled.REPLICATES + 1}) AS r(replicate)
+),
+c AS (SELECT v.of AS of, replicate, sum(w * v.l) AS labelled, sum(w * v.f) AS found, sum(w * v.b) AS agreed
+  FROM (SELECT w, replicate, unnest([{{'of': label, 'l': 1, 'f': 0, 'b': CAST(level = label AS INTEGER)}}, {{'of': level, 'l': 0, 'f': 1, 'b': 0}}]) AS v FROM w) GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN found > 0 THEN agreed::DOUBLE / found END AS precision, CASE WHEN labelled > 0 THEN agreed::DOUBLE / labelled END AS recall FROM c)
+SELECT of AS level, CAST(max(labelled) FILTER (replicate = 0) AS BIGINT) AS labelled, CAST(max(found) FILTER (replicate = 0) AS BIGINT) AS found, CAST(max(agreed) FILTER (replicate = 0) AS BIGINT) AS agreed,
+  round(max(precision) FILTER (replicate = 0), 9) AS precision, round(max(recall) FILTER (replicate = 0), 9) AS recall, {shares} FROM s GROUP BY of"""
+
+
+def _rule_hits() -> str:
     said = corpus.examples()
-    return f"""{_BASIC}, rule(lexicon, rule, pattern) AS (VALUES {values}),
+    return f"""{_BASIC}, {_safe_rules()},
 x AS (
   SELECT text, sum(n) AS n FROM (
     SELECT text, count(*) AS n FROM m GROUP BY text UNION ALL SELECT {_list(said)}[event_id % {len(said)} + 1], count(*) FROM events GROUP BY 1
@@ -262,6 +295,8 @@ SELECT a.thread_id, a.ord AS earlier, b.ord AS later, round(len(list_intersect(a
 FROM x a JOIN x b ON a.thread_id = b.thread_id AND a.ord < b.ord AND a.sender = b.sender AND len(a.s) > 0 AND len(b.s) > 0
 WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) >= 0.3""",
     "rule_hits": _rule_hits(),
+    "document_rule_hits": _document_rule_hits(),
+    "labelled_levels": _labelled_levels(),
     "caps_hits": rf"""WITH x AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '\b[A-Z]{{3,}}\b'), lambda w: NOT list_contains({_list(rules.CAPS_EXCLUDED)}, w)) AS w FROM documents)
 SELECT doc_id, len(w) AS capitals FROM x WHERE len(w) > 0""",
     "intent_guard": f"WITH {_KEYS} SELECT key, v.* FROM keys JOIN (VALUES (0, NULL), (1, 'sender_intent'), (2, 'sender_intent'), (3, 'intended_as'), (4, NULL), (5, 'reader_unmodalized'), (6, 'reader_will'), (7, NULL)) AS v(sample, claim) ON sample = key % 8",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import dates, formats, rules
 from .functions import text as T
+from .functions.needed import hits_sql, needed
 from .operators import guard
-from .plans import mentions, report, score, selection, store
+from .plans import labelled, mentions, report, score, selection, store
 from .sources import adapters, corpus, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,6 +316,32 @@ def rule_hits_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rule_counts(spark, sf_dir, safe=False)
 
 
+def _in_documents(spark: SparkSession, sf_dir: str, safe: bool, indexed: bool = True) -> DataFrame:
+    """In how many documents each rule matches: their whole texts, between two examples dealt by doc_id. Rules are found
+    by the words they need, or (for tests) tried one by one."""
+    wanted = [(name, r) for name, table in rules.TABLES.items() for r in table if any(x in r.pattern for x in _RE2_UNSAFE) != safe]
+    rows = [(T.java(r.pattern, r.case), needed(r.pattern) if indexed else (), {"lexicon": f"'{name}'", "rule": str(r.ord)}) for name, r in wanted]
+    said = corpus.examples()
+    example = lambda k: F.get(F.expr(f"array({T.literals(said)})"), (F.col("doc_id") * k % len(said)).cast("int"))
+    d = _documents(spark, sf_dir).select(F.concat_ws(" ", example(1), "text", example(7)).alias("text"))
+    hits = d.select(F.explode(F.expr(hits_sql("text", rows, lexicon="{lexicon}", rule="{rule}"))).alias("h"))
+    return hits.groupBy(F.col("h.lexicon").alias("lexicon"), F.col("h.rule").alias("rule")).agg(F.count("*").alias("documents"))
+
+
+def document_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules without look-around or back-reference in documents."""
+    return _in_documents(spark, sf_dir, safe=True)
+
+
+def labelled_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels found in conversations against labels: the templates' own, with every seventh place labelled the next level."""
+    m = _messages(spark, sf_dir)
+    own = F.get(F.array(*[F.lit(t.level) for t in corpus.TEMPLATES]), F.col("template"))
+    labels = m.select("msg_id", F.when((F.col("conv_id") * 3 + F.col("ord")) % 7 == 0, (own + 1) % 8).otherwise(own).alias("label"))
+    found = labelled.level_metrics(score.result(score.stages(m, corpus.DAY_END)), labels)
+    return found.select("level", "labelled", "found", "agreed", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "precision_low", "precision_high", "recall_low", "recall_high")])
+
+
 def caps_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of three and more capitals in documents, but for the excluded tokens."""
     d = _documents(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit(f"({T.BORDER}[A-Z]{{3,}}{T.BORDER})"), F.lit(1)).alias("w"))
@@ -376,7 +403,7 @@ def editor_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, text_mentions, masked_text, surface_evidence, evidence_overlay, document_overlay, partition_overlap,
-    release_metrics, pair_checks, gap_direction, level_order, event_dedupe, determinism, release_report, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, rule_hits_around, caps_hits, reduplication_hits,
-    intent_guard, value_medians, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
+    release_metrics, pair_checks, gap_direction, level_order, event_dedupe, determinism, release_report, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, rule_hits_around, document_rule_hits, caps_hits, reduplication_hits,
+    intent_guard, labelled_levels, value_medians, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
