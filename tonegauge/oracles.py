@@ -294,6 +294,7 @@ SELECT conv_id, turn, len(p) AS segments, list_max(list_transform(p, lambda x: l
 SELECT a.thread_id, a.ord AS earlier, b.ord AS later, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard
 FROM x a JOIN x b ON a.thread_id = b.thread_id AND a.ord < b.ord AND a.sender = b.sender AND len(a.s) > 0 AND len(b.s) > 0
 WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) >= 0.3""",
+    "fixture_round_trip": f"SELECT item_id, {_list([*pairs.SURFACE_FAMILIES, *pairs.FORCE_FAMILIES])}[item_id % 6 + 1] AS family, text FROM benchmark",
     "rule_hits": _rule_hits(),
     "document_rule_hits": _document_rule_hits(),
     "labelled_levels": _labelled_levels(),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +14,7 @@ from .functions import text as T
 from .functions.needed import hits_sql, needed
 from .operators import guard
 from .plans import labelled, mentions, report, score, selection, store
-from .sources import adapters, corpus, pairs
+from .sources import adapters, corpus, fixtures, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -401,9 +402,22 @@ def editor_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.from_editor(rows, "conv_id").select("thread_id", "ord", "sender_id", F.size("recipient_ids").alias("recipients"), "ts")
 
 
+def fixture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark rows, each of a family dealt by its id, written as fenced blocks, read, written as JSON lines and read."""
+    families = [*pairs.SURFACE_FAMILIES, *pairs.FORCE_FAMILIES]
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.get(F.array(*[F.lit(f) for f in families]), (F.col("item_id") % len(families)).cast("int")).alias("family"), "text")
+    rows = d.count()
+    for form in fixtures.FORMS:
+        path = f"{store.shared_folder(spark)}/fixtures-{uuid.uuid4().hex}"
+        fixtures.write(d, path, "item_id", "family", form, "Benchmark", rows, dict.fromkeys(families))
+        store.swept(spark, path)
+        d = fixtures.read(spark, path, "item_id long, family string, text string")
+    return d
+
+
 _ALL = (
     thread_report, force_components, band_distribution, head_act_levels, suppression_counts, widest_gap, mention_chain, text_mentions, masked_text, surface_evidence, evidence_overlay, document_overlay, partition_overlap,
     release_metrics, pair_checks, gap_direction, level_order, event_dedupe, determinism, release_report, formatted_report, volume_bands, sentences, local_segments, event_units, quoted_spans, signature_tokens, same_request_pairs, rule_hits, rule_hits_around, document_rule_hits, caps_hits, reduplication_hits,
-    intent_guard, labelled_levels, value_medians, proximity_bonus, gap_bands, deadline_resolution, editor_threads,
+    intent_guard, labelled_levels, value_medians, proximity_bonus, gap_bands, deadline_resolution, editor_threads, fixture_round_trip,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
