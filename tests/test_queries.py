@@ -23,3 +23,12 @@ def test_release_metrics_hold(spark, sf):
 def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["deadline_resolution", "text_mentions"])
+def test_times_do_not_depend_on_the_sessions_zone(spark, sf, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert_same(QUERIES[name](spark, sf), sf, ORACLE_SQL[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
