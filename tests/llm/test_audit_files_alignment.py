@@ -241,3 +241,16 @@ def test_alignment_never_deals_a_block_out(spark, sf):
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert all("block" not in line for line in known.split("\n") if "Exchange hashpartitioning" in line)
     assert spark.conf.get(alignment.ALL_KEYS) == "true"
+
+
+def test_alignment_holds_one_block_at_a_time(spark, sf, monkeypatch):
+    plans = []
+    for name in ("bucketed", "stored"):
+        def kept(df, *args, write=getattr(alignment, name)):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, *args)
+
+        monkeypatch.setattr(alignment, name, kept)
+    assert alignment.align(spark.read.parquet(f"{sf}/documents.parquet"), A, B, block_bytes=20_000).count() > 0
+    assert len(plans) == 4
+    assert not any("ObjectHashAggregate" in plan for plan in plans)  # it holds the lists of up to 128 blocks
