@@ -64,3 +64,11 @@ def test_planted_wrong_labels_show(spark):
 def test_weights_are_poisson_numbers(spark):
     w = [r[0] for r in spark.range(20_000).select(labelled._weight(F.col("id").cast("string"), F.lit(3))).collect()]
     assert abs(sum(w) / len(w) - 1) < 0.03 and abs(w.count(0) / len(w) - math.exp(-1)) < 0.02 and max(w) < 10
+
+
+def test_matches_are_not_looked_for_again_without_bounds(spark, sf):
+    from tonegauge.queries import QUERIES
+
+    assert "regexp_instr" not in hits_sql("text", [("send", ("send",), {"n": "1"})], n="{n}")
+    plan = QUERIES["document_rule_hits"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_instr" not in plan and "REPARTITION_BY_NUM" in plan  # texts are dealt out before their patterns are tried

@@ -56,7 +56,9 @@ def hits_sql(var: str, rows: list[tuple[str, tuple[str, ...], dict[str, str]]],
     held = lambda own: ", ".join(f"'{name}', {value}" for name, value in own.items())
     table = [f"named_struct('p', r\"{p}\", 'w', array({literals(list(words))}), {held(own)})" for p, words, own in rows if words]
     tried = f"filter(array({', '.join(table)}), _r -> exists(_r.w, _w -> contains(_l, _w)) AND {var} RLIKE _r.p)"
-    placed = f"transform({tried}, _r -> named_struct('r', _r, 's', regexp_instr({var}, _r.p) - 1, 'n', length(regexp_extract({var}, _r.p, 0))))"
+    bounds = any("{start}" in v or "{end}" in v for v in fields.values())  # else a match need not be looked for again
+    places = f", 's', regexp_instr({var}, _r.p) - 1, 'n', length(regexp_extract({var}, _r.p, 0))" if bounds else ""
+    placed = f"transform({tried}, _r -> named_struct('r', _r{places}))"
     constants = {k: f"_h.r.{k}" for k in rows[0][2]}
     built = ", ".join(f"'{f}', {v.format(start='_h.s', end='(_h.s + _h.n)', **constants)}" for f, v in fields.items())
     found = f"element_at(transform(array(lower({var})), _l -> transform({placed}, _h -> named_struct({built}))), 1)" if table else ""
