@@ -32,3 +32,12 @@ def test_times_do_not_depend_on_the_sessions_zone(spark, sf, name):
         assert_same(QUERIES[name](spark, sf), sf, ORACLE_SQL[name])
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_overlay_deals_documents_out(spark, sf, monkeypatch):
+    from tonegauge.plans import store
+
+    plans, write = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    assert QUERIES["document_overlay"](spark, sf).count() > 0
+    assert "REPARTITION_BY_NUM" in plans[0]  # before their words are looked for
