@@ -41,3 +41,8 @@ def test_overlay_deals_documents_out(spark, sf, monkeypatch):
     monkeypatch.setattr(store, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
     assert QUERIES["document_overlay"](spark, sf).count() > 0
     assert "REPARTITION_BY_NUM" in plans[0]  # before their words are looked for
+
+
+def test_words_of_texts_are_found_once(spark, sf):
+    plan = QUERIES["text_mentions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "words" in plan and "regexp" not in plan and "split(" not in plan  # not for each event that says them
