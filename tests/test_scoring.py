@@ -48,6 +48,24 @@ def test_numeric_goldens(spark):
     assert r.confidence.value == pytest.approx(0.95)
 
 
+def test_a_text_is_scored_once_however_often_it_is_said(spark, monkeypatch):
+    from tonegauge.plans import score
+
+    texts = ["Can you send the file today? We're blocked on it.", "Review the deck.", "🎉 Could you look at \"the plan\"?", "The numbers look fine.", "", None]
+    times = [MONDAY, "2026-08-17T15:30:00-04:00", "2026-08-17T18:30:00Z", None]
+    rows = [(f"t{i}.{k}.{n}", 0, f"m{i}.{k}.{n}", "A", to, ts, t) for i, t in enumerate(texts) for k, ts in enumerate(times) for n, to in enumerate((["B"], [], None))]
+    tables, write = [], score.stored
+    monkeypatch.setattr(score, "stored", lambda df: tables.append(write(df)) or tables[-1])
+    got = {r.msg_id: r for r in score_threads(spark.createDataFrame(rows, MESSAGES), "17:00").collect()}
+    assert [t.count() for t in tables] == [10]  # five texts, addressed and not
+    assert len(got) == len(rows)
+    assert [[e.raw_weight for e in got[f"m0.{k}.0"].force_evidence if e.subcategory == "today.dynamic"] for k in range(3)] == [[3.0], [5.0], [5.0]]
+    assert {r.suppressed for m, r in got.items() if m[1] in "012"} == {None, "unresolved_addressee"} and got["m2.0.0"].surface_evidence[0].trigger == "Could you"
+    assert all(e.id.startswith(f"{m}:") and e.event_id.startswith(f"{m}:") and e.message_id == m for m, r in got.items() for e in [*r.surface_evidence, *r.force_evidence])
+    monkeypatch.setattr(score, "BROADCAST_CHARS", -1)  # many texts
+    assert {r.msg_id: r for r in score_threads(spark.createDataFrame(rows, MESSAGES), "17:00").collect()} == got
+
+
 def test_bounds_rescale_the_trace(spark):
     soft, hard = scored(spark, ["Could you maybe possibly just please look at the plan, if possible, no rush, no pressure?", "Send the report ASAP!! Otherwise we'll escalate; the client is waiting. Following up. We're blocked on it."])
     assert soft.surface == pytest.approx(0.5) and all(e.capped for e in soft.surface_evidence[1:])

@@ -31,8 +31,8 @@ def restated(earlier: Column) -> Column:
     return F.when(earlier >= 3, more).when(earlier == 2, third).when(earlier == 1, second).otherwise(0.0)
 
 
-def escalation(message: Column, masked: Column, units: str, spot: Column, clause_start: Column, clause_end: Column, earlier: Column, accelerating: Column, unanswered: Column) -> Column:
-    """Evidence rows of one event; their sum is bounded, and a bound shrinks all of them."""
+def escalation(message: Column, masked: Column, found: Column, spot: Column, clause_start: Column, clause_end: Column, earlier: Column, accelerating: Column, unanswered: Column) -> Column:
+    """Evidence rows of one event; their sum is bounded, and a bound shrinks all of them. found: the follow-up wording."""
     part = "array<struct<category:string,subcategory:string,value:double,start:int,end:int,raw:double,capped:boolean>>"
     none = F.array().cast(part)
 
@@ -47,7 +47,7 @@ def escalation(message: Column, masked: Column, units: str, spot: Column, clause
         return F.when(holds & spot.isNotNull(), one("escalation", subcategory, value, spot["start"], spot["end"], value, F.lit(False))).otherwise(none)
 
     wording = T.let(
-        follow_up(units),
+        found,
         lambda f: F.when(
             f.isNotNull(),
             one("dependency", "follow_up", F.least(F.lit(rules.FOLLOW_UP_CAP), -f["neg"]), f["start"], f["end"], f["raw"], -f["neg"] > rules.FOLLOW_UP_CAP + rules.EPSILON),

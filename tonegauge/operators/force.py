@@ -94,26 +94,25 @@ def _component(message: Column, text: Column, units: Column, matches: Column, ca
     return F.when(F.size(matches) > 0, rows).otherwise(F.array().cast(EVIDENCE))
 
 
-def temporal_winner(text: Column, units: str, local: Column, business_day_end: str | None) -> Column:
-    """struct<neg, start, idx, end, subcategory, weight>: the highest rung, the earliest of it; null without one."""
-    hour, minute, _ = dates.business_end(business_day_end)
-
+def temporal_candidates(text: Column, units: str) -> Column:
+    """struct<own, today, end>: of the rules the highest rung, the earliest of it (null without one), and the first phrases
+    whose rung goes by the hours left of the day."""
     rows = [(T.java(r.pattern, r.case), needed(r.pattern), {"neg": f"{-r.weight}D", "ord": str(r.ord), "subcategory": f"'{r.subcategory}'"}) for r in rules.TEMPORAL]
     found = hits_sql("u.clause", rows, neg="{neg}", start="u.start + {start}", idx="{ord}", end="u.start + {end}", subcategory="{subcategory}")
-    own = F.expr(f"transform({units}, u -> array_min({found}))")
+    own = F.array_min(F.expr(f"transform({units}, u -> array_min({found}))"))
+    return F.struct(own.alias("own"), T.first_match(text, _TODAY).alias("today"), T.first_match(text, _EOD).alias("end"))
+
 
+def temporal_winner(due: Column, local: Column, business_day_end: str | None) -> Column:
+    """struct<neg, start, idx, end, subcategory>: the highest rung, the earliest of it; null without one."""
+    hour, minute, _ = dates.business_end(business_day_end)
     left = (dates.at_clock(dates.day_of(local), hour, minute) - local) / 3_600_000
     rung = F.when(left > 6, 3.0).when(left >= 2, 4.0).otherwise(5.0)
 
-    def dynamic(pattern: str, subcategory: str, idx: int) -> Column:
-        return T.let(
-            T.first_match(text, pattern),
-            lambda m: F.when(
-                m.isNotNull(), F.struct((-rung).alias("neg"), m["start"].alias("start"), F.lit(idx).alias("idx"), m["end"].alias("end"), F.lit(subcategory).alias("subcategory"))
-            ),
-        )
+    def dynamic(m: Column, subcategory: str, idx: int) -> Column:
+        return F.when(m.isNotNull(), F.struct((-rung).alias("neg"), m["start"].alias("start"), F.lit(idx).alias("idx"), m["end"].alias("end"), F.lit(subcategory).alias("subcategory")))
 
-    return F.array_min(F.concat(own, F.array(dynamic(_TODAY, "today.dynamic", 1000), dynamic(_EOD, "eod_cob.dynamic", 1001))))
+    return F.array_min(F.array(due["own"], dynamic(due["today"], "today.dynamic", 1000), dynamic(due["end"], "eod_cob.dynamic", 1001)))
 
 
 def temporal(message: Column, text: Column, winner: Column, local: Column, offset: Column, business_day_end: str | None) -> Column:

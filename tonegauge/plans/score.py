@@ -1,10 +1,12 @@
 """Scores of every message of every thread.
 
-Everything up to the masked text depends on a message alone, in expressions
-without a shuffle. Messages are dealt out before it, since splits of a file go by
-bytes and the work goes by messages. Repetition looks at earlier messages of the
-thread (``mentions``): rows are written to a table, and small records of them (sender,
-signature, whether something is done, time) meet in windows and joins.
+Head act, surface, masked text and what force finds in it depend on a text alone, and
+on whether it is addressed to anybody. They are worked out once for each text
+(``of_texts``), in expressions without a shuffle, however many messages say it; texts
+are dealt out before it. Their table is joined twice: messages take a text's number,
+signature and completion, and after repetition (``mentions``: rows are written to a
+table, and small records of them, sender, signature, whether something is done, time,
+meet in windows and joins) what is left: deadlines at the message's time, sums, ids.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from ..functions import text as T
 from ..operators import confidence as C
 from ..operators import escalation, force, head_act, surface
 from . import mentions as M
+from .store import stored
+
+#: Characters of texts, each counted with so many more for its rows, up to which their table is broadcast; beyond, joins shuffle.
+BROADCAST_CHARS, ROWS_CHARS = 8_000_000, 2_000
 
 MESSAGES = "thread_id string, ord long, msg_id string, sender_id string, recipient_ids array<string>, ts string, text string"
 
@@ -27,16 +33,23 @@ def _settled(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
-def prepared(messages: DataFrame) -> DataFrame:
+def _parts(d: DataFrame) -> int:
+    return int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def defined(messages: DataFrame) -> DataFrame:
     """The columns the plan reads, nulls defined: a null text is empty, null recipients are nobody."""
-    text = F.coalesce("text", F.lit(""))
-    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return messages.repartition(parts, "thread_id", "ord").select(
+    return messages.select(
         "thread_id", F.col("ord").cast("long").alias("ord"), "msg_id", F.coalesce("sender_id", F.lit("")).alias("sender_id"),
-        F.coalesce("recipient_ids", F.array().cast("array<string>")).alias("recipient_ids"), "ts", text.alias("text"), T.stable(text).alias("stable"),
+        F.coalesce("recipient_ids", F.array().cast("array<string>")).alias("recipient_ids"), "ts", F.coalesce("text", F.lit("")).alias("text"),
     )
 
 
+def prepared(messages: DataFrame) -> DataFrame:
+    """Defined messages, dealt out, with the stable form of their texts."""
+    return defined(messages.repartition(_parts(messages), "thread_id", "ord")).withColumn("stable", T.stable(F.col("text")))
+
+
 def with_head_act(messages: DataFrame) -> DataFrame:
     """Adds sentences, head (struct or null) and suppressed (why a message has no scores)."""
     found = messages.withColumn("sentences", T.sentences(F.col("stable"))).withColumn("clauses", head_act.clauses(F.col("stable"), F.col("sentences")))
@@ -66,7 +79,7 @@ def with_surface(found: DataFrame) -> DataFrame:
 
 
 def with_mask(scored: DataFrame) -> DataFrame:
-    """Adds masked (surface evidence and closed quotations blanked), signature, completion and instants.
+    """Adds masked (surface evidence and closed quotations blanked), signature and completion.
 
     This is the border between the sides: what follows may use the masked text only.
     """
@@ -74,32 +87,73 @@ def with_mask(scored: DataFrame) -> DataFrame:
     head = F.col("head")
     words = F.when(F.col("suppressed").isNull(), T.signature(T.piece(F.col("stable"), head["start"], head["end"]))).otherwise(F.array().cast("array<string>"))
     d = scored.withColumn("masked", T.blank(F.col("stable"), spans)).withColumn("signature", words)
-    return d.withColumn("completion", T.has_completion(F.col("masked"))).withColumn("ms", dates.epoch_ms(F.col("ts"))).withColumn("offset", dates.offset_minutes(F.col("ts")))
+    return d.withColumn("completion", T.has_completion(F.col("masked")))
 
 
-def with_force(masked: DataFrame, business_day_end: str | None) -> DataFrame:
-    """Adds force and force_evidence to messages that are scored."""
+def with_reasons(masked: DataFrame) -> DataFrame:
+    """Adds what force finds in the masked texts that are scored, whenever they were sent: due (deadline phrases),
+    consequence and dependency (evidence), follow_up, spot."""
     scored = F.col("suppressed").isNull()
     text, message, head = F.col("masked"), F.col("msg_id"), F.col("head")
-    local = F.col("ms") + F.col("offset").cast("long") * dates.MINUTE
+    none = F.array().cast(surface.EVIDENCE)
     d = masked.withColumn("units", F.when(scored, force.clauses(text, T.sentences(text))))
-    d = d.withColumn("deadline", F.when(scored, force.temporal_winner(text, "units", local, business_day_end)))
+    d = d.withColumn("due", F.when(scored, force.temporal_candidates(text, "units"))).withColumn("spot", F.when(scored, escalation.anchor(text, head["start"], head["end"])))
+    d = d.withColumn("follow_up", F.when(scored, escalation.follow_up("units")))
+    d = d.withColumn("consequence", F.when(scored, force.consequence(message, text, "units", head["start"], head["end"])).otherwise(none))
+    return d.withColumn("dependency", F.when(scored, force.dependency(message, text, "units")).otherwise(none)).drop("units", "sentences")
+
+
+def of_texts(messages: DataFrame) -> DataFrame:
+    """text, addressed, number, and all that is the same for every message with the text, in a table: evidence as of a
+    message whose id is empty."""
+    each = messages.select("text", (F.size("recipient_ids") > 0).alias("addressed")).distinct().repartition(_parts(messages), "text")
+    somebody = F.when(F.col("addressed"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    d = each.select("text", "addressed", F.lit("").alias("msg_id"), somebody.alias("recipient_ids"), T.stable(F.col("text")).alias("stable"))
+    d = with_reasons(with_mask(with_surface(with_head_act(d)))).drop("msg_id", "recipient_ids", "stable", "contributions", "base")
+    return stored(d.withColumn("number", F.monotonically_increasing_id()))
+
+
+def _meet(rows: DataFrame, texts: DataFrame, few: bool, *keys: str) -> DataFrame:
+    return rows.join(F.broadcast(texts) if few else texts.hint("merge"), list(keys))
+
+
+def _of_message(rows: str) -> Column:
+    """A text's evidence with the message's id."""
+    own = lambda e, name: F.concat("msg_id", e[name])
+    return F.transform(rows, lambda e: e.withField("id", own(e, "id")).withField("event_id", own(e, "event_id")).withField("message_id", F.col("msg_id")))
+
+
+def with_force(found: DataFrame, business_day_end: str | None) -> DataFrame:
+    """Adds force and force_evidence to messages that are scored."""
+    scored = F.col("suppressed").isNull()
+    text, head, message = F.col("masked"), F.col("head"), F.lit("")
+    local = F.col("ms") + F.col("offset").cast("long") * dates.MINUTE
+    d = found.withColumn("deadline", F.when(scored, force.temporal_winner(F.col("due"), local, business_day_end)))
     d = d.withColumn("unanswered", M.unanswered(F.col("earlier"), F.col("last_ms"), F.col("reply_ms"))).withColumn("accelerating", M.accelerating(F.col("earlier"), F.col("ms"), F.col("last_ms"), F.col("before_ms")))
-    d = d.withColumn("spot", F.when(scored, escalation.anchor(text, head["start"], head["end"])))
     parts = [
         force.temporal(message, text, F.col("deadline"), local, F.col("offset"), business_day_end),
-        force.consequence(message, text, "units", head["start"], head["end"]),
-        force.dependency(message, text, "units"),
-        escalation.escalation(message, text, "units", F.col("spot"), head["start"], head["end"], F.col("earlier"), F.col("accelerating"), F.col("unanswered")),
+        F.col("consequence"),
+        F.col("dependency"),
+        escalation.escalation(message, text, F.col("follow_up"), F.col("spot"), head["start"], head["end"], F.col("earlier"), F.col("accelerating"), F.col("unanswered")),
     ]
     d = d.withColumn("_parts", F.when(scored, F.concat(*parts))).withColumn("_force", F.when(scored, force.force_score(F.col("_parts"))))
-    rows = F.coalesce(F.col("_force")["evidence"], F.array().cast(surface.EVIDENCE))
-    return d.withColumn("force", F.col("_force")["force"]).withColumn("force_evidence", _settled(rows)).drop("_parts", "_force")
+    d = d.withColumn("force", F.col("_force")["force"]).withColumn("_rows", F.coalesce(F.col("_force")["evidence"], F.array().cast(surface.EVIDENCE)))
+    return d.withColumn("force_evidence", _settled(_of_message("_rows"))).withColumn("surface_evidence", _settled(_of_message("surface_evidence"))).drop("_parts", "_force", "_rows")
+
+
+def repeated(messages: DataFrame) -> DataFrame:
+    """Messages with all that is known of their texts, their instants and earlier mentions."""
+    d = defined(messages).withColumn("addressed", F.size("recipient_ids") > 0)
+    texts = of_texts(d)
+    few = texts.agg(F.coalesce(F.sum(F.length("text") + ROWS_CHARS), F.lit(0))).first()[0] <= BROADCAST_CHARS
+    said = _meet(d, texts.select("text", "addressed", "number", "signature", "completion"), few, "text", "addressed")
+    said = said.drop("text", "addressed").withColumn("ms", dates.epoch_ms(F.col("ts"))).withColumn("offset", dates.offset_minutes(F.col("ts")))
+    return _meet(M.with_mentions(said), texts.drop("addressed", "signature", "completion"), few, "number")
 
 
 def stages(messages: DataFrame, business_day_end: str | None = None) -> DataFrame:
     """All intermediate columns."""
-    return with_force(M.with_mentions(with_mask(with_surface(with_head_act(prepared(messages))))), business_day_end)
+    return with_force(repeated(messages), business_day_end)
 
 
 def result(d: DataFrame) -> DataFrame:
