@@ -55,6 +55,22 @@ def test_appends_and_edits_keep_the_table_exact():
         assert piece.ids() == enc.encode_piece(piece.piece)
 
 
+def test_no_token_is_looked_for_beyond_the_longest_with_its_end():
+    import copy
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *a):
+            self.looked += 1
+            return super().get(*a)
+
+    enc = copy.copy(bpe.encoder(RANKS, PATTERN))
+    enc.ranks = Counted(enc.ranks)
+    piece = b"zqxvjkwpzqxvjkwpzqxvjkwp"
+    assert enc._table(piece) == bpe.encoder(RANKS, PATTERN)._table(piece) and enc.ranks.looked <= 4 * len(piece)
+
+
 def test_digests(docs, library, texts):
     got = {r.doc_id: r for r in bpe.encode_decode_digests(docs, RANKS, PATTERN).collect()}
     for i, t in [*enumerate(texts), (9000, ""), (None, "no id")]:

@@ -30,6 +30,8 @@ from ._common import id_text, no_cycles, record_batch
 MEMO_PIECES = 400_000
 #: Pairs of tokens whose compatibility a worker keeps.
 MEMO_PAIRS = 500_000
+#: Bytes at a token's end by which the longest token with this end is known.
+TAIL = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,6 +46,10 @@ class PrefixEncoder:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.reach: dict[bytes, int] = {}
+        for t in ranks:
+            if len(t) >= TAIL:
+                self.reach[t[-TAIL:]] = max(len(t), self.reach.get(t[-TAIL:], 0))
         self.pieces = regex.compile(pattern)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -93,10 +99,11 @@ class PrefixEncoder:
     def _table(self, piece: bytes, below: int | None = None, last: list | None = None) -> list:
         """last[n]: the last token of the encoding of piece[:n]; extends the table given."""
         last = [None] if last is None else last
-        rank, longest, pairs = self.ranks.get, self.longest, self._pairs
+        rank, reach, pairs = self.ranks.get, self.reach.get, self._pairs
         for end in range(len(last), len(piece) + 1):
             found = None
-            for start in range(end - longest if end > longest else 0, end):
+            start = end - reach(piece[end - TAIL : end], TAIL - 1) if end > TAIL else 0  # what begins before is no token
+            for start in range(start if start > 0 else 0, end):
                 token = rank(piece[start:end])
                 if token is None or below is not None and token >= below:
                     continue

@@ -39,8 +39,9 @@ class TokenTree:
         self.enc, self.text = enc, text
         self.touched = 0
         chars, tokens = self._measure(enc.pieces.findall(text))
-        self.leaves = [(chars[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(chars), LEAF)]
-        self._sum_up()
+        starts = range(0, len(chars), LEAF)
+        self.leaves = [(chars[i : i + LEAF], tokens[i : i + LEAF]) for i in starts]
+        self._sum_up(np.add.reduceat(np.stack([chars, tokens], axis=1), starts, axis=0) if len(chars) else np.zeros((0, 2), np.int64))
 
     def _measure(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = list(map(self.enc.memo.get, pieces))
@@ -49,9 +50,8 @@ class TokenTree:
         n = len(pieces)
         return np.fromiter(map(len, pieces), np.int64, n), np.fromiter(map(len, sizes), np.int64, n) >> 2
 
-    def _sum_up(self) -> None:
+    def _sum_up(self, level: np.ndarray) -> None:
         """All levels: level 0 is a row of (characters, tokens) per leaf, the last one has a single node."""
-        level = np.array([(c.sum(), t.sum()) for c, t in self.leaves], dtype=np.int64).reshape(-1, 2)
         self.levels = [level]
         while len(level) > 1:
             level = np.add.reduceat(level, np.arange(0, len(level), FAN), axis=0)
@@ -134,11 +134,7 @@ class TokenTree:
     def _splice(self, first: int, last: int, new: list) -> None:
         """More or fewer leaves: their own sums are made, the levels above are added up from kept sums."""
         sums = np.array([(c.sum(), t.sum()) for c, t in new], dtype=np.int64).reshape(-1, 2)
-        level = np.concatenate([self.levels[0][:first], sums, self.levels[0][last + 1 :]])
-        self.levels = [level]
-        while len(level) > 1:
-            level = np.add.reduceat(level, np.arange(0, len(level), FAN), axis=0)
-            self.levels.append(level)
+        self._sum_up(np.concatenate([self.levels[0][:first], sums, self.levels[0][last + 1 :]]))
 
 
 #: (start, end, replacement) from a text: what an editor log would bring.
