@@ -254,3 +254,51 @@ def test_alignment_holds_one_block_at_a_time(spark, sf, monkeypatch):
     assert alignment.align(spark.read.parquet(f"{sf}/documents.parquet"), A, B, block_bytes=20_000).count() > 0
     assert len(plans) == 4
     assert not any("ObjectHashAggregate" in plan for plan in plans)  # it holds the lists of up to 128 blocks
+
+
+def test_alignment_reads_few_rows_at_a_time_and_collects_chunks_only(spark, sf, monkeypatch):
+    scans, plans = [], []
+    for name in ("bucketed", "stored"):
+        def kept(df, *args, write=getattr(alignment, name)):
+            scans.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, *args)
+
+        monkeypatch.setattr(alignment, name, kept)
+    alignment.align(spark.read.parquet(f"{sf}/documents.parquet"), A, B, block_bytes=20_000, heavy=10)
+    assert max(scans[1:]) < 100 < scans[0] == int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))  # 4096 rows would be all blocks of a bucket
+    lists = [line for line in "".join(plans).split("\n") if "collect_list" in line]
+    assert lists and all("chunk" in line for line in lists)
+
+
+def test_alignment_words_encoded_as_one_text():
+    two = alignment.TwoTokenizers(A, B)
+    rng = np.random.default_rng(1)
+    letters = list("abc'sDt1.,!éß中▁\t\n ") + ["<s>", "<|endoftext|>", "\x1c", "　", "́"]
+    texts = [*filter(None, ODD), *["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(400)], "new\nlines and words", "a \nb", "a\n b", " a b", "a b "]
+    assert all(two.words(t) == re.split(r"(?<=\S) ", t) for t in texts)
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, batch, library=two.a, **how):
+            given.append(len(batch))
+            return library.encode_batch_fast(batch, **how)
+
+    words = sorted({w for t in texts for w in two.words(t)})
+    alone = [e.ids for e in two.a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+    two.a = Counting()
+    for kind in (False, True):  # after white space a space is no border: a word that ends in it, or is empty, ends a text
+        some = [k for k, w in enumerate(words) if kind or (w and not w[-1].isspace())]
+        (ids, counts), (_, more) = two.encode([words[k] for k in some])
+        assert ids.tolist() == [i for k in some for i in alone[k]] and counts.tolist() == [len(alone[k]) for k in some] and len(more) == len(some)
+    closed = sum(bool(w) and not w[-1].isspace() for w in words)
+    assert len(given) == 2 and given[0] == -(-closed // alignment.JOINED) and given[1] <= given[0] + len(words) - closed + 1 < len(words)
+
+
+def test_alignment_block_ends_by_distinct_words(monkeypatch):
+    block = alignment._Block(alignment.TwoTokenizers(A, B), 0)
+    monkeypatch.setattr(alignment, "WORDS", 3)
+    block.add([1], ["a b a b"])
+    assert not block.full(1000)
+    block.add([2], ["c"])
+    assert block.full(1000)

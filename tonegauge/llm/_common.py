@@ -121,6 +121,13 @@ def pieces(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int,
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """This process's free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """The same function over batches, after which a worker that lives on gives its free memory back."""
 
@@ -128,9 +135,7 @@ def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return tidied
 
