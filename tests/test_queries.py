@@ -1,7 +1,8 @@
+import duckdb
 import pytest
 
 import __spark_entry__ as e
-from tests.helpers import assert_same
+from tests.helpers import TABLES, assert_same
 from tonegauge.oracles import ORACLE_SQL
 from tonegauge.queries import QUERIES
 
@@ -46,3 +47,15 @@ def test_overlay_deals_documents_out(spark, sf, monkeypatch):
 def test_words_of_texts_are_found_once(spark, sf):
     plan = QUERIES["text_mentions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "words" in plan and "regexp" not in plan and "split(" not in plan  # not for each event that says them
+
+
+@pytest.mark.parametrize("kind", ["TIMESTAMP", "TIMESTAMPTZ"])
+def test_deadlines_of_times_near_the_next_minute(spark, sf, tmp_path, kind):
+    """Half a millisecond before a minute is that minute for epoch_ms, and a negative id's phrase counts from the end."""
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    times = [f"2024-01-{d} {clock}" for d in ("05", "15", "31") for clock in ("11:59:59.9995", "16:59:59.999499", "17:00:59.999999", "23:59:59.9996", "12:00:00.000499")]
+    rows = ", ".join(f"(({n} - 9) * 18 + {k} + 1, {kind} '{t}{'+00' if kind == 'TIMESTAMPTZ' else ''}')" for n, t in enumerate([*times, *times]) for k in range(18))
+    duckdb.sql(f"COPY (SELECT CAST(v.event_id AS BIGINT) AS event_id, v.ts FROM (VALUES {rows}, (999, NULL)) AS v(event_id, ts)) TO '{tmp_path}/events.parquet'")
+    assert_same(QUERIES["deadline_resolution"](spark, str(tmp_path)), str(tmp_path), ORACLE_SQL["deadline_resolution"])
