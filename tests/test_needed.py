@@ -3,11 +3,12 @@
 import math
 import re
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tonegauge import queries
-from tonegauge.functions import rules
+from tonegauge.functions import automata, rules
 from tonegauge.functions.needed import hits_sql, needed
 from tonegauge.plans import labelled
 from tonegauge.sources import corpus
@@ -72,3 +73,25 @@ def test_matches_are_not_looked_for_again_without_bounds(spark, sf):
     assert "regexp_instr" not in hits_sql("text", [("send", ("send",), {"n": "1"})], n="{n}")
     plan = QUERIES["document_rule_hits"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_instr" not in plan and "REPARTITION_BY_NUM" in plan  # texts are dealt out before their patterns are tried
+
+
+def test_automata_count_odd_texts_as_patterns_tried_one_by_one(spark, tmp_path):
+    said = corpus.examples()
+    forms = [str.upper, lambda s: s.replace(" ", "\u00a0"), lambda s: s.replace(" ", "\u2003\t"), lambda s: s.replace("s", "\u017f"), lambda s: s.replace("k", "\u212a"), lambda s: s.replace(" ", "\u2028"), lambda s: f"{s}\n", lambda s: f"\n{s}\u0130", lambda s: f"x{s}x", lambda s: f"\u00e9{s}\u00e9", lambda s: s.replace(" ", " \U0001f600 ")]
+    wide = ["x" * 41 + " needs doing", "a" * 40 + " needs doing", "unless " + "y" * 60 + "we'll", "unless " + "y" * 61 + "we'll", "unless it\nlands we'll", "", None, " needs  doing", "we'll go unless"]
+    texts = [*wide, *[f(s) for f in forms for s in said], " ".join(said), "\n".join(reversed(said)) * 3]
+    # multiples of the examples' count choose the same two examples for all, so that those in the texts count
+    table = pa.table({"doc_id": [len(said) * k for k in range(len(texts))], "text": pa.array(texts, pa.string())})
+    pq.write_table(table, f"{tmp_path}/documents.parquet")
+    one, other = ({(r.lexicon, r.rule): r.documents for r in queries._in_documents(spark, str(tmp_path), True, indexed).collect()} for indexed in (True, False))
+    assert one == other and len(one) > 300 and len(set(one.values())) > 10
+
+
+def test_rules_in_documents_are_automata(spark, sf):
+    plan = queries.document_rule_hits(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "RLIKE" not in plan
+
+
+def test_gates_are_what_every_match_holds():
+    assert automata._gate(r"\ba[b ]{0,40} c(d|e)\b") == r" c(d|e)\b" and automata._gate(r"a.{0,60}b.{1,12}c") == "c"
+    assert not any(map(automata._gate, [r"a{0,40}b|c", r"(a{0,40}b)c", r"(x|a{0,40})b", r"a{0,40}?b", r"a{1,2}b", "ab"]))
